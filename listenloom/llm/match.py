@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from listenloom.llm.recording import folded, osa, parse_artist, parse_track, titles_alike, versions_alike
 from listenloom.runtime import materialize
@@ -78,12 +79,12 @@ def _less_one(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), F.when(n > 3, shorter).otherwise(F.array())))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _artist_slips(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y, 2) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _title_slips(a: pd.Series, b: pd.Series) -> pd.Series:
     """Slips, where every word has at most one and a title of three words at most two; 9 otherwise."""
 
@@ -98,7 +99,7 @@ def _title_slips(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _version_slips(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([versions_alike(x, y) for x, y in zip(a, b)])
 

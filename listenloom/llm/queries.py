@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listenloom.llm.cooccur import cooccurring_pairs
 from listenloom.llm.heavy import frequent_values
+from listenloom.llm.match import match_recordings
+from listenloom.llm.runs import repeated_runs
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,16 @@ SELECT field_name, field_value FROM long JOIN total USING (field_name) GROUP BY
 """
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id, first_play_id, last_play_id, n_plays`` of each run of one recording."""
+    return repeated_runs(spark.read.parquet(f"{sf_dir}/plays.parquet")).select("user_id", "first_play_id", "last_play_id", "n_plays")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_index, ext_id``: listing and catalog item are one recording."""
+    return match_recordings(spark.read.parquet(f"{sf_dir}/ext_tracks.parquet"), spark.read.parquet(f"{sf_dir}/track_catalog.parquet")).select("item_index", "ext_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``item_a, item_b``: pairs in at least 6 sessions, at least ten times as often as by chance."""
     return cooccurring_pairs(spark.read.parquet(f"{sf_dir}/session_table.parquet"), min_count=6, min_lift=10).select("item_a", "item_b")
@@ -35,5 +47,5 @@ p AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS c FROM e a JOIN e b
 SELECT item_a, item_b FROM p JOIN k ka ON ka.item = item_a JOIN k kb ON kb.item = item_b, n WHERE p.c >= 6 AND p.c * n.n >= 10 * ka.c * kb.c
 """
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 ORACLES = {"p2_found": P2_SQL, "p6_found": P6_SQL}
