@@ -4,11 +4,11 @@ A cascade of rules, strongest first; each pass is an exact join on a weaker
 combination of attributes over the listings that no earlier pass resolved:
 
 1. ``exact``         artist, title and version as written (spelling folded);
-2. ``artist_variant`` the artist shortened, with one slip, or standing in the other
-   field, its title and version as written;
+2. ``artist_variant`` the artist shortened, run together, with one slip, or standing in
+   the other field, its title and version as written;
 3. ``title_slip``    as before, on the title with one letter left out;
 4. ``title_slips``   as before, on one word of the title with one letter left out;
-5. ``cut_title``     a title cut off with an ellipsis, on how it begins.
+5. ``cut_title``     a title cut off at its end, on how it begins or one word of it.
 
 Artists are resolved once, among distinct names, so no pass pairs up a whole
 artist's listings with a whole artist's items. A rule's confidence is its precision
@@ -84,21 +84,34 @@ def _artist_slips(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y, 2) for x, y in zip(a, b)])
 
 
+#: Added to the slips of a title with two in one word: such a match needs durations that agree.
+_DOUBTFUL = 10
+
+
 @F.pandas_udf(IntegerType())
 def _title_slips(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Slips, where every word has at most one and a title of three words at most two; 9 otherwise."""
+    """Slips, at most one for every second word and one more; 99 otherwise."""
 
     def one(x, y):
-        d = titles_alike(x, y)
-        if d < 9:
-            return d
+        if x == y or osa(x, y, 1) == 1:
+            return int(x != y)
         p, q = x.split(), y.split()
-        slips = [osa(u, v, 1) for u, v in zip(p, q)]
-        return sum(slips) if len(p) == len(q) and max(slips) <= 1 and sum(slips) <= 1 + len(p) // 2 else 9
+        if len(p) != len(q):
+            return 99
+        slips = [osa(u, v, 2 if len(v) > 5 else 1) if u != v else 0 for u, v in zip(p, q)]
+        if any(s > (2 if len(v) > 5 else 1) for s, v in zip(slips, q)) or sum(slips) > max(2, 1 + len(p) // 2):
+            return 99
+        return sum(slips) + _DOUBTFUL * (max(slips) > 1)
 
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+@F.pandas_udf(IntegerType())
+def _begins(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Slips between a title that was cut off and how the other begins; 99 if more than one."""
+    return pd.Series([min(osa(x, y[: max(0, len(x) + k)], 1) for k in (-1, 0, 1)) if len(y) >= len(x) - 1 and osa(x, y[: len(x)], 2) <= 2 else 99 for x, y in zip(a, b)]).where(lambda v: v <= 1, 99)
+
+
 @F.pandas_udf(IntegerType())
 def _version_slips(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([versions_alike(x, y) for x, y in zip(a, b)])
@@ -137,8 +150,8 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         known = pairs.select(F.col("id").alias("ext_id"), F.col("i_id").alias("item_index"), F.col("slips").cast("int").alias("slips")).join(facts_l, "ext_id").join(facts_r, "item_index")
         off = F.abs(F.col("d") - F.col("e")) / F.greatest(F.col("e"), F.lit(1.0))
         known = known.withColumn("off", off).withColumn("agrees", F.col("off") <= tolerance)
-        best = known.groupBy("ext_id", "source").agg(F.min_by(F.struct("item_index", "agrees"), F.struct((~F.coalesce("agrees", F.lit(True))).alias("c"), "slips", F.coalesce("off", F.lit(1.0)).alias("o"), F.coalesce(F.abs(F.col("y") - F.col("z")), F.lit(1)).alias("years"), "item_index")).alias("m"))
-        passes.append(materialize(best.select("ext_id", "source", "m.item_index", "m.agrees", F.lit(rule).alias("rule"), (F.coalesce("m.agrees", F.lit(True)) | F.lit(rule == "exact")).alias("holds")), f"match-{rule}"))
+        best = known.groupBy("ext_id", "source").agg(F.min_by(F.struct("item_index", "agrees", "slips"), F.struct((~F.coalesce("agrees", F.lit(True))).alias("c"), "slips", F.coalesce("off", F.lit(1.0)).alias("o"), F.coalesce(F.abs(F.col("y") - F.col("z")), F.lit(1)).alias("years"), "item_index")).alias("m"))
+        passes.append(materialize(best.select("ext_id", "source", "m.item_index", "m.agrees", F.lit(rule).alias("rule"), (F.coalesce("m.agrees", F.col("m.slips") < _DOUBTFUL) | F.lit(rule == "exact")).alias("holds")), f"match-{rule}"))
 
     def open_readings() -> DataFrame:
         rest = a
@@ -155,12 +168,23 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
     ours = rest.select("artist_key", "artist_core").distinct()
 
     def spelled(df: DataFrame, p: str) -> DataFrame:
-        form = F.explode(F.array_distinct(F.concat(_less_one(F.col("artist_key")), _less_one(F.col("artist_core")))))
+        form = F.explode(F.array_distinct(F.concat(_less_one(F.col("artist_key")), _less_one(F.col("artist_core")), F.array(F.replace("artist_key", F.lit(" "), F.lit(""))))))
         return df.select(F.col("artist_key").alias(f"{p}_key"), F.col("artist_core").alias(f"{p}_core"), form.alias("form"))
 
     near = spelled(ours, "o").join(spelled(theirs, "t"), "form").select("o_key", "o_core", "t_key", "t_core").distinct()
-    slips = F.least(_artist_slips("o_key", "t_key"), 1 + _artist_slips("o_core", "t_core"))
-    artists = materialize(near.withColumn("a_slips", slips).where("a_slips <= 2").select(F.col("o_key").alias("artist_key"), "t_key", "a_slips"), "artists")
+    run_together = F.when(F.replace("o_key", F.lit(" "), F.lit("")) == F.replace("t_key", F.lit(" "), F.lit("")), 1)
+    slips = F.least(_artist_slips("o_key", "t_key"), 1 + _artist_slips("o_core", "t_core"), run_together)
+    near = materialize(near.withColumn("a_slips", slips).where("a_slips <= 2").select(F.col("o_key").alias("artist_key"), "t_key", "a_slips"), "near")
+
+    def two_words(df: DataFrame, p: str) -> DataFrame:
+        """Names by their first two words, each with one letter left out."""
+        w = F.filter(F.split("artist_core", " "), lambda x: F.length(x) > 3)
+        pairs = F.flatten(F.transform(_less_one(w[0]), lambda u: F.transform(_less_one(w[1]), lambda v: F.xxhash64(u, v))))
+        return df.where(F.size(w) >= 2).select(F.col("artist_key").alias(f"{p}_key"), F.col("artist_core").alias(f"{p}_core"), F.explode(F.array_distinct(pairs)).alias("form"))
+
+    others = two_words(ours.join(near.select("artist_key").distinct(), "artist_key", "left_anti"), "o")
+    twice = others.join(two_words(theirs, "t"), "form").select("o_key", "o_core", "t_key", "t_core").distinct().withColumn("a_slips", F.least(_artist_slips("o_key", "t_key"), _artist_slips("o_core", "t_core") + 1)).where("a_slips <= 3")
+    artists = materialize(near.unionByName(twice.select(F.col("o_key").alias("artist_key"), "t_key", "a_slips")), "artists")
     named = materialize(rest.join(artists, "artist_key").withColumn("a_slips", F.col("a_slips") + F.when(F.col("reading") % 2 == 1, 1).otherwise(0)), "named")
 
     def unresolved() -> DataFrame:
@@ -174,7 +198,7 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
 
     def judged(pairs: DataFrame, least: int, most: int) -> DataFrame:
         scored = pairs.select("id", "i_id", "title", "i_title", "version", "i_version", "a_slips").distinct().withColumn("t", _title_slips("title", "i_title")).withColumn("v", _version_slips("version", "i_version"))
-        return scored.where((F.col("t") <= most) & (F.col("v") <= 1)).select("id", "i_id", (F.col("t") + F.col("v") + F.col("a_slips")).alias("slips"))
+        return scored.where(F.col("t").between(least, most) & (F.col("v") <= 1)).select("id", "i_id", (F.col("t") + F.col("v") + F.col("a_slips")).alias("slips"))
 
     def on_forms(l: DataFrame, r: DataFrame, form_l: Column, form_r: Column, extra: list[str]) -> DataFrame:
         l, r = l.withColumn("form", F.explode(form_l)), r.withColumn("i_form", F.explode(form_r))
@@ -187,11 +211,14 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         return F.array_distinct(F.flatten(F.transform(long, _less_one)))
 
     size = lambda df, c: df.withColumn(c.replace("title", "words"), F.size(F.split(c, " ")))
-    settle("title_slips", judged(on_forms(size(unresolved(), "title"), size(items, "i_title"), words("title"), words("i_title"), ["words"]), 2, 4))
-
-    cut = unresolved().where(F.col("cut") & (F.length("title") >= 6))
-    begun = cut.join(items, [cut["t_key"] == F.col("i_artist_key"), F.substring(cut["title"], 1, 6) == F.substring("i_title", 1, 6)]).where(F.col("i_title").startswith(F.col("title")) & ((F.col("kinds") == F.col("i_kinds")) | (F.col("kinds") == "")))
-    settle("cut_title", begun.select("id", "i_id", (F.col("a_slips") + F.length("i_title") - F.length("title") + F.when(F.col("kinds") == F.col("i_kinds"), 0).otherwise(20)).alias("slips")))
+    settle("title_slips", judged(on_forms(size(unresolved(), "title"), size(items, "i_title"), words("title"), words("i_title"), ["words"]), 0, _DOUBTFUL + 4))
+
+    # a long title may be cut off without a sign of it; that needs durations that agree
+    cut = unresolved().where((F.col("cut") & (F.length("title") >= 6)) | (F.length("title") >= 15)).withColumn("form", F.explode(F.array_distinct(F.concat(F.array(F.substring("title", 1, 6)), words("title")))))
+    begun = cut.join(items.withColumn("i_form", F.explode(F.array_distinct(F.concat(F.array(F.substring("i_title", 1, 6)), words("i_title"))))), [cut["t_key"] == F.col("i_artist_key"), F.col("form") == F.col("i_form")])
+    begun = begun.where((F.col("kinds") == F.col("i_kinds")) | (F.col("kinds") == "")).select("id", "i_id", "title", "i_title", "kinds", "i_kinds", "cut", "a_slips").distinct().withColumn("t", _begins("title", "i_title")).where("t <= 1")
+    # the cut may have taken the version with it: one that isn't needed for the match costs
+    settle("cut_title", begun.select("id", "i_id", (F.col("a_slips") + F.col("t") + F.when(F.col("kinds") == F.col("i_kinds"), 0).otherwise(3) + F.when(F.col("cut"), 0).otherwise(_DOUBTFUL)).alias("slips")))
 
     every = passes[0]
     for p in passes[1:]:

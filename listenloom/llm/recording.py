@@ -24,7 +24,8 @@ PACKAGING_ALONE = frozenset(w for w in PACKAGING if w not in ("single", "track",
 _DASHES = re.compile("[‐‑‒–—―−]")
 _QUOTES = re.compile("[’‘`´ʼ′\"“”]")
 _TRACK_NO = re.compile(r"^\s*\d{1,3}\s*[.)]\s+")
-_TAIL = re.compile(r"^(.*?)(?:\s*[(\[{]([^()\[\]{}]*)[)\]}]?|\s+-+\s+([^()\[\]{}]*?)|\s-+)[\s.,;:]*$", re.S)
+_TAIL = re.compile(r"^(.*?)\s*[(\[{]([^()\[\]{}]*)[)\]}]?[\s.,;:-]*$", re.S)
+_DASH_TAIL = re.compile(r"^(.*)\s-+(?:\s+([^()\[\]{}]*?))?[\s.,;:]*$", re.S)
 _GUEST_TAIL = re.compile(r"\s+[(\[]?(?:feat|ft|featuring|faet|fet|fat|eat|feta|fea|feeat|featt|feaat|ffeat)\.?\s+.*$", re.S)
 _NUMBER_TAIL = re.compile(r"^(.*\S)[\s,]+(?:(?:pt|part|vol|volume)\.?\s*(\w+)|(ii|iii|iv|v|vi|vii|viii|ix|x))[\s.]*$", re.S)
 _WORD = re.compile(r"[a-z0-9]+")
@@ -174,11 +175,12 @@ def parse_track(track: str) -> tuple[str, str, bool]:
                     if (found := classify(other[0] or other[1], True)) and found[0] != "drop":
                         versions.append(":".join(found))
                 continue
-            m = _TAIL.match(s)
+            m, bracketed = _TAIL.match(s), True
+            if not m:
+                m, bracketed = _DASH_TAIL.match(s), False
             if not m or not m[1].strip():
                 break
-            part = m[2] if m[2] is not None else m[3] or ""
-            found = classify(part, m[2] is not None)
+            found = classify(m[2] or "", bracketed)
             if not found:
                 break
             s = m[1]
