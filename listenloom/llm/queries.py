@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from listenloom.llm.cooccur import cooccurring_pairs
 from listenloom.llm.heavy import frequent_values
 from listenloom.llm.match import match_recordings
+from listenloom.llm.residue import mark_residue
 from listenloom.llm.runs import repeated_runs
 
 
@@ -47,5 +48,12 @@ p AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS c FROM e a JOIN e b
 SELECT item_a, item_b FROM p JOIN k ka ON ka.item = item_a JOIN k kb ON kb.item = item_b, n WHERE p.c >= 6 AND p.c * n.n >= 10 * ka.c * kb.c
 """
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id`` of every document that is residue of a template or of a page that didn't load."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return mark_residue(documents).where("residue is not null").select("doc_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p6_found": P6_SQL}
