@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from listenloom.llm.clusters import describe_clusters, probed_pairs, similarity_clusters
 from listenloom.llm.cooccur import cooccurring_pairs
 from listenloom.llm.heavy import frequent_values
 from listenloom.llm.match import match_recordings
@@ -11,6 +12,18 @@ from listenloom.llm.residue import mark_residue
 from listenloom.llm.runs import repeated_runs
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``session_id_a, session_id_b``: probed sessions of one set that belong to one group."""
+    members = similarity_clusters(spark.read.parquet(f"{sf_dir}/session_table.parquet").select("session_id", "vectors"))
+    return probed_pairs(members, spark.read.parquet(f"{sf_dir}/probe_sessions.parquet"))
+
+
+def p1_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's size, share, most typical sessions and top items."""
+    sessions = spark.read.parquet(f"{sf_dir}/session_table.parquet").select("session_id", "vectors", "items")
+    return describe_clusters(similarity_clusters(sessions), sessions, spark.read.parquet(f"{sf_dir}/track_catalog.parquet"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``field_name, field_value``: values of artist or track that make up at least 1/200 of its rows."""
     return frequent_values(spark.read.parquet(f"{sf_dir}/plays.parquet"), ["artist", "track"], 1 / 200).select("field_name", "field_value")
@@ -55,5 +68,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_residue(documents).where("residue is not null").select("doc_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_archetypes": p1_archetypes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p6_found": P6_SQL}

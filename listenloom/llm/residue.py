@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Names of fields that templates fill in, for delimiters that are also used otherwise.
 FIELDS = set("artist title album track name host city genre label date venue duration user year curator playlist count firstname lastname email price order id url country region price amount total company product category author subject address phone time month day week release trackcount username artistname playlistname tracktitle releaseyear text description headline body content value item items message link image number".split())
@@ -209,8 +210,7 @@ def mark_residue(documents: DataFrame, text: str = "text") -> DataFrame:
     repeated ones included, and other columns are kept; a column ``residue`` is replaced.
     """
     kept = documents.drop("residue")
-    schema = kept.schema.add("residue", "string", True)
-    return kept.mapInPandas(_judge(text), schema)
+    return kept.mapInPandas(_judge(text), StructType([*kept.schema.fields, StructField("residue", StringType())]))
 
 
 def without_residue(documents: DataFrame, text: str = "text") -> DataFrame:
