@@ -8,6 +8,8 @@ from listenloom.llm.clusters import describe_clusters, probed_pairs, similarity_
 from listenloom.llm.cooccur import cooccurring_pairs
 from listenloom.llm.heavy import frequent_values
 from listenloom.llm.match import match_recordings
+from listenloom.llm.mixing import mix_sources
+from listenloom.llm.packing import fill_report, pack_documents
 from listenloom.llm.residue import mark_residue
 from listenloom.llm.runs import repeated_runs
 
@@ -62,11 +64,35 @@ SELECT item_a, item_b FROM p JOIN k ka ON ka.item = item_a JOIN k kb ON kb.item
 """
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container, document, piece, first token and length of every piece."""
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers it took, and how full they are."""
+    return fill_report(p8_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
+
+
+def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in the mixture."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share each source reached."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id`` of every document that is residue of a template or of a page that didn't load."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return mark_residue(documents).where("residue is not null").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_archetypes": p1_archetypes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_archetypes": p1_archetypes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p6_found": P6_SQL}
