@@ -59,6 +59,8 @@ def _linkable(a: Name, b: Name) -> bool:
 def segment(names: list[Name], weights: list[int], boundary: float = 1.0) -> list[tuple[int, int]]:
     """Cheapest division of blocks (equal spelling, so many plays) into runs, as (start, end) pairs.
 
+    Any spelling of the stretch may represent a run of it, as a slip may be all a run has.
+
     Pruned exact dynamic programme; of equally cheap divisions the one with fewest runs.
     """
     kinds = sorted(set(names))
