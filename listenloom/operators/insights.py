@@ -85,9 +85,9 @@ def drift_summary(timeline: DataFrame) -> DataFrame:
         F.count("*").alias("windows"),
         F.count_if(~F.col("sparse")).alias("placed"),
         F.count_if("sparse").alias("sparse"),
-        F.round(F.avg("step"), 6).alias("mean_step"),
+        F.round(F.avg("step"), 8).alias("mean_step"),
         F.round(F.median("step"), 7).alias("median_step"),
-        F.round(F.avg("displacement"), 6).alias("mean_displacement"),
+        F.round(F.avg("displacement"), 8).alias("mean_displacement"),
         F.max("displacement").alias("max_displacement"),
     )
 
@@ -109,7 +109,7 @@ def session_vectors(seqs: DataFrame, vectors: DataFrame, min_len: int = 3) -> Da
     enough = session_behaviour(seqs, min_len).select("session_id")
     weights = real.join(enough, "session_id", "left_semi").groupBy("session_id", "item_id").agg(F.count("*").alias("n"))
     long = centroids(weights, vectors, ["session_id"])
-    return long.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("dim", F.round("c", 6).alias("c")))).alias("v")).select("session_id", F.transform("v", lambda x: x["c"]).alias("vectors"))
+    return long.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("v")).select("session_id", F.transform("v", lambda x: x["c"]).alias("vectors"))
 
 
 def session_signals(events: DataFrame) -> DataFrame:

@@ -173,14 +173,14 @@ def normalise_timestamps(df: DataFrame, ts: str = "ts", device_tz: str = "device
     fitted = counts.groupBy("source").applyInPandas(_fit(certainty, rounds), "source string, order string, mask string, reading string, posterior double")
     fitted = materialize(fitted, "stamps")
     few = fitted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    fitted = fitted.select(F.col("source").alias("__source"), F.col("order").alias("__o"), F.col("mask").alias("__mask"), "reading", "posterior")
+    fitted = fitted.select(F.col("source").alias("__source"), F.col("order").alias("__o"), F.col("mask").alias("__mask"), F.col("reading").alias("__reading"), F.col("posterior").alias("__posterior"))
     on = (rows["__source"] == fitted["__source"]) & rows["__order"].eqNullSafe(fitted["__o"]) & (rows["__mask"] == fitted["__mask"])
     rows = rows.join(F.broadcast(fitted) if few else fitted, on, "left").drop(fitted["__source"]).drop(fitted["__mask"])
 
-    reading = F.col("reading")
+    reading = F.col("__reading")
     chosen = F.coalesce(*[F.when(reading == k, F.col(f"__v.{k}")) for k in _READINGS])
     plain = (F.col("__mask") == "") & F.col("__notation").isin("ymd", "day_name", "name_day", "basic")
-    posterior = F.when(plain, 1.0).otherwise(F.col("posterior"))
+    posterior = F.when(plain, 1.0).otherwise(F.col("__posterior"))
     moment = F.when(plain, F.col("__ymd")).otherwise(chosen)
     absolute = reading.isin("s", "ms", "us", "ns")
 

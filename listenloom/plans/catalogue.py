@@ -273,7 +273,7 @@ def drift_summary(spark, d):
 
 def session_vectors(spark, d):
     made = insights.session_vectors(sequences(spark, d)[0], _vectors(spark, d))
-    return made.select("session_id", F.posexplode("vectors").alias("dim", "x")).select("session_id", F.col("dim").cast("int").alias("dim"), F.round("x", 5).alias("x"))
+    return made.select("session_id", F.posexplode("vectors").alias("dim", "x")).select("session_id", F.col("dim").cast("int").alias("dim"), F.round("x", 6).alias("x"))
 
 
 def _grouped(spark, d):
@@ -455,8 +455,8 @@ ORACLES = {
     "tag_lookup": f"WITH {_TAGGED} SELECT item_index, array_to_string(tags, '|') AS tags FROM tagged",
     "tag_coverage": f"WITH {_TAGGED} SELECT coalesce(round(avg(CASE WHEN len(tags) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9), 0.0) AS coverage FROM tagged",
     "drift_timeline": f"WITH {_DRIFT} SELECT * FROM timeline",
-    "drift_summary": f"WITH {_DRIFT} SELECT count(DISTINCT user_id) AS users, count(*) AS windows, count(*) FILTER (NOT sparse) AS placed, count(*) FILTER (sparse) AS sparse, round(avg(step), 6) AS mean_step, round(median(step), 7) AS median_step, round(avg(displacement), 6) AS mean_displacement, max(displacement) AS max_displacement FROM timeline",
-    "session_vectors": f"WITH {_SEQS}{_BEHAVIOUR}{_UNIT}, m AS (SELECT session_id, dim, sum(x) AS m FROM seqs JOIN unit USING (item_id) WHERE session_id IN (SELECT session_id FROM enough) GROUP BY 1, 2), u AS (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY session_id)) AS norm FROM m) SELECT session_id::BIGINT AS session_id, dim::INT AS dim, round(round(m / norm, 6), 5) AS x FROM u WHERE norm >= 1e-12",
+    "drift_summary": f"WITH {_DRIFT} SELECT count(DISTINCT user_id) AS users, count(*) AS windows, count(*) FILTER (NOT sparse) AS placed, count(*) FILTER (sparse) AS sparse, round(avg(step), 8) AS mean_step, round(median(step), 7) AS median_step, round(avg(displacement), 8) AS mean_displacement, max(displacement) AS max_displacement FROM timeline",
+    "session_vectors": f"WITH {_SEQS}{_BEHAVIOUR}{_UNIT}, m AS (SELECT session_id, dim, sum(x) AS m FROM seqs JOIN unit USING (item_id) WHERE session_id IN (SELECT session_id FROM enough) GROUP BY 1, 2), u AS (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY session_id)) AS norm FROM m) SELECT session_id::BIGINT AS session_id, dim::INT AS dim, round(m / norm, 6) AS x FROM u WHERE norm >= 1e-12",
     "cluster_profile": f"WITH {_GROUPED}, h AS (SELECT cluster, h.h AS h, (SELECT count(*) FROM grouped g WHERE g.cluster = c.cluster AND g.hour_utc = h.h) AS n FROM (SELECT DISTINCT cluster FROM grouped) c CROSS JOIN (SELECT unnest(generate_series(0, 23)) AS h) h), hh AS (SELECT cluster, string_agg(n::VARCHAR, ',' ORDER BY h) AS hour_histogram, first(h ORDER BY n DESC, h)::INT AS peak_hour FROM h GROUP BY 1) SELECT cluster, count(*) AS n_sessions, round(count(*) / (SELECT count(*) FROM grouped), 6) AS share, round(avg(n_events), 6) AS mean_length, round(avg(n_unique), 6) AS mean_unique, round(avg(repeat_frac::DOUBLE), 6) AS mean_repeat_frac, round(median(median_gap::DOUBLE), 6) AS median_gap_s, peak_hour, hour_histogram FROM grouped JOIN hh USING (cluster) GROUP BY cluster, peak_hour, hour_histogram",
     "lift_labels": f"WITH {_GROUPED}, p AS (SELECT cluster, item::VARCHAR AS label FROM (SELECT cluster, unnest(items) AS item FROM grouped) WHERE item >= 2), c AS (SELECT cluster, label, count(*) AS count FROM p GROUP BY 1, 2), s AS (SELECT cluster, label, count, sum(count) OVER (PARTITION BY cluster) AS a, sum(count) OVER (PARTITION BY label) AS b, sum(count) OVER () AS t FROM c), r AS (SELECT cluster, label, round(count / a / (b / t), 3) AS lift, round(count / a, 4) AS share, count FROM s WHERE count >= 5) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY lift DESC, count DESC, label) AS place FROM r) WHERE place <= 5",
     "latency_percentiles": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM events GROUP BY event_type",
