@@ -26,7 +26,7 @@ _QUOTES = re.compile("[’‘`´ʼ′\"“”]")
 _TRACK_NO = re.compile(r"^\s*\d{1,3}\s*[.)]\s+")
 _TAIL = re.compile(r"^(.*?)\s*[(\[{]([^()\[\]{}]*)[)\]}]?[\s.,;:-]*$", re.S)
 _DASH_TAIL = re.compile(r"^(.*)\s-+(?:\s+([^()\[\]{}]*?))?[\s.,;:]*$", re.S)
-_GUEST_TAIL = re.compile(r"\s+[(\[]?(?:feat|ft|featuring|faet|fet|fat|eat|feta|fea|feeat|featt|feaat|ffeat)\.?\s+.*$", re.S)
+_GUEST_TAIL = re.compile(r"\s+[(\[]?(?:(?:feat|ft|featuring|faet|feeat|feaat|featt|ffeat)\.?|(?:fet|fat|eat|feta|fea)\.)\s+.*$", re.S)
 _NUMBER_TAIL = re.compile(r"^(.*\S)[\s,]+(?:(?:pt|part|vol|volume)\.?\s*(\w+)|(ii|iii|iv|v|vi|vii|viii|ix|x))[\s.]*$", re.S)
 _WORD = re.compile(r"[a-z0-9]+")
 _PLAIN = re.compile(r"[A-Za-z' ]+")
