@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType
 
 from listenloom.operators.ordered import histories, lagged_pairs
 from listenloom.operators.vocab import FIRST, OOV
+from listenloom.runtime import materialize
 
 MAX_LEN = 200
 KS = (5, 10, 20)
@@ -89,7 +90,7 @@ def repeat_ranks(instances: DataFrame, seqs: DataFrame, counts: DataFrame, n_ite
     Of the items that weren't played only the number with a high enough count matters.
     """
     weight = how.get("pop_weight", 0.15)
-    played = repeat_scores(instances, seqs, counts, **how)
+    played = materialize(repeat_scores(instances, seqs, counts, **how), "repeat-scores")
     asked = instances.join(counts.select(F.col("item_id").alias("target"), "cnt"), "target", "left").withColumn("own_pop", _pop(F.coalesce("cnt", F.lit(0)), counts, weight)).drop("cnt")
     own = played.select("instance_id", F.col("item_id").alias("target"), F.col("score").alias("own_score"))
     asked = asked.join(own, ["instance_id", "target"], "left").withColumn("score", F.coalesce("own_score", F.round("own_pop", 9)))
@@ -141,7 +142,7 @@ def knn_scores(targets: DataFrame, seqs: DataFrame, sim: DataFrame, recent: int
 
 def knn_ranks(instances: DataFrame, seqs: DataFrame, sim: DataFrame, n_items: int, **how) -> DataFrame:
     """``instances`` with ``rank`` and ``score``; items near nothing in the history score 0 and tie."""
-    scores = knn_scores(instances, seqs, sim, **how)
+    scores = materialize(knn_scores(instances, seqs, sim, **how), "knn-scores")
     own = scores.select("instance_id", F.col("item_id").alias("target"), F.col("score"))
     asked = instances.join(own, ["instance_id", "target"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     better = scores.join(asked.where("score > 0").select("instance_id", F.col("score").alias("s")), "instance_id").where("score >= s").groupBy("instance_id").agg(F.count("*").alias("n"))

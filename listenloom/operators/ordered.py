@@ -84,11 +84,10 @@ def in_sequence(events: DataFrame, gap: int = GAP, slice_seconds: int = 7 * DAY)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = F.col("ts") - F.lag("ts").over(w)
     local = rows.withColumn("__inner", inner).withColumn("__k", F.row_number().over(w) - 1).withColumn("__new", F.sum(F.when(F.col("__inner") > gap, 1).otherwise(0)).over(upto))
-    slices = rows.groupBy("user_id", "slice").agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"), F.count("*").alias("__n"))
-    news = local.groupBy("user_id", "slice").agg(F.max("__new").alias("__news"))
+    slices = local.groupBy("user_id", "slice").agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"), F.count("*").alias("__n"), F.max("__new").alias("__news"))
     by = Window.partitionBy("user_id").orderBy("slice")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.join(news, ["user_id", "slice"]).withColumn("__reach", F.lag("__last").over(by))
+    carried = slices.withColumn("__reach", F.lag("__last").over(by))
     carried = carried.withColumn("__opens", F.when(F.col("__first") - F.col("__reach") > gap, 1).otherwise(0))
     carried = carried.withColumn("__pos", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__sessions", F.coalesce(F.sum("__news").over(before), F.lit(0)) + F.sum("__opens").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     out = local.join(carried.select("user_id", "slice", "__reach", "__pos", "__sessions"), ["user_id", "slice"])
@@ -102,7 +101,7 @@ def in_sequence(events: DataFrame, gap: int = GAP, slice_seconds: int = 7 * DAY)
 
 def sessionized(events: DataFrame, gap: int = GAP) -> DataFrame:
     """:func:`in_sequence` with ``session_id``, one running number from 1 over all users in their order."""
-    rows = in_sequence(events, gap)
+    rows = materialize(in_sequence(events, gap), "in-sequence")
     users = rows.groupBy("user_id").agg((F.max("session_no") + 1).alias("__n"))
     offsets = running_total(users, [F.col("user_id")], F.col("__n"), "__before", "users").select("user_id", "__before")
     return rows.join(offsets, "user_id").withColumn("session_id", (F.col("__before") + F.col("session_no") + 1).cast("bigint")).drop("__before")

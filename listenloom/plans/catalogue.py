@@ -38,7 +38,8 @@ def sequences(spark: SparkSession, d: str, rows: DataFrame | None = None, vocab:
     """Encoded events in sequence, and the vocabulary."""
     rows = keyed(spark, d) if rows is None else rows
     vocab = materialize(build_vocab(rows, MIN_COUNT), "vocab") if vocab is None else vocab
-    return materialize(sessionized(encode(long_enough(rows, MIN_LEN), vocab)), "sequences"), vocab
+    encoded = materialize(encode(long_enough(rows, MIN_LEN), vocab).drop("item_key", "artist", "track"), "encoded")
+    return sessionized(encoded), vocab
 
 
 class Experiment:
