@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from listenloom.functions.canonical import SEPARATOR, normalised, sql_normalised, with_item_key
 from listenloom.functions.time import GAP_EDGES, gap_bucket
 from listenloom.operators import evaluation as E
-from listenloom.operators import features, insights
+from listenloom.model import encoder, scoring, train
+from listenloom.operators import archetypes, features, insights, serving
 from listenloom.operators.ordered import histories, sessionized
 from listenloom.operators.splits import Split, leakage_report, split_summary, temporal_split
 from listenloom.operators.vocab import build_vocab, coverage, encode, long_enough, positives, train_counts
@@ -301,10 +302,61 @@ def latency_percentiles(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), p.alias("p"), F.round(F.avg("value"), 6).alias("mean_ms"), F.max("value").alias("max_ms")).select("event_type", "n", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p50_ms", "p95_ms", "p99_ms"))], "mean_ms", "max_ms")
 
 
+def kmeans_archetypes(spark, d):
+    """Kinds of sessions, profiled; no SQL, as k-means has none."""
+    sessions = _grouped(spark, d).drop("cluster").join(spark.read.parquet(f"{d}/session_table.parquet").groupBy("session_id").agg(F.max("vectors").alias("vectors")), "session_id")
+    model, _ = archetypes.choose_kinds(sessions)
+    return insights.cluster_profile(archetypes.assign_kinds(sessions, model))
+
+
+def embed_items(spark, d):
+    """Vectors of every catalogue item's sentence, reported."""
+    return scoring.embedding_report(scoring.embed_texts(item_sentences(spark, d), "sentence"))
+
+
+#: Users whose sequences the encoder is fitted on: a bounded sample, in the order of a digest.
+TRAIN_USERS = 100
+
+
+def _fitted(x: Experiment) -> tuple[encoder.Shape, dict]:
+    """An encoder fitted on the training events of at most ``TRAIN_USERS`` users."""
+    some = x.train.select("user_id").distinct().orderBy(F.md5("user_id")).limit(TRAIN_USERS)
+    recent = x.train.join(F.broadcast(some), "user_id", "left_semi")
+    last = Window.partitionBy("user_id").orderBy(F.desc("pos"))
+    rows = recent.withColumn("k", F.row_number().over(last)).where("k <= 400").select("user_id", "pos", "item_id", "ts").toPandas()
+    sequences_ = [(g["item_id"].to_numpy(), g["ts"].to_numpy()) for _, g in rows.sort_values("pos").groupby("user_id")]
+    shape = encoder.Shape(n_items=x.n_items + 2, dim=32, max_len=50)
+    return shape, train.fit(shape, encoder.new_weights(shape), sequences_, train.Config(epochs=3))[0]
+
+
+def eval_encoder(spark, d):
+    """The sequence model under the protocol of the other scorers."""
+    x = Experiment(spark, d)
+    shape, weights = _fitted(x)
+    past = histories(x.instances, x.seqs, shape.max_len, ["item_id", "ts"])
+    return E.sliced_metrics(scoring.dense_ranks(x.instances, past, shape, weights), "encoder")
+
+
+def attention_summary(spark, d):
+    x = Experiment(spark, d)
+    shape, weights = _fitted(x)
+    return scoring.attention_summary(scoring.attention_traces(histories(x.instances, x.seqs, shape.max_len, ["item_id", "ts"]), shape, weights))
+
+
+def recommend_requests(spark, d):
+    """Every user's plays sent as a request of its own."""
+    rows = keyed(spark, d)
+    seqs, words = sequences(spark, d, rows)
+    sim = E.nearest_items(E.similarity(E.cooccurrence(seqs)))
+    asked = rows.select(F.col("user_id").alias("instance_id"), "artist", "track", "ts")
+    return serving.recommend_histories(asked, words, sim, 10, unicode=False)[0]
+
+
 QUERIES = {f.__name__: f for f in (
     eval_popularity, conform_events, validate_events, positive_events, corpus_summary, canonical_keys, canonical_keys_unicode, vocab, encoded_events, vocab_coverage, sessionize, gap_buckets, session_stats, session_signals,
     sequence_stats, repeat_rate, split_counts, leakage_check, eval_instances, instance_summary, history_lengths, train_windows, supervised_targets, eval_repeat, eval_itemknn, popularity_ranks, repeat_ranks, itemknn_ranks,
     cooccurrence, itemknn_sim, itemknn_topk, recommend_topk, recommend_discovery, recommend_context, item_sentences, tag_lookup, tag_coverage, drift_timeline, drift_summary, session_vectors, cluster_profile, lift_labels, latency_percentiles,
+    kmeans_archetypes, embed_items, eval_encoder, attention_summary, recommend_requests,
 )}
 
 

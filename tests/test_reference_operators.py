@@ -201,3 +201,30 @@ def test_synthetic(spark):
         seen.add((r.user_id, r.artist, r.track))
     assert 0.4 < repeats / len(rows) < 0.97
     assert 0.4 < sum(r.ms_played >= 30_000 for r in rows) / len(rows) < 0.95
+
+
+def test_requests_are_encoded_and_answered(spark):
+    from listenloom.operators import serving
+
+    words = spark.createDataFrame([(2, "a :: x", 3, "A", "x"), (3, "a :: y", 2, "A", "y"), (4, "b :: z", 1, "B", "z")], "item_id bigint, item_key string, cnt bigint, artist string, track string")
+    sim = spark.createDataFrame([(2, 3, 0.9), (3, 2, 0.9), (2, 4, 0.5)], "i bigint, j bigint, sim double")
+    asked = requests.request_histories(spark, [[("A", "x (Remastered)", 5), ("Q", "q", 3), ("A", "y", 1)], [("Q", "q", 1)]])
+    got, context = serving.recommend_histories(asked, words, sim, 5)
+    assert [(r.item_id, r.is_repeat) for r in got.orderBy("instance_id", "place").collect()] == [(3, True), (2, True), (4, False)]
+    assert [(r.instance_id, r.history_length, r.matched, r.cold_start) for r in context.orderBy("instance_id").collect()] == [("0", 3, 2, False), ("1", 1, 0, True)]
+    new, _ = serving.recommend_histories(asked, words, sim, 5, discover=True)
+    assert [r.item_id for r in new.collect()] == [4]
+
+
+def test_kinds(spark):
+    import random
+
+    from listenloom.operators import archetypes
+
+    r = random.Random(0)
+    rows = [(i, [float(i % 3 == k) * 5 + r.random() for k in range(3)]) for i in range(90)] + [(99, None)]
+    df = spark.createDataFrame(rows, "session_id bigint, vectors array<float>")
+    model, scores = archetypes.choose_kinds(df, (2, 5))
+    assert max(scores, key=scores.get) == 3
+    placed = {x.session_id: x.cluster for x in archetypes.assign_kinds(df, model).collect()}
+    assert len(placed) == 90 and len({(i % 3, c) for i, c in placed.items()}) == 3
