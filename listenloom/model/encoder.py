@@ -178,3 +178,8 @@ def transfer(shape: Shape, weights: dict[str, np.ndarray], n_items: int, text: n
     fresh = new_weights(target, text)
     own = {"text", "residual", "bias"}
     return target, {k: fresh[k] if k in own else weights[k].copy() for k in fresh}
+
+
+def untouched_residuals(weights: dict[str, np.ndarray]) -> int:
+    """Items of a hybrid table whose correction is exactly zero: known by their text alone."""
+    return int((~weights["residual"][FIRST:].any(axis=1)).sum())

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -149,3 +149,11 @@ def text_matrix(items: DataFrame, n_items: int, dim: int) -> np.ndarray:
     for r in items.where(F.col("item_id") >= FIRST).select("item_id", "vec").toLocalIterator():
         out[r.item_id] = r.vec
     return out
+
+
+def trace_points(instances: DataFrame, users: int = 50, per_user: int = 4, seed: int = 0) -> DataFrame:
+    """Instances to look into: up to ``per_user`` of up to ``users`` users, in the order of a digest."""
+    some = instances.select("user_id").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "user_id")), "user_id").limit(users)
+    kept = instances.join(F.broadcast(some), "user_id", "left_semi")
+    w = Window.partitionBy("user_id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "instance_id")), "instance_id")
+    return kept.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= per_user).drop("__k")

@@ -36,3 +36,10 @@ def assign_kinds(sessions: DataFrame, model) -> DataFrame:
     """``sessions`` with ``cluster``; those without a vector are left out."""
     rows = sessions.where(F.col("vectors").isNotNull()).withColumn("features", array_to_vector(F.transform("vectors", lambda x: x.cast("double"))))
     return model.transform(rows).drop("features")
+
+
+def kinds_summary(placed: DataFrame, total_sessions: int, scores: dict[int, float]) -> DataFrame:
+    """One row: ``k, clustered_sessions, total_sessions, silhouette`` by k."""
+    best = max(scores, key=lambda k: (scores[k], -k))
+    by_k = F.create_map(*[F.lit(x) for k, v in sorted(scores.items()) for x in (int(k), float(v))])
+    return placed.agg(F.lit(best).alias("k"), F.count("*").alias("clustered_sessions"), F.lit(total_sessions).cast("bigint").alias("total_sessions"), by_k.alias("silhouette"))

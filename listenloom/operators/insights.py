@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listenloom.functions.time import hour_of_day, window_number
 from listenloom.functions.vectors import TINY
+from listenloom.operators.ordered import grouped_quantiles
 from listenloom.operators.vocab import FIRST
 
 
@@ -123,8 +124,9 @@ def cluster_profile(sessions: DataFrame, cluster: str = "cluster") -> DataFrame:
     total = sessions.agg(F.count("*").alias("total"))  # one row
     hours = sessions.groupBy(cluster, "hour_utc").agg(F.count("*").alias("n"))
     histogram = hours.groupBy(cluster).agg(F.map_from_entries(F.collect_list(F.struct(F.col("hour_utc").cast("int"), "n"))).alias("h")).select(cluster, F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("h")[i.cast("int")], F.lit(0)).cast("int")).alias("hour_histogram"))
-    by = sessions.groupBy(cluster).agg(F.count("*").alias("n_sessions"), F.round(F.avg("n_events"), 6).alias("mean_length"), F.round(F.avg("n_unique"), 6).alias("mean_unique"), F.round(F.avg(F.col("repeat_frac").cast("double")), 6).alias("mean_repeat_frac"), F.round(F.median(F.col("median_gap").cast("double")), 6).alias("median_gap_s"))
-    out = by.join(histogram, cluster).crossJoin(F.broadcast(total))
+    by = sessions.groupBy(cluster).agg(F.count("*").alias("n_sessions"), F.round(F.avg("n_events"), 6).alias("mean_length"), F.round(F.avg("n_unique"), 6).alias("mean_unique"), F.round(F.avg(F.col("repeat_frac").cast("double")), 6).alias("mean_repeat_frac"))
+    middle = grouped_quantiles(sessions, cluster, "median_gap", [0.5]).select(cluster, F.round("value", 6).alias("median_gap_s"))
+    out = by.join(middle, cluster, "left").join(histogram, cluster).crossJoin(F.broadcast(total))
     return out.select(cluster, "n_sessions", F.round(F.col("n_sessions") / F.col("total"), 6).alias("share"), "mean_length", "mean_unique", "mean_repeat_frac", "median_gap_s", (F.array_position("hour_histogram", F.array_max("hour_histogram")) - 1).cast("int").alias("peak_hour"), "hour_histogram")
 
 

@@ -71,6 +71,23 @@ def exact_quantile(df: DataFrame, column: str, q: float, few: int = 50_000) -> f
     return found[0] + (found[-1] - found[0]) * (at - low_rank)
 
 
+def grouped_quantiles(df: DataFrame, group: str, column: str, qs: list[float]) -> DataFrame:
+    """``group, q, value``: linear-interpolated quantiles of each group, exactly; nulls don't count.
+
+    Values are counted and put in order over all groups at once, so no task holds a group's values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(group, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = materialize(running_total(counts, [F.col(group), F.col("v")], F.col("n"), "before"), "quantiles")
+    whole = placed.groupBy(group).agg(F.min("before").alias("start"), F.sum("n").alias("total"))
+    rows = placed.join(whole, group).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    at = (F.col("total") - 1) * F.col("q")
+    lo, hi = F.col("before") - F.col("start"), F.col("before") - F.col("start") + F.col("n")
+    rows = rows.withColumn("at", at).withColumn("low", F.floor("at")).withColumn("high", F.least(F.col("low") + 1, F.col("total") - 1))
+    covers = lambda r: (lo <= F.col(r)) & (F.col(r) < hi)
+    ends = rows.where(covers("low") | covers("high")).groupBy(group, "q", "at", "low").agg(F.max(F.when(covers("low"), F.col("v"))).alias("a"), F.max(F.when(covers("high"), F.col("v"))).alias("b"))
+    return ends.select(group, "q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("low"))).alias("value"))
+
+
 def in_sequence(events: DataFrame, gap: int = GAP, slice_seconds: int = 7 * DAY) -> DataFrame:
     """``events`` (``user_id, ts, seq, ...``) with ``pos, gap_s, session_no, slice``.
 

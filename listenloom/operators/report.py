@@ -49,3 +49,25 @@ def write(results: DataFrame, folder: str, context: dict) -> None:
     table.to_csv(out / "results.csv", index=False)
     (out / "results.json").write_text(json.dumps({"context": context, "rows": table.to_dict("records")}, indent=1, default=str))
     (out / "results.md").write_text(markdown(results) + "\n")
+
+
+def notes(n_users: int, max_per_user: int) -> list[str]:
+    """What a reader must know of an evaluation with one user."""
+    if n_users != 1:
+        return []
+    return [f"One user: the cap of {max_per_user} targets a user caps the whole evaluation.", "One user: nobody can be held out, so there is no cold_user slice."]
+
+
+def write_insights(folder: str, drift: DataFrame, profile: DataFrame, labels: DataFrame, attention: DataFrame | None = None) -> None:
+    """Drift as JSON lines written by the executors; the few rows of the rest as JSON and Markdown."""
+    out = Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    drift.write.mode("overwrite").json(f"file://{out.resolve()}/drift")
+    parts = {"profile": profile, "labels": labels} | ({"attention": attention} if attention is not None else {})
+    lines = ["# Insights"]
+    for name, df in parts.items():  # a row per cluster, label or block
+        rows = [r.asDict(recursive=True) for r in df.collect()]
+        (out / f"{name}.json").write_text(json.dumps(rows, indent=1, default=str))
+        if rows:
+            lines += ["", f"## {name.title()}", "", f"| {' | '.join(rows[0])} |", "|" + "---|" * len(rows[0]), *[f"| {' | '.join(str(v) for v in r.values())} |" for r in rows]]
+    (out / "insights.md").write_text("\n".join(lines) + "\n")

@@ -47,3 +47,9 @@ def long_enough(seqs: DataFrame, min_len: int = 5) -> DataFrame:
 def train_counts(train: DataFrame) -> DataFrame:
     """``item_id, cnt`` of the real items in training sequences."""
     return train.where(F.col("item_id") >= FIRST).groupBy("item_id").agg(F.count("*").alias("cnt"))
+
+
+def vocab_differences(a: DataFrame, b: DataFrame) -> int:
+    """How many numbers mean different keys in two vocabularies; 0 if they are the same."""
+    both = a.select("item_id", F.col("item_key").alias("__a")).join(b.select("item_id", F.col("item_key").alias("__b")), "item_id", "full_outer")
+    return both.where(~F.col("__a").eqNullSafe(F.col("__b"))).count()

@@ -14,7 +14,7 @@ from listenloom.functions.time import GAP_EDGES, gap_bucket
 from listenloom.operators import evaluation as E
 from listenloom.model import encoder, scoring, train
 from listenloom.operators import archetypes, features, insights, serving
-from listenloom.operators.ordered import histories, sessionized
+from listenloom.operators.ordered import grouped_quantiles, histories, sessionized
 from listenloom.operators.splits import Split, leakage_report, split_summary, temporal_split
 from listenloom.operators.vocab import build_vocab, coverage, encode, long_enough, positives, train_counts
 from listenloom.runtime import materialize
@@ -298,8 +298,9 @@ def lift_labels(spark, d):
 def latency_percentiles(spark, d):
     """Percentiles of the events' values, read as milliseconds."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), p.alias("p"), F.round(F.avg("value"), 6).alias("mean_ms"), F.max("value").alias("max_ms")).select("event_type", "n", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p50_ms", "p95_ms", "p99_ms"))], "mean_ms", "max_ms")
+    p = grouped_quantiles(e, "event_type", "value", [0.5, 0.95, 0.99])
+    by = p.groupBy("event_type").agg(*[F.round(F.max(F.when(F.col("q") == q, F.col("value"))), 6).alias(c) for q, c in ((0.5, "p50_ms"), (0.95, "p95_ms"), (0.99, "p99_ms"))])
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_ms"), F.max("value").alias("max_ms")).join(by, "event_type")
 
 
 def kmeans_archetypes(spark, d):

@@ -42,6 +42,11 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete what :func:`materialize` has written; results that were not yet computed can't be any more."""
+    remove(spark, f"{shared_dir(spark)}/listenloom")
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """(file system, path object) of Hadoop for ``path``."""
     jvm = spark.sparkContext._jvm

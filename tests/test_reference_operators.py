@@ -228,3 +228,34 @@ def test_kinds(spark):
     assert max(scores, key=scores.get) == 3
     placed = {x.session_id: x.cluster for x in archetypes.assign_kinds(df, model).collect()}
     assert len(placed) == 90 and len({(i % 3, c) for i, c in placed.items()}) == 3
+
+
+def test_small_helpers(spark, tmp_path):
+    from listenloom.functions.latency import LatencyWindow
+    from listenloom.model.encoder import Shape, new_weights, untouched_residuals
+    from listenloom.model.scoring import trace_points
+    from listenloom.operators.archetypes import kinds_summary
+    from listenloom.operators.vocab import vocab_differences
+
+    a = spark.createDataFrame([(2, "x"), (3, "y")], "item_id bigint, item_key string")
+    b = spark.createDataFrame([(2, "x"), (3, "z"), (4, "y")], "item_id bigint, item_key string")
+    assert vocab_differences(a, a) == 0 and vocab_differences(a, b) == 2
+    window = LatencyWindow(3)
+    assert window.snapshot()["p50"] is None
+    for ms in (100, 1, 2, 3):
+        window.record(ms)
+    assert window.snapshot() == {"total": 4, "kept": 3, "p50": 2.0, "p95": pytest.approx(2.9), "p99": pytest.approx(2.98), "max": 3.0, "mean": 2.0}
+    with window.timed():
+        pass
+    window.reset()
+    assert window.snapshot()["total"] == 0
+    w = new_weights(Shape(n_items=5, dim=4, items="hybrid", text_dim=3), __import__("numpy").zeros((5, 3)))
+    assert untouched_residuals(w) == 3
+    instances = spark.createDataFrame([(f"{u}:{i}", u) for u in "abc" for i in range(9)], "instance_id string, user_id string")
+    assert trace_points(instances, 2, 4).count() == 8
+    r = kinds_summary(a, 9, {3: 0.1, 4: 0.5}).first()
+    assert (r.k, r.clustered_sessions, r.total_sessions, r.silhouette) == (4, 2, 9, {3: 0.1, 4: 0.5})
+    assert report.notes(1, 20) and not report.notes(2, 20)
+    report.write_insights(str(tmp_path / "i"), a, b, a)
+    report.write(E.sliced_metrics(spark.createDataFrame([(0, True, False, False)], "rank bigint, is_repeat boolean, is_cold_user boolean, is_cold_item boolean"), "m"), str(tmp_path / "r"), {"seed": 0})
+    assert "| 3 | z |" in (tmp_path / "i" / "insights.md").read_text() and (tmp_path / "r" / "results.csv").exists()

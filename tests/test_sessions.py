@@ -3,7 +3,7 @@ import random
 import pytest
 
 from listenloom.operators.intervals import merge_intervals
-from listenloom.operators.ordered import exact_quantile, global_rank, histories, lagged_pairs, sessionized
+from listenloom.operators.ordered import exact_quantile, global_rank, grouped_quantiles, histories, lagged_pairs, sessionized
 from listenloom.operators.session_table import SessionTable
 from listenloom.runtime import fresh_path
 from pyspark.sql import functions as F
@@ -135,3 +135,9 @@ def test_ranks_and_quantiles(spark):
     for q in (0.0, 0.1, 0.85, 1.0):
         assert exact_quantile(df, "v", q, few=20) == pytest.approx(np.quantile(values, q))
     assert exact_quantile(df.where("false"), "v", 0.5) is None
+    groups = df.withColumn("g", F.col("i") % 3).withColumn("v", F.when(F.col("i") % 7 > 0, F.col("v")))
+    got = {(x.g, x.q): x.value for x in grouped_quantiles(groups, "g", "v", [0.0, 0.5, 0.9, 1.0]).collect()}
+    for g in range(3):
+        own = [v for i, v in enumerate(values) if i % 3 == g and i % 7]
+        for q in (0.0, 0.5, 0.9, 1.0):
+            assert got[g, q] == pytest.approx(np.quantile(own, q))
