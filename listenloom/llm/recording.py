@@ -221,12 +221,16 @@ def versions_alike(a: str, b: str) -> int:
 
 
 def titles_alike(a: str, b: str) -> int:
-    """Slips between two keys: 0, 1, or 2 where two words have one each; 9 for other names."""
+    """Slips between two keys: 0 or 1; 2 where two words have one each, or one word of six letters or more has two and keeps its ends; 9 for other names."""
     d = osa(a, b, 2)
     if d <= 1:
         return d
     if d == 2:
         x, y = a.split(), b.split()
-        if len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 2 and all(osa(p, q, 1) <= 1 for p, q in zip(x, y)):
-            return 2
+        if len(x) == len(y):
+            other = [(p, q) for p, q in zip(x, y) if p != q]
+            if len(other) == 2 and all(osa(p, q, 1) <= 1 for p, q in other):
+                return 2
+            if len(other) == 1 and min(map(len, other[0])) >= 6 and other[0][0][0] == other[0][1][0] and other[0][0][-1] == other[0][1][-1]:
+                return 2
     return 9

@@ -47,8 +47,9 @@ def unlikeness(a: Name, b: Name) -> float:
     slips += titles_alike(a[1], b[1])
     if slips > 2:
         return _FAR
-    slips += osa(a[0], b[0], 2)
-    return SLIP * slips if slips <= 3 and osa(a[0], b[0], 2) <= 1 else _FAR
+    artist = osa(a[0], b[0], 2)
+    # two slips in the artist's name are believed where nothing else differs
+    return SLIP * (slips + artist) if artist <= 1 and slips + artist <= 3 or artist == 2 and not slips else _FAR
 
 
 def _linkable(a: Name, b: Name) -> bool:

@@ -92,3 +92,20 @@ def test_track_names(text, title, version):
 def test_artist_names():
     assert {parse_artist(a) for a in ("Fanipo Sparrows, The", "THE  FANIPO SPARROWS ", "The Fanipo Sparrows feat. Lumil")} == {"the fanipo sparrows"}
     assert parse_artist("Gakini & the Sparrows") == parse_artist("gakini and the sparrows")
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        (("letovopi", "gupapabafe", ""), ("letovui", "gupapabafe", ""), True),
+        (("x", "distat togopegadu", ""), ("x", "ditsant togopegadu", ""), True),
+        (("x", "northern pocket", ""), ("x", "northern jacket", ""), False),
+        (("x", "yard", ""), ("x", "yarn", ""), True),
+        (("letovopi", "quarry", ""), ("letovui", "quary", ""), False),
+        (("x", "quarry", "live:"), ("x", "quarry", "live:mukite hall"), False),
+        (("x", "quarry", "part:2"), ("x", "quarry", "part:3"), False),
+        (("x", "quarry", "remix:safale"), ("x", "quarry", "remix:safael"), True),
+    ],
+)
+def test_slips(a, b, same):
+    assert (R.unlikeness(a, b) < 1) == same == (R.unlikeness(b, a) < 1)
