@@ -213,12 +213,12 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
     size = lambda df, c: df.withColumn(c.replace("title", "words"), F.size(F.split(c, " ")))
     settle("title_slips", judged(on_forms(size(unresolved(), "title"), size(items, "i_title"), words("title"), words("i_title"), ["words"]), 0, _DOUBTFUL + 4))
 
-    # a long title may be cut off without a sign of it; that needs durations that agree
+    # a long title may be cut off without a sign of it; unless that is inside a word, it needs durations that agree
     cut = unresolved().where((F.col("cut") & (F.length("title") >= 6)) | (F.length("title") >= 15)).withColumn("form", F.explode(F.array_distinct(F.concat(F.array(F.substring("title", 1, 6)), words("title")))))
     begun = cut.join(items.withColumn("i_form", F.explode(F.array_distinct(F.concat(F.array(F.substring("i_title", 1, 6)), words("i_title"))))), [cut["t_key"] == F.col("i_artist_key"), F.col("form") == F.col("i_form")])
     begun = begun.where((F.col("kinds") == F.col("i_kinds")) | (F.col("kinds") == "")).select("id", "i_id", "title", "i_title", "kinds", "i_kinds", "cut", "a_slips").distinct().withColumn("t", _begins("title", "i_title")).where("t <= 1")
     # the cut may have taken the version with it: one that isn't needed for the match costs
-    settle("cut_title", begun.select("id", "i_id", (F.col("a_slips") + F.col("t") + F.when(F.col("kinds") == F.col("i_kinds"), 0).otherwise(3) + F.when(F.col("cut"), 0).otherwise(_DOUBTFUL)).alias("slips")))
+    settle("cut_title", begun.select("id", "i_id", (F.col("a_slips") + F.col("t") + F.when(F.col("kinds") == F.col("i_kinds"), 0).otherwise(3) + F.when(F.col("cut"), 0).when(F.substring(F.col("i_title"), F.length("title") + 1, F.lit(1)).isin(" ", ""), _DOUBTFUL).otherwise(5)).alias("slips")))
 
     every = passes[0]
     for p in passes[1:]:

@@ -132,6 +132,8 @@ def _cut_word(part: str) -> tuple[str, str] | None:
     found = classify(part, True)
     if found:
         return found
+    if all(w.isdigit() for w in words):  # the year of an edition
+        return ("drop", "")
     w = words[-1]
     if len(words) == 1 or known_word(words[0]) in (*GUEST, *PACKAGING):
         for k in (*GUEST, *PACKAGING):

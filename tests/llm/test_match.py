@@ -32,6 +32,9 @@ CASES = [
     ("Movuil-Kisse", "Engine of Butiti", 165_000, 3, "artist_variant"),
     ("Fehopi", "No Rievr fr Nopi (Part Two)", 241_000, 4, "title_slips"),
     ("Dobare", "Repair the Silent Ci…", None, 6, "cut_title"),
+    ("Dobare", "Repair the Silent Ci", None, 6, "cut_title"),
+    ("Dobare", "Repair the Silent", None, None, None),
+    ("Movuli-Kise", "Engine of Butiti - 20…", 165_000, 3, "exact"),
     ("The Fanipo Sparrows", "Scarlet Cinder (Karaoke)", 200_000, None, None),
     ("The Fanipo Sparrows", "Scarlet Cinder, Pt. 3", 200_000, None, None),
     ("Somebody Else", "Scarlet Cinder", 200_000, None, None),
