@@ -8,13 +8,15 @@ that names the live part of each bucket is renamed into place. Readers see the
 table before or after a batch, never between. A batch that was cut off leaves
 unreferenced files and no other trace, and can be applied again.
 
-Event ids already counted are kept in a ledger, which decides redeliveries.
+Event ids already counted are kept in a ledger, which decides redeliveries. It is laid
+out by era, a stretch of the calendar, and a batch reads the eras of its events only.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from listenloom.operators.intervals import DAY, merge_sliced, slice_of
 from listenloom.runtime import hadoop_fs, materialize, remove
 
 _SESSIONS = "owner string, start bigint, stop bigint, n bigint"
-_LEDGER = "event_id bigint"
+_LEDGER = "event_id bigint, era int"
+#: Slices of the calendar that share a part of the ledger.
+ERA_SLICES = 13
 
 
 class SessionTable:
@@ -63,10 +67,12 @@ class SessionTable:
             raise RuntimeError(f"version {manifest['version']} was committed by another writer")
 
     # reading ------------------------------------------------------------------
-    def _read(self, folders: list[str], schema: str, partitioned: bool = False) -> DataFrame:
-        if not folders:
+    def _read(self, folders: list[str], schema: str) -> DataFrame:
+        """All folders as one table; folders of different commits have partitions of their own."""
+        tables = [self.spark.read.schema(schema).parquet(f) for f in folders] if "era" in schema else [self.spark.read.schema(schema).parquet(*folders)] if folders else []
+        if not tables:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
+        return reduce(DataFrame.unionByName, tables)
 
     def _stored(self, manifest: dict, buckets: set[int] | None = None) -> DataFrame:
         return self._read([p for b, p in manifest["parts"].items() if buckets is None or int(b) in buckets], _SESSIONS)
@@ -87,13 +93,16 @@ class SessionTable:
         """
         old = self._manifest()
         rows = events.select(F.col(f"`{event_id}`").cast("bigint").alias("event_id"), F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{ts}`").cast("bigint").alias("start")).where("event_id is not null and owner is not null and start is not null")
-        if old["ledger"]:
-            rows = rows.join(self._read(old["ledger"], _LEDGER), "event_id", "left_anti")
         # redeliveries agree in owner and time, so they meet in one slice and one shuffle serves both steps
         rows = rows.withColumn("slice", slice_of(F.col("start"), self.slice_seconds)).repartition("owner", "slice")
         fresh = materialize(rows.dropDuplicates(["owner", "slice", "event_id"]), "batch")
+        era = F.floor(F.col("slice") / F.lit(ERA_SLICES)).cast("int").alias("era")
+        if old["ledger"]:
+            eras = [r.era for r in fresh.select(era).distinct().collect()]  # bounded by the calendar
+            counted = self._read(old["ledger"], _LEDGER).where(F.col("era").isin(eras)).select("event_id")
+            fresh = materialize(fresh.join(counted, "event_id", "left_anti"), "fresh")
         ledger = f"{self.path}/ledger/{uuid.uuid4().hex}"
-        fresh.select("event_id").write.parquet(ledger)
+        fresh.select("event_id", era).repartition("era").write.partitionBy("era").parquet(ledger)
         once = fresh.groupBy("owner", "slice", "start").agg(F.count("*").alias("n")).withColumn("stop", F.col("start"))
         local = materialize(merge_sliced(once, self.gap).withColumn("bucket", self._bucket()), "local")
         touched = {r[0] for r in local.select("bucket").distinct().collect()}  # at most self.buckets rows
