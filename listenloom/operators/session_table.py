@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +67,13 @@ class SessionTable:
 
     # reading ------------------------------------------------------------------
     def _read(self, folders: list[str], schema: str) -> DataFrame:
-        """All folders as one table; folders of different commits have partitions of their own."""
-        tables = [self.spark.read.schema(schema).parquet(f) for f in folders] if "era" in schema else [self.spark.read.schema(schema).parquet(*folders)] if folders else []
-        if not tables:
+        """All folders in one scan."""
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return reduce(DataFrame.unionByName, tables)
+        reader = self.spark.read.schema(schema)
+        if schema == _LEDGER:
+            reader = reader.option("basePath", f"{self.path}/ledger")
+        return reader.parquet(*folders)
 
     def _stored(self, manifest: dict, buckets: set[int] | None = None) -> DataFrame:
         return self._read([p for b, p in manifest["parts"].items() if buckets is None or int(b) in buckets], _SESSIONS)
@@ -101,7 +102,7 @@ class SessionTable:
             eras = [r.era for r in fresh.select(era).distinct().collect()]  # bounded by the calendar
             counted = self._read(old["ledger"], _LEDGER).where(F.col("era").isin(eras)).select("event_id")
             fresh = materialize(fresh.join(counted, "event_id", "left_anti"), "fresh")
-        ledger = f"{self.path}/ledger/{uuid.uuid4().hex}"
+        ledger = f"{self.path}/ledger/commit={uuid.uuid4().hex}"
         fresh.select("event_id", era).repartition("era").write.partitionBy("era").parquet(ledger)
         once = fresh.groupBy("owner", "slice", "start").agg(F.count("*").alias("n")).withColumn("stop", F.col("start"))
         local = materialize(merge_sliced(once, self.gap).withColumn("bucket", self._bucket()), "local")
