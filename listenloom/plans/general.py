@@ -26,15 +26,20 @@ def p7_found(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> DataFr
 
     The table is filled batch by batch in order of arrival, as a nightly job would.
     """
-    plays = usable_plays(spark.read.parquet(f"{sf_dir}/plays.parquet")).select("play_id", "user_id", "ts", "ingested_at")
+    plays = spark.read.parquet(f"{sf_dir}/plays.parquet")
     table = SessionTable(spark, fresh_path(spark, "sessions"))
-    arrived = F.unix_micros(F.col("ingested_at").cast("timestamp"))
-    cuts = [c for c in plays.select(F.percentile_approx(arrived, [i / batches for i in range(1, batches)], 1000)).first()[0] or []] if batches > 1 else []
-    edges = [None, *sorted(set(cuts)), None]
+    arrived, kind = F.col("ingested_at"), plays.schema["ingested_at"].dataType
+    at = F.percentile_approx(F.unix_micros(arrived.cast("timestamp")), [i / batches for i in range(1, batches)], 1000)
+    cuts = (plays.select(at).first()[0] or []) if batches > 1 else []
+    # compared as stored, so that a batch reads only the row groups it is in
+    edges = [None, *[F.timestamp_micros(F.lit(c)).cast(kind) for c in sorted(set(cuts))], None]
     for low, high in zip(edges, edges[1:]):
-        after = F.lit(True) if low is None else arrived > low
-        until = F.lit(True) if high is None else arrived <= high
-        table.apply(plays.where((after & until) | arrived.isNull() if low is None else after & until))
+        part = plays
+        if high is not None:
+            part = part.where(arrived <= high if low is not None else (arrived <= high) | arrived.isNull())
+        if low is not None:
+            part = part.where(arrived > low)
+        table.apply(usable_plays(part).select("play_id", "user_id", "ts"))
     return table.sessions().select(F.col("owner").alias("user_id"), F.col("start").alias("start_ts"), F.col("stop").alias("end_ts"), F.col("n").alias("n_plays"))
 
 
