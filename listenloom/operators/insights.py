@@ -45,8 +45,8 @@ def drift_timeline(seqs: DataFrame, vectors: DataFrame, window_days: int = 90, m
     placed window (0 for itself), ``since_previous`` the number of windows in between plus one.
     ``labels`` (``item_id, label``) names the top items, by count, then number.
     """
-    origin = seqs.agg(F.min("ts").alias("origin"))  # one row
-    placed_in = seqs.crossJoin(F.broadcast(origin)).withColumn("window", window_number(F.col("ts"), F.col("origin"), window_days))
+    origin = seqs.agg(F.min("ts")).first()[0]
+    placed_in = seqs.withColumn("origin", F.lit(origin).cast("bigint")).withColumn("window", window_number(F.col("ts"), F.col("origin"), window_days))
     real = F.col("item_id") >= FIRST
     by = placed_in.groupBy("user_id", "window").agg(F.min("origin").alias("origin"), F.count("*").alias("n_events"), F.countDistinct(F.when(real, F.col("item_id"))).alias("n_unique"), F.count_if(real).alias("n_real"))
     weights = placed_in.where(real).groupBy("user_id", "window", "item_id").agg(F.count("*").alias("n"))
@@ -121,12 +121,12 @@ def session_signals(events: DataFrame) -> DataFrame:
 
 def cluster_profile(sessions: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Size, share, means, and hours of each cluster of sessions; the peak hour is the lowest of the fullest."""
-    total = sessions.agg(F.count("*").alias("total"))  # one row
+    total = sessions.count()
     hours = sessions.groupBy(cluster, "hour_utc").agg(F.count("*").alias("n"))
     histogram = hours.groupBy(cluster).agg(F.map_from_entries(F.collect_list(F.struct(F.col("hour_utc").cast("int"), "n"))).alias("h")).select(cluster, F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.col("h")[i.cast("int")], F.lit(0)).cast("int")).alias("hour_histogram"))
     by = sessions.groupBy(cluster).agg(F.count("*").alias("n_sessions"), F.round(F.avg("n_events"), 6).alias("mean_length"), F.round(F.avg("n_unique"), 6).alias("mean_unique"), F.round(F.avg(F.col("repeat_frac").cast("double")), 6).alias("mean_repeat_frac"))
     middle = grouped_quantiles(sessions, cluster, "median_gap", [0.5]).select(cluster, F.round("value", 6).alias("median_gap_s"))
-    out = by.join(middle, cluster, "left").join(histogram, cluster).crossJoin(F.broadcast(total))
+    out = by.join(middle, cluster, "left").join(histogram, cluster).withColumn("total", F.lit(total))
     return out.select(cluster, "n_sessions", F.round(F.col("n_sessions") / F.col("total"), 6).alias("share"), "mean_length", "mean_unique", "mean_repeat_frac", "median_gap_s", (F.array_position("hour_histogram", F.array_max("hour_histogram")) - 1).cast("int").alias("peak_hour"), "hour_histogram")
 
 
@@ -138,8 +138,8 @@ def lift_labels(plays: DataFrame, cluster: str = "cluster", label: str = "label"
     counts = plays.groupBy(cluster, label).agg(F.count("*").alias("count"))
     of = counts.groupBy(cluster).agg(F.sum("count").alias("in_cluster"))
     every = counts.groupBy(label).agg(F.sum("count").alias("everywhere"))
-    total = counts.agg(F.sum("count").alias("total"))  # one row
-    scored = counts.where(F.col("count") >= support).join(of, cluster).join(every, label).crossJoin(F.broadcast(total))
+    total = counts.agg(F.sum("count")).first()[0]
+    scored = counts.where(F.col("count") >= support).join(of, cluster).join(every, label).withColumn("total", F.lit(total).cast("bigint"))
     share = F.col("count") / F.col("in_cluster")
     scored = scored.select(cluster, label, F.round(share / (F.col("everywhere") / F.col("total")), 3).alias("lift"), F.round(share, 4).alias("share"), "count")
     w = Window.partitionBy(cluster).orderBy(F.desc("lift"), F.desc("count"), label)

@@ -18,6 +18,15 @@ class Split:
     holdout: DataFrame
 
 
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """Summaries of one row each, side by side."""
+    rows = [p.withColumn("__one", F.lit(1)) for p in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.join(r, "__one")
+    return out.drop("__one")
+
+
 def half_even(x: float) -> int:
     return round(x)
 
@@ -52,7 +61,7 @@ def split_summary(split: Split) -> DataFrame:
     a = split.train.agg(F.count("*").alias("train_events"), F.countDistinct("user_id").alias("train_users"))
     b = split.test.agg(F.count("*").alias("test_events"), F.countDistinct("user_id").alias("test_users"))
     c = split.holdout.agg(F.count("*").alias("holdout_users"))
-    return a.crossJoin(b).crossJoin(c).withColumn("cutoff_ts", F.lit(split.cutoff).cast("bigint"))  # one row each
+    return one_row([a, b, c]).withColumn("cutoff_ts", F.lit(split.cutoff).cast("bigint"))
 
 
 def leakage_report(split: Split) -> DataFrame:
@@ -60,7 +69,7 @@ def leakage_report(split: Split) -> DataFrame:
     a = split.train.agg(F.max("ts").alias("max_train_ts"))
     b = split.test.agg(F.min("ts").alias("min_test_ts"))
     c = split.train.join(split.holdout, "user_id", "left_semi").agg(F.count("*").alias("holdout_events_in_train"))
-    return a.crossJoin(b).crossJoin(c)  # one row each
+    return one_row([a, b, c])
 
 
 def assert_no_leakage(split: Split) -> None:

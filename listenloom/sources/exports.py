@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listenloom.functions.time import to_unix_seconds
+from listenloom.operators.splits import one_row
 from listenloom.operators.vocab import positives
 from listenloom.schema import conform
 
@@ -127,4 +128,4 @@ def upload_stats(events: DataFrame, history: DataFrame) -> DataFrame:
     a = events.agg(F.count("*").alias("events_in_file"))
     b = positives(events).agg(F.count("*").alias("plays_after_filter"))
     c = history.agg(F.count("*").alias("retained"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct(F.struct("artist", "track")).alias("distinct_tracks"), F.countDistinct("artist").alias("distinct_artists"))
-    return a.crossJoin(b).crossJoin(c).withColumn("truncated", F.col("plays_after_filter") > F.col("retained"))  # one row each
+    return one_row([a, b, c]).withColumn("truncated", F.col("plays_after_filter") > F.col("retained"))
