@@ -2,10 +2,11 @@
 
 Hierarchical density clustering in five steps, each distributed or of bounded size:
 
-1. Neighbour graph. In each of a few rounds every vector joins the nearest of a
-   bounded number of pivots and is compared with the vectors of its cell, in blocks of
-   bounded size; each vector keeps its nearest ``neighbours``. An edge weighs the
-   mutual reachability of its ends: the largest of their distance and core distances.
+1. Neighbour graph. Every vector lives in the cell of its nearest pivot and is compared
+   with all vectors of its nearest cells, in blocks of bounded size. How many cells it
+   takes is measured against brute force. Each vector keeps its nearest ``neighbours``.
+   An edge weighs the mutual reachability of its ends: the largest of their distance
+   and core distances.
 2. Minimum spanning tree by Boruvka's rounds. Every component picks its least edge
    and components hang on to each other; this ends on one task once at most
    ``finish_at`` components are left, whose edges are streamed past it in order.
@@ -34,6 +35,7 @@ from listenloom.runtime import materialize
 _GRAPH = pa.schema([("id", pa.int64()), ("core", pa.float64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
 _FOUND = pa.schema([("id", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
 _CELLED = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("cells", pa.list_(pa.int32()))])
+_TRUTH = pa.schema([("q", pa.int32()), ("id", pa.int64()), ("cell", pa.int32()), ("d", pa.float64())])
 _TREE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.float64())])
 _LABEL = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("level", pa.int32()), ("label", pa.int64())])
 #: Nearest distance told apart, so that copies don't make a density infinite.
@@ -55,51 +57,79 @@ def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return np.asarray(batch.column(name).flatten()).reshape(batch.num_rows, width)
 
 
-def _assign(pivots):
+def _assign(pivots, probes: int):
+    """The ``probes`` cells of the nearest pivots, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pivots.value
+        for b in batches:
+            for s in range(0, b.num_rows, 2048):
+                part = b.slice(s, 2048)
+                near = _matrix(part, "vec", p.shape[1]) @ p.T
+                cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+                cells = np.take_along_axis(cells, np.argsort(-np.take_along_axis(near, cells, axis=1), axis=1), axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, probes, dtype=np.int32)), pa.array(cells.ravel()))], schema=_CELLED)
+
+    return run
+
+
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the ``k`` least of each row."""
+    at = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.argsort(d, axis=1)
+    return at, np.take_along_axis(d, at, axis=1)
+
+
+def _truth(asked, k: int):
+    """The ``k`` nearest of each asked vector in a partition, with the cell they live in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rounds = pivots.value
+        ids, x = asked.value
+        best, who, where = np.full((len(ids), k), np.inf, dtype=np.float32), np.zeros((len(ids), k), dtype=np.int64), np.zeros((len(ids), k), dtype=np.int32)
         for b in batches:
             if b.num_rows:
-                x = _matrix(b, "vec", rounds[0].shape[1])
-                cells = np.stack([np.argmax(x @ p.T, axis=1) for p in rounds], axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), pa.array(cells.ravel()))], schema=_CELLED)
+                own, cell = np.asarray(b.column("id")), np.asarray(b.column("cell"))
+                d = 1.0 - x @ _matrix(b, "vec", x.shape[1]).T
+                d[ids[:, None] == own[None, :]] = np.inf
+                at, near = _least(d, min(k, len(own)))
+                to, best = _least(np.concatenate([best, near], axis=1), k)
+                who, where = np.take_along_axis(np.concatenate([who, own[at]], axis=1), to, axis=1), np.take_along_axis(np.concatenate([where, cell[at]], axis=1), to, axis=1)
+        real = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.nonzero(real)[0].astype(np.int32), who[real], where[real], best[real].astype(np.float64))], schema=_TRUTH)
 
     return run
 
 
 def _neighbours(k: int, width: int):
-    """Nearest in the block, of rows that come block by block."""
-
-    def search(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
-        n = len(ids)
-        if n < 2:
-            return None
-        kk = min(k, n - 1)
-        d = 1.0 - x @ x.T
-        np.fill_diagonal(d, np.inf)
-        at = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < n - 1 else np.argsort(d, axis=1)[:, :kk]
-        near = np.maximum(np.take_along_axis(d, at, axis=1), 0).astype(np.float64)
-        offsets = pa.array(np.arange(0, n * kk + 1, kk, dtype=np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(ids[at].ravel())), pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))], schema=_FOUND)
+    """Nearest of a block's own vectors (``role`` 0, which come first) to each that asks (``role`` 1)."""
+
+    def search(base: tuple[np.ndarray, np.ndarray], ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
+        own, y = base
+        kk = min(k, len(own))
+        d = 1.0 - x @ y.T
+        d[ids[:, None] == own[None, :]] = np.inf
+        at, near = _least(d, kk)
+        real = np.isfinite(near)
+        offsets = pa.array(np.r_[0, np.cumsum(real.sum(axis=1))].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(own[at][real])), pa.ListArray.from_arrays(offsets, pa.array(np.maximum(near[real], 0).astype(np.float64)))], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, ids, xs = None, [], []
+        held_key, ids, xs, base = None, [], [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.asarray(b.column("block"))
+            key, role = np.asarray(b.column("block")), np.asarray(b.column("role"))
             x, own = _matrix(b, "vec", width), np.asarray(b.column("id"))
-            cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            cut = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (role[1:] != role[:-1])) + 1, len(key)]
             for s, e in zip(cut[:-1], cut[1:]):
-                if key[s] != held_key and ids:
-                    if (out := search(np.concatenate(ids), np.concatenate(xs))) is not None:
-                        yield out
-                    ids, xs = [], []
-                held_key = key[s]
-                ids.append(own[s:e])
-                xs.append(x[s:e])
-        if ids and (out := search(np.concatenate(ids), np.concatenate(xs))) is not None:
-            yield out
+                if key[s] != held_key:
+                    held_key, ids, xs, base = key[s], [], [], None
+                if role[s] == 0:
+                    ids.append(own[s:e])
+                    xs.append(x[s:e])
+                elif ids:
+                    base = base or (np.concatenate(ids), np.concatenate(xs))
+                    for f in range(s, e, 512):
+                        yield search(base, own[f : min(e, f + 512)], x[f : min(e, f + 512)])
 
     return run
 
@@ -148,23 +178,47 @@ def _nearest(k: int, core: int):
     return run
 
 
-def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 1024, max_pivots: int = 4096) -> DataFrame:
+def probes_needed(celled: DataFrame, pivots: np.ndarray, neighbours: int, recall: float, asked: int = 512) -> int:
+    """How many of the nearest cells hold the share ``recall`` of the true neighbours.
+
+    Measured against brute force: ``asked`` vectors are compared with all of ``id, vec,
+    cell``, and the cells of what they should find are looked up among their own.
+    """
+    drawn = celled.orderBy(F.xxhash64("id", F.lit(-1)), "id").limit(asked).select("id", "vec").collect()
+    ids, x = np.array([r[0] for r in drawn], dtype=np.int64), np.array([r[1] for r in drawn], dtype=np.float32)
+    near = celled.mapInArrow(_truth(celled.sparkSession.sparkContext.broadcast((ids, x)), neighbours), "q int, id bigint, cell int, d double")
+    best = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "cell"))), 1, neighbours).alias("best")).select("q", F.col("best.cell").alias("cells")).collect()
+    rank = np.argsort(np.argsort(-(x @ pivots.T), axis=1, kind="stable"), axis=1)
+    at = np.sort(np.concatenate([rank[r.q, r.cells] for r in best]))
+    return int(at[max(0, math.ceil(recall * len(at)) - 1)]) + 1
+
+
+def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, recall: float = 0.95) -> DataFrame:
     """``id, core, nbrs, dists`` of ``id, vec``: nearest neighbours and core distance of every vector.
 
-    Pivots are at most ``max_pivots`` vectors a round, drawn by a hash of the id: a
-    bounded sample that only lays out the comparison. Every vector is compared with up
-    to ``block`` others in each round; a cell above that is dealt out by hash.
+    Pivots, about one for ``block / 2`` vectors, are drawn by a hash of the id and lay
+    out the comparison. Every vector lives in the cell of its nearest pivot and is
+    compared with all that live in its nearest cells: at least ``rounds``, and as many
+    as hold the share ``recall`` of the true neighbours (:func:`probes_needed`). A cell
+    above ``block`` is compared part by part, so that none of it is passed over.
     """
     spark = vectors.sparkSession
-    count = min(max_pivots, max(1, round(n / (block * 0.6))))
-    picks = [np.array([r[0] for r in vectors.orderBy(F.xxhash64(F.col("id"), F.lit(t)), "id").limit(count).select("vec").collect()], dtype=np.float32) for t in range(rounds if count > 1 else 1)]
-    pivots = spark.sparkContext.broadcast(picks)
-    celled = materialize(vectors.mapInArrow(_assign(pivots), "id bigint, vec array<float>, cells array<int>"), "cells")
-    exploded = celled.select("id", "vec", F.posexplode("cells").alias("round", "cell"))
-    sizes = exploded.groupBy("round", "cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))  # rounds * max_pivots rows at most
-    blocks = exploded.join(F.broadcast(sizes), ["round", "cell"]).select("id", "vec", F.xxhash64("round", "cell", F.pmod(F.xxhash64("id", "round"), F.col("parts"))).alias("block"))
-    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_neighbours(neighbours, width), "id bigint, nbrs array<bigint>, dists array<double>")
-    return materialize(found.repartition("id").sortWithinPartitions("id").mapInArrow(_nearest(neighbours, core), "id bigint, core double, nbrs array<bigint>, dists array<double>"), "graph")
+    count = max(1, round(n / (block * 0.6)))
+    picked = np.array([r[0] for r in vectors.orderBy(F.xxhash64(F.col("id"), F.lit(0)), "id").limit(count).select("vec").collect()], dtype=np.float32)
+    pivots = spark.sparkContext.broadcast(picked)
+    schema = "id bigint, vec array<float>, cells array<int>"
+    celled = materialize(vectors.mapInArrow(_assign(pivots, 1), schema).select("id", "vec", F.col("cells")[0].alias("cell")), "cells")
+    probes = min(len(picked), max(rounds, probes_needed(celled, picked, neighbours, recall)))
+    asking = materialize(celled.select("id", "vec").mapInArrow(_assign(pivots, probes), schema), "asking").select("id", "vec", F.explode("cells").alias("cell"))
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
+    sizes = F.broadcast(sizes.join(asking.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(16 * block)).alias("turns")), "cell"))  # a row per pivot
+    part, turn = F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("turns"))
+    living = celled.join(sizes, "cell").withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)))
+    asking = asking.join(sizes, "cell").withColumn("turn", turn).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    rows = living.withColumn("role", F.lit(0)).unionByName(asking.withColumn("role", F.lit(1))).select("id", "vec", "role", F.xxhash64("cell", "part", "turn").alias("block"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * probes / 250_000))
+    found = rows.repartition(tasks, "block").sortWithinPartitions("block", "role").mapInArrow(_neighbours(neighbours, width), "id bigint, nbrs array<bigint>, dists array<double>")
+    return materialize(found.where(F.size("nbrs") > 0).repartition("id").sortWithinPartitions("id").mapInArrow(_nearest(neighbours, core), "id bigint, core double, nbrs array<bigint>, dists array<double>"), "graph")
 
 
 def mutual_reachability(graph: DataFrame) -> DataFrame:
@@ -471,7 +525,7 @@ def select_clusters(tree: DataFrame, nodes: DataFrame, n: int, least: int, exact
     return labels.select(F.col("p").alias("id"), "label")
 
 
-def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "vectors", min_share: float = 0.005, min_size: int = 5, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 1024, finish_at: int = 50_000, exact_at: int = 500_000, outlying: float = 2.4) -> DataFrame:
+def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "vectors", min_share: float = 0.005, min_size: int = 5, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, finish_at: int = 50_000, exact_at: int = 500_000, outlying: float = 2.4) -> DataFrame:
     """``id, cluster, reach``: the records that belong to a cluster.
 
     ``reach`` is the distance at which a record joins its cluster; the smaller, the more

@@ -89,6 +89,19 @@ def test_neighbours_recall(spark):
     assert np.mean([len(got[i] & set(best[i].tolist())) / 5 for i in range(600)]) >= 0.9
 
 
+def test_neighbours_recall_in_overfull_cells(spark):
+    r = np.random.default_rng(5)
+    x = np.r_[0.05 * r.normal(size=(6000, 12)) + np.eye(12)[0], np.repeat(r.normal(size=(30, 12)), 20, axis=0)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<float>")
+    got = {g.id: set(g.nbrs) for g in C.neighbour_graph(vectors, len(x), 12, block=64).collect()}
+    asked = r.choice(6000, 300, replace=False)
+    near = x[asked] @ x.T
+    near[np.arange(300), asked] = -9
+    best = np.argsort(-near, axis=1)[:, :10]
+    assert np.mean([len(got[i] & set(b)) / 10 for i, b in zip(asked.tolist(), best.tolist())]) >= 0.9
+
+
 def test_description_and_probes(spark):
     members = spark.createDataFrame([(1, 4, 0.1), (2, 4, 0.2), (3, 4, 0.05), (4, 9, 0.3)], "id bigint, cluster bigint, reach double")
     sessions = spark.createDataFrame([(1, [5, 5, 6, None, 0, 1]), (1, [5, 5, 6]), (2, [5, 5, 5]), (3, None), (4, [6, 6, 6, 6, 6, 6])], "session_id bigint, items array<bigint>")
