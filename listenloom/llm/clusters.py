@@ -10,10 +10,10 @@ Hierarchical density clustering in five steps, each distributed or of bounded si
 2. Minimum spanning tree by Boruvka's rounds. Every component picks its least edge
    and components hang on to each other; this ends on one task once at most
    ``finish_at`` components are left, whose edges are streamed past it in order.
-3. Hierarchy. Tree edges are contracted by weight in rounds until at most ``exact_at``
-   are left, whose merges are followed one by one. A component counts as a cluster
-   while it holds at least ``min_share`` of the records, so there are at most
-   ``1 / min_share`` at any weight.
+3. Hierarchy. The merges of tree edges are followed one by one in order of weight; above
+   ``exact_at`` edges component by component, lightest edges first, each going on as a
+   node that carries its cluster. A component counts as a cluster while it holds at
+   least ``min_share`` of the records.
 4. Selection by stability: a cluster's stability is its size integrated over the
    densities at which it exists; a parent holds against its parts if it is stabler.
 5. The members that join at the highest density are the exemplars.
@@ -37,7 +37,8 @@ _FOUND = pa.schema([("id", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists"
 _CELLED = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("cells", pa.list_(pa.int32()))])
 _TRUTH = pa.schema([("q", pa.int32()), ("id", pa.int64()), ("cell", pa.int32()), ("d", pa.float64())])
 _TREE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.float64())])
-_LABEL = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("level", pa.int32()), ("label", pa.int64())])
+_STEP = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("own", pa.int64()), ("since", pa.float64()), ("stability", pa.float64()), ("members", pa.list_(pa.int64()))])
+_LABEL = pa.schema([("id", pa.int64()), ("label", pa.int64())])
 #: Nearest distance told apart, so that copies don't make a density infinite.
 _NEAR = 1e-3
 #: The distance of opposite vectors; trees of a forest count as joined there.
@@ -291,175 +292,135 @@ def spanning_forest(edges: DataFrame, finish_at: int = 50_000) -> DataFrame:
 
 
 # 3. and 4. hierarchy and selection ------------------------------------------------
-class _Hierarchy:
-    """Follows merges in order of weight and keeps those of two clusters.
-
-    A cluster's stability grows by size times the fall of density (one over the
-    weight) while it exists; ``tops`` are the components it was when it ended.
+def _follow(least: int, last: bool):
+    """Merges of each block, followed one by one in order of weight.
+
+    Rows of a block are states of its components (``kind`` 0: ``a`` the component, ``b``
+    its cluster, ``since`` the density up to which its ``stability`` is counted, and its
+    ``members`` while it has no cluster) and tree edges (``kind`` 1, numbered ``e``); a
+    component without a state is one record. Gives the state of each block (0), the
+    cluster ``b`` that node ``a`` first belongs to (1), and clusters that ended, ``a``,
+    with the one they became part of, ``b`` (2). A cluster's stability grows by the
+    distinct vectors in it times the fall of density while it exists. The ``last`` call
+    ends what is left.
     """
 
-    def __init__(self, least: int):
-        self.least = least
-        self.stability: list[float] = []
-        self.parts: list[list[int]] = []
-        self.top: list[object] = []
-        self.since: list[float] = []
-        self.size: list[int] = []
-
-    def born(self, density: float, size: int, parts: list[int]) -> int:
-        self.stability.append(0.0)
-        self.parts.append(parts)
-        self.top.append(None)
-        self.since.append(density)
-        self.size.append(size)
-        return len(self.size) - 1
-
-    def resized(self, c: int, density: float, size: int) -> None:
-        self.stability[c] += self.size[c] * (self.since[c] - density)
-        self.since[c], self.size[c] = density, size
-
-    def ended(self, c: int, density: float, top: object) -> None:
-        self.resized(c, density, self.size[c])
-        self.top[c] = top
-
-    def selected(self, n: int) -> list[int]:
-        """Clusters that are stabler than the best of their parts; never the one of all records."""
-        best = list(self.stability)
-        own = [True] * len(best)
-        for c in range(len(best)):  # parts come before what they make up
-            inner = sum(best[p] for p in self.parts[c])
-            if self.parts[c] and (inner > self.stability[c] or self.size[c] >= n):
-                best[c], own[c] = inner, False
-        taken, stack = [], [c for c in range(len(best)) if not any(c in p for p in self.parts)]
-        while stack:
-            c = stack.pop()
-            if own[c]:
-                taken.append(c)
-            else:
-                stack += self.parts[c]
-        return sorted(taken)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        parent: dict[int, int] = {}
+        state: dict[int, list] = {}  # of a root: size, distinct, cluster, since, stability, members
 
+        def root(x: int) -> int:
+            r = x
+            while (p := parent.get(r, r)) != r:
+                r = p
+            while (p := parent.get(x, x)) != r:
+                parent[x], x = r, p
+            return r
 
-def _follow(n: int, least: int, levels: list[tuple[int, float, list[tuple[int, int, int]]]]):
-    """Labels from the last tree edges, sorted by weight, and the clusters met in earlier rounds.
+        def joins(c: int, members: list[int]) -> None:
+            rows.extend((1, m, c, 0, 0, 0.0, 0.0, None) for m in members)
 
-    ``levels``: of each earlier round its number, weight and large components as
-    (component, size, component of the next round). Rows with kind 0 are sizes
-    of components, kind 1 edges. Returns labels of components at their level.
-    """
+        def ends(s: list, density: float, into: int | None) -> None:
+            rows.append((2, s[2], into, s[0], s[1], 0.0, s[4] + s[1] * (s[3] - density), None))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = _Hierarchy(least)
-        cluster_at: dict[int, int] = {}  # component -> its cluster
-        # clusters of earlier rounds, finest first
-        inside: dict[int, list[tuple[int, int]]] = {}
-        for number, weight, large in levels:
-            density = 1 / max(weight, _NEAR)
-            now: dict[int, int] = {}
-            for comp, size, _ in large:
-                parts = inside.get(comp, [])
-                if len(parts) == 1:
-                    c = parts[0][0]
-                    h.resized(c, density, size)
-                elif parts:
-                    for c, was in parts:
-                        h.ended(c, density, (number - 1, was))
-                    c = h.born(density, size, [c for c, _ in parts])
-                else:
-                    c = h.born(density, size, [])
-                now[comp] = c
-            inside = {}
-            for comp, _, up in large:
-                inside.setdefault(up, []).append((now[comp], comp))
-            cluster_at = now
-        index: dict[int, int] = {}
-        names: list[int] = []
-        parent: list[int] = []
-        size: list[int] = []
-        node: list[int] = []
-        cluster: list[int] = []
-        leaf: list[int] = []
-        above: list[int] = []
-        given: dict[int, int] = {}
-        last_level = levels[-1][0] if levels else 0
-
-        def at(x: int) -> int:
-            i = index.get(x)
-            if i is None:
-                i = index[x] = len(names)
-                names.append(x)
-                parent.append(i)
-                size.append(given.get(x, 1))
-                leaf.append(len(above))
-                node.append(len(above))
-                above.append(-1)
-                cluster.append(cluster_at.get(x, -1))
-            return i
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        singles: list[int] = []
+        def merge(e: int, w: float, a: int, b: int) -> None:
+            x, y = root(a), root(b)
+            if x == y:
+                return
+            density = 1 / max(w, _NEAR)
+            both = [state.pop(x, None) or [1, 1, None, 0.0, 0.0, [x]], state.pop(y, None) or [1, 1, None, 0.0, 0.0, [y]]]
+            for k, s in enumerate(both):
+                if s[2] is None and s[0] >= least:  # copies of one vector: no density of their own
+                    s[2], s[3] = 4 * e + k, density
+                    joins(s[2], s[5])
+            one, two = both
+            made = [one[0] + two[0], one[1] + two[1], None, density, 0.0, []]
+            if one[2] is not None and two[2] is not None:
+                made[2] = 4 * e + 2
+                ends(one, density, made[2])
+                ends(two, density, made[2])
+            elif one[2] is not None or two[2] is not None:
+                old, new = (one, two) if one[2] is not None else (two, one)
+                made[2], made[4] = old[2], old[4] + old[1] * (old[3] - density)
+                joins(made[2], new[5])
+            elif made[0] >= least:
+                made[2] = 4 * e + 2
+                joins(made[2], one[5] + two[5])
+            else:
+                made[5] = one[5] + two[5]
+            parent[y] = x
+            state[x] = made
+
+        def close(block: int) -> None:
+            for s in state.values():
+                if not last:
+                    rows.append((0, block, *s[2:3], *s[:2], *s[3:]))
+                elif s[2] is not None:
+                    ends(s, 1 / _FAR, None)
+            parent.clear()
+            state.clear()
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STEP)], schema=_STEP)
+            rows.clear()
+            return out
+
+        held = None
         for batch in batches:
-            kinds, us, vs, ws = (batch.column(c).to_pylist() for c in ("kind", "u", "v", "w"))
-            for kind, u, v, w in zip(kinds, us, vs, ws):
+            cols = [batch.column(f).to_pylist() for f in ("block", "kind", "w", "e", "a", "b", "size", "own", "since", "stability", "members")]
+            for block, kind, w, e, a, b, size, own, since, stability, members in zip(*cols):
+                if held is not None and block != held:
+                    close(held)
+                held = block
                 if kind == 0:
-                    given[u] = v
-                    if v > 1:
-                        singles.append(u)
-                    continue
-                x, y = root(at(u)), root(at(v))
-                if x == y:
-                    continue
-                if size[x] < size[y]:
-                    x, y = y, x
-                density = 1 / max(w, _NEAR)
-                total = size[x] + size[y]
-                a, b = cluster[x], cluster[y]
-                if a >= 0 and b >= 0:
-                    h.ended(a, density, node[x])
-                    h.ended(b, density, node[y])
-                    c = h.born(density, total, [a, b])
-                elif a >= 0:
-                    h.resized(a, density, total)
-                    c = a
-                elif b >= 0:
-                    h.resized(b, density, total)
-                    c = b
+                    state[a] = [size, own, b, since, stability, members]
                 else:
-                    c = h.born(density, total, []) if total >= least else -1
-                parent[y] = x
-                size[x] = total
-                cluster[x] = c
-                made = len(above)
-                above.append(-1)
-                above[node[x]] = above[node[y]] = made
-                node[x] = made
-        for u in singles:
-            at(u)
-        for c in cluster_at:
-            at(c)
-        ground = 1 / _FAR
-        for i in range(len(names)):
-            if parent[i] == i and cluster[i] >= 0:
-                h.ended(cluster[i], ground, node[i])
-        label_of: dict[int, int] = {}
-        early: list[tuple[int, int, int]] = []
-        for c in h.selected(n):
-            if isinstance(h.top[c], tuple):
-                early.append((h.top[c][1], h.top[c][0], c))
-            else:
-                label_of[h.top[c]] = c
-        labels = [-1] * len(above)
-        for k in range(len(above) - 1, -1, -1):
-            labels[k] = label_of.get(k, labels[above[k]] if above[k] >= 0 else -1)
-        rows = [(1, x, last_level, labels[k]) for x, k in zip(names, leaf) if labels[k] >= 0] + [(0, comp, level, c) for comp, level, c in early]
+                    merge(e, w, a, b)
+                if len(rows) >= 50_000:
+                    yield given()
+        if held is not None:
+            close(held)
+        if rows:
+            yield given()
+
+    return run
+
+
+def _selected(n: int):
+    """``id, label``: each cluster that is selected or inside a selected one, and that one; from rows of kind 2.
+
+    A cluster holds against its parts if it is stabler than the best of them; one of all ``n`` records never does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ups, sizes, best = [], [], [], []
+        for b in batches:
+            for have, c in ((names, "a"), (ups, "b"), (sizes, "size"), (best, "stability")):
+                have += b.column(c).to_pylist()
+        at = {c: k for k, c in enumerate(names)}
+        up = [-1 if u is None else at[u] for u in ups]
+        inner, waits = [0.0] * len(names), [0] * len(names)
+        for u in up:
+            if u >= 0:
+                waits[u] += 1
+        parts = list(waits)
+        order = [k for k, x in enumerate(waits) if not x]
+        own = [True] * len(names)
+        for k in order:  # grows: parts come before what they make up
+            if parts[k] and (inner[k] > best[k] or sizes[k] >= n):
+                best[k], own[k] = inner[k], False
+            if (u := up[k]) >= 0:
+                inner[u] += best[k]
+                waits[u] -= 1
+                if not waits[u]:
+                    order.append(u)
+        label = [-1] * len(names)
+        for k in reversed(order):
+            label[k] = label[up[k]] if up[k] >= 0 and label[up[k]] >= 0 else k if own[k] else -1
+        rows = [(names[k], x) for k, x in enumerate(label) if x >= 0]
         for s in range(0, len(rows), 50_000):
-            part = rows[s : s + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int32(), pa.int64(), pa.int32(), pa.int64()))], schema=_LABEL)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[s : s + 50_000])], schema=_LABEL)
 
     return run
 
@@ -482,47 +443,57 @@ def _contract(edges: DataFrame) -> DataFrame:
             return total
 
 
+_STEP_COLUMNS = "kind int, a bigint, b bigint, size bigint, own bigint, since double, stability double, members array<bigint>"
+
+
 def select_clusters(tree: DataFrame, nodes: DataFrame, n: int, least: int, exact_at: int = 500_000) -> DataFrame:
-    """``id, label`` of the nodes ``id`` that belong to a selected cluster of the forest ``u, v, w``."""
-    spark = tree.sparkSession
-    edges = materialize(tree.select(F.col("u").alias("a"), F.col("v").alias("b"), "w"), "edges")
+    """``id, label`` of the nodes ``id, copies`` that belong to a selected cluster of the forest ``u, v, w``.
+
+    Up to ``exact_at`` edges one task follows the merges. Above it, the lightest edges go
+    first: each component they make is followed by itself, with at most about
+    ``exact_at`` edges, and goes on as one node that carries its size, cluster and
+    stability. Order and result are those of one task. Clusters are selected on one
+    task, which holds a few numbers for each; there are at most ``2 n / least``.
+    """
+    edges = materialize(tree.select(F.monotonically_increasing_id().alias("e"), F.col("u").alias("a"), F.col("v").alias("b"), "u", "v", "w"), "edges")
     left = edges.count()
-    maps: list[DataFrame] = []
-    levels: list[list] = []
-    sizes = nodes.select(F.col("id").alias("c"), F.lit(1).cast("bigint").alias("size"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("size", "bigint"), ("own", "bigint"), ("since", "double"), ("stability", "double"), ("members", "array<bigint>"))]
+    states = nodes.where("copies > 1").select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("copies").alias("size"), F.lit(1).cast("bigint").alias("own"), F.lit(0.0).alias("since"), F.lit(0.0).alias("stability"), F.array("id").alias("members"))
+
+    def step(low: DataFrame, held: DataFrame, last: bool) -> DataFrame:
+        """``low`` and ``held`` have a ``block``."""
+        lines = low.select("block", F.lit(1).alias("kind"), "w", "e", "a", "b", "u", "v", *none)
+        blank = [F.lit(None).cast(t).alias(c) for c, t in (("w", "double"), ("e", "bigint"), ("u", "bigint"), ("v", "bigint"))]
+        lines = lines.unionByName(held.select("block", "kind", "a", "b", "size", "own", "since", "stability", "members", *blank))
+        lines = lines.repartition(1) if last else lines.repartition("block")
+        return materialize(lines.sortWithinPartitions("block", "kind", "w", "u", "v").mapInArrow(_follow(least, last), _STEP_COLUMNS), "merges")
+
+    done: list[DataFrame] = []
     while left > exact_at:
         share = min(0.5, max(0.05, 1 - 0.9 * exact_at / left))
-        weight = edges.select(F.percentile_approx("w", share, 10_000)).first()[0]
-        low = edges.where(F.col("w") <= weight)
-        top = _contract(low.select("a", "b"))
-        number = len(levels) + 1
-        full = materialize(sizes.join(top, "c", "left").select("c", F.coalesce("p", "c").alias("p"), "size"), "map")
-        if levels:
-            ups = dict(full.join(spark.createDataFrame([(c,) for c, *_ in levels[-1][2]] or [(-1,)], "c bigint"), "c", "left_semi").select("c", "p").collect())
-            levels[-1][2] = [(c, s, ups[c]) for c, s, _ in levels[-1][2]]
-        maps.append(full.select("c", "p"))
-        sizes = materialize(full.groupBy(F.col("p").alias("c")).agg(F.sum("size").alias("size")), "sizes")
-        large = [(r.c, r.size) for r in sizes.where(F.col("size") >= least).collect()]  # at most n / least rows
-        levels.append([number, weight, [(c, s, c) for c, s in large]])
+        while True:
+            weight = edges.select(F.percentile_approx("w", share, 10_000)).first()[0]
+            low = edges.where(F.col("w") <= weight)
+            top = _contract(low.select("a", "b"))
+            low = low.join(top.select(F.col("c").alias("a"), F.col("p").alias("block")), "a")
+            if share < 0.01 or low.groupBy("block").count().agg(F.max("count")).first()[0] <= exact_at:
+                break
+            share /= 2
+        made = step(low, states.join(top.select(F.col("c").alias("a"), F.col("p").alias("block")), "a"), False)
+        states = materialize(states.join(top.select(F.col("c").alias("a")), "a", "left_anti").unionByName(made.where("kind = 0")), "states")
+        done.append(made.where("kind > 0"))
         high = edges.where(F.col("w") > weight)
         for end in ("a", "b"):
             high = high.join(top.select(F.col("c").alias(end), F.col("p").alias("q")), end, "left").withColumn(end, F.coalesce("q", end)).drop("q")
-        edges = materialize(high.select("a", "b", "w"), "edges")
+        edges = materialize(high, "edges")
         left = edges.count()
-    rows = edges.select(F.lit(1).alias("kind"), F.col("a").alias("u"), F.col("b").alias("v"), "w")
-    if levels:
-        ends = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        known = sizes.where("size > 1").join(ends, "c", "left_semi").unionByName(sizes.where(F.col("size") >= least)).distinct()
-        rows = rows.unionByName(known.select(F.lit(0).alias("kind"), F.col("c").alias("u"), F.col("size").alias("v"), F.lit(0.0).alias("w")))
-    found = rows.repartition(1).sortWithinPartitions("kind", "w", "u", "v").mapInArrow(_follow(n, least, [tuple(x) for x in levels]), "kind int, id bigint, level int, label bigint")
-    if not maps:
-        return found.where("kind = 1").select("id", "label")
-    found = materialize(found, "labels")
-    labels = found.where("kind = 1").select(F.col("id").alias("p"), "label")
-    for level in range(len(maps), 0, -1):
-        early = found.where((F.col("kind") == 0) & (F.col("level") == level - 1)).select(F.col("id").alias("c"), F.col("label").alias("early"))
-        labels = maps[level - 1].join(labels, "p", "left").join(early, "c", "left").select(F.col("c").alias("p"), F.coalesce("early", "label").alias("label")).where("label is not null")
-    return labels.select(F.col("p").alias("id"), "label")
+    block = F.lit(0).cast("bigint").alias("block")
+    done.append(step(edges.select("*", block), states.select("*", block), True))
+    merges = done[0]
+    for d in done[1:]:
+        merges = merges.unionByName(d)
+    chosen = merges.where("kind = 2").select("a", "b", "size", "stability").repartition(1).mapInArrow(_selected(n), "id bigint, label bigint")
+    return merges.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("c")).join(chosen.withColumnRenamed("id", "c"), "c").select("id", "label")
 
 
 def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "vectors", min_share: float = 0.005, min_size: int = 5, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, finish_at: int = 50_000, exact_at: int = 500_000, outlying: float = 2.4) -> DataFrame:
@@ -545,7 +516,7 @@ def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "v
     least = max(min_size, math.ceil(n * min_share))
     graph = neighbour_graph(vectors, n, width, neighbours, min(core, n - 1), rounds, block)
     tree = spanning_forest(mutual_reachability(graph), finish_at)
-    labels = materialize(select_clusters(tree, graph.select("id"), n, least, exact_at), "labels")
+    labels = materialize(select_clusters(tree, graph.select("id", F.lit(1).cast("bigint").alias("copies")), n, least, exact_at), "labels")
     reach = tree.select(F.explode(F.array("u", "v")).alias("id"), "w").groupBy("id").agg(F.min("w").alias("reach"))
     members = materialize(labels.join(reach, "id").select("id", F.col("label").alias("cluster"), "reach"), "members")
     middle = members.groupBy("cluster").agg(F.percentile_approx("reach", 0.5, 1000).alias("middle"))  # at most 1 / min_share rows

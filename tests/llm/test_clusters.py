@@ -102,6 +102,26 @@ def test_neighbours_recall_in_overfull_cells(spark):
     assert np.mean([len(got[i] & set(b)) / 10 for i, b in zip(asked.tolist(), best.tolist())]) >= 0.9
 
 
+def test_nested_dense_groups_are_the_same_on_both_paths(spark):
+    r = np.random.default_rng(8)
+    edges, at = [], 0
+    for k in range(4):  # four dense groups, the first two and the last two near each other
+        edges += [(at + i, at + i + 1, 0.002 + 0.0001 * float(r.random())) for i in range(29)]
+        edges += [(at + 29, at + 30, (0.02, 0.5, 0.02, 0.5)[k])]
+        at += 30
+    edges += [(at + i, at + i + 1, 0.3 + 0.1 * float(r.random())) for i in range(300)]  # diffuse
+    tree = spark.createDataFrame(edges, "u bigint, v bigint, w double")
+    nodes = spark.range(at + 301).selectExpr("id", "1L AS copies")
+    got = []
+    for exact_at in (1000, 100, 30):
+        by = {}
+        for x in C.select_clusters(tree, nodes, at + 301, 5, exact_at).collect():
+            by.setdefault(x.label, set()).add(x.id)
+        got.append(sorted(map(sorted, by.values())))
+    assert got[0] == got[1] == got[2]
+    assert got[0][:4] == [list(range(30 * k, 30 * k + 30)) for k in range(4)]
+
+
 def test_description_and_probes(spark):
     members = spark.createDataFrame([(1, 4, 0.1), (2, 4, 0.2), (3, 4, 0.05), (4, 9, 0.3)], "id bigint, cluster bigint, reach double")
     sessions = spark.createDataFrame([(1, [5, 5, 6, None, 0, 1]), (1, [5, 5, 6]), (2, [5, 5, 5]), (3, None), (4, [6, 6, 6, 6, 6, 6])], "session_id bigint, items array<bigint>")
