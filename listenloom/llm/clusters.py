@@ -222,6 +222,15 @@ def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10
     return materialize(found.where(F.size("nbrs") > 0).repartition("id").sortWithinPartitions("id").mapInArrow(_nearest(neighbours, core), "id bigint, core double, nbrs array<bigint>, dists array<double>"), "graph")
 
 
+def counted_cores(graph: DataFrame, firsts: DataFrame, core: int) -> DataFrame:
+    """``graph`` of distinct vectors ``id, copies`` with core distances in which every copy counts."""
+    arcs = graph.select("id", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select("id", F.col("e.nbrs").alias("to"), F.col("e.dists").alias("d"))
+    arcs = arcs.join(firsts.select(F.col("id").alias("to"), "copies"), "to").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "copies"))).alias("near"))
+    start = F.struct((F.lit(core) - F.col("copies") + 1).cast("bigint").alias("wanted"), F.lit(0.0).alias("core"))
+    within = F.aggregate("near", start, lambda s, x: F.when(s["wanted"] > 0, F.struct((s["wanted"] - x["copies"]).alias("wanted"), x["d"].alias("core"))).otherwise(s))
+    return graph.drop("core").join(arcs, "id").join(firsts.select("id", "copies"), "id").select("id", within["core"].alias("core"), "nbrs", "dists")
+
+
 def mutual_reachability(graph: DataFrame) -> DataFrame:
     """``u, v, w`` with u < v, each pair once."""
     arcs = graph.select("id", "core", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select("id", "core", F.col("e.nbrs").alias("to"), F.col("e.dists").alias("d"))
@@ -500,8 +509,10 @@ def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "v
     """``id, cluster, reach``: the records that belong to a cluster.
 
     ``reach`` is the distance at which a record joins its cluster; the smaller, the more
-    typical. A record whose reach is above ``outlying`` times its cluster's median belongs
-    to none. Records without a usable vector (null, zero, of another length, not finite)
+    typical. Copies of a vector are laid out as one and count as records in sizes and
+    core distances, but once in densities. A record whose reach is above ``outlying``
+    times the median of its nearest distinct neighbours in the cluster belongs to none,
+    unless its copies make a group by themselves. Records without a usable vector (null, zero, of another length, not finite)
     and those that fit no cluster have no row. Deliveries of one key count once (the
     greatest vector holds); equal vectors under other keys are records of their own.
     Empty input gives no rows. Cluster numbers are arbitrary, the grouping is not.
@@ -514,13 +525,26 @@ def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "v
     width, n = lengths["k"], lengths["count"]
     vectors = vectors.where(F.size("vec") == width)
     least = max(min_size, math.ceil(n * min_share))
-    graph = neighbour_graph(vectors, n, width, neighbours, min(core, n - 1), rounds, block)
+    firsts = materialize(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "vec", "copies"), "firsts")
+    distinct = firsts.count()
+    if distinct < 2:
+        return vectors.select("id", F.lit(0).cast("bigint").alias("cluster"), F.lit(_NEAR).alias("reach")) if n >= least else empty
+    graph = neighbour_graph(firsts.select("id", "vec"), distinct, width, neighbours, min(core, n - 1), rounds, block)
+    if distinct < n:
+        graph = materialize(counted_cores(graph, firsts, min(core, n - 1)), "cores")
     tree = spanning_forest(mutual_reachability(graph), finish_at)
-    labels = materialize(select_clusters(tree, graph.select("id", F.lit(1).cast("bigint").alias("copies")), n, least, exact_at), "labels")
-    reach = tree.select(F.explode(F.array("u", "v")).alias("id"), "w").groupBy("id").agg(F.min("w").alias("reach"))
-    members = materialize(labels.join(reach, "id").select("id", F.col("label").alias("cluster"), "reach"), "members")
-    middle = members.groupBy("cluster").agg(F.percentile_approx("reach", 0.5, 1000).alias("middle"))  # at most 1 / min_share rows
-    return members.join(F.broadcast(middle), "cluster").where(F.col("reach") <= F.col("middle") * outlying).select("id", "cluster", "reach")
+    labels = materialize(select_clusters(tree, firsts.select("id", "copies"), n, least, exact_at), "labels")
+    apart = tree.select(F.explode(F.array("u", "v")).alias("id"), "w").groupBy("id").agg(F.min("w").alias("reach"))
+    members = materialize(labels.join(apart, "id").join(firsts.select("id", "copies"), "id").select("id", F.col("label").alias("cluster"), "reach", "copies"), "members")
+    near = graph.select("id", F.explode("nbrs").alias("to")).join(members.select(F.col("id").alias("to"), "cluster", F.col("reach").alias("r")), "to")
+    scale = near.groupBy("id", "cluster").agg(F.median("r").alias("scale"))  # at most ``neighbours`` values each
+    members = members.join(scale, ["id", "cluster"], "left").where(F.col("scale").isNull() | (F.col("copies") >= least) | (F.col("reach") <= F.col("scale") * outlying)).drop("scale")
+    if distinct == n:
+        return members.select("id", "cluster", "reach")
+    copied = vectors.join(firsts.where("copies > 1").select("vec", F.col("id").alias("first")), "vec").select("id", "first")
+    members = materialize(members, "members")
+    others = copied.join(members.withColumnRenamed("id", "first"), "first").select("id", "cluster", F.lit(_NEAR).alias("reach"))
+    return members.where("copies = 1").select("id", "cluster", "reach").unionByName(others)
 
 
 def describe_clusters(members: DataFrame, sessions: DataFrame, catalog: DataFrame | None = None, key: str = "session_id", items: str = "items", top: int = 5, exemplars: int = 5, support: int = 5, salts: int = 32) -> DataFrame:

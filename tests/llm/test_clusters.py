@@ -122,6 +122,16 @@ def test_nested_dense_groups_are_the_same_on_both_paths(spark):
     assert got[0][:4] == [list(range(30 * k, 30 * k + 30)) for k in range(4)]
 
 
+def test_a_group_that_is_mostly_copies_stays_whole(spark):
+    rows, truth = _groups(seed=2, sizes=(60, 40), noise=5)
+    first = next(i for i, g in truth.items() if g == 0)
+    copies = [(1000 + i, rows[first][1]) for i in range(80)]
+    found = _found(C.similarity_clusters(_table(spark, rows + copies), min_size=6))
+    wanted = {i for i, g in truth.items() if g == 0} | {i for i, _ in copies}
+    assert max(len(f & wanted) for f in found) == len(wanted)
+    assert not {i for i, _ in rows[-5:]} & set().union(*found)
+
+
 def test_description_and_probes(spark):
     members = spark.createDataFrame([(1, 4, 0.1), (2, 4, 0.2), (3, 4, 0.05), (4, 9, 0.3)], "id bigint, cluster bigint, reach double")
     sessions = spark.createDataFrame([(1, [5, 5, 6, None, 0, 1]), (1, [5, 5, 6]), (2, [5, 5, 5]), (3, None), (4, [6, 6, 6, 6, 6, 6])], "session_id bigint, items array<bigint>")
