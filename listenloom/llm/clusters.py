@@ -13,7 +13,7 @@ Hierarchical density clustering in five steps, each distributed or of bounded si
 3. Hierarchy. The merges of tree edges are followed one by one in order of weight; above
    ``exact_at`` edges component by component, lightest edges first, each going on as a
    node that carries its cluster. A component counts as a cluster while it holds at
-   least ``min_share`` of the records.
+   least ``min_size`` records, whatever share of them that is.
 4. Selection by stability: a cluster's stability is its size integrated over the
    densities at which it exists; a parent holds against its parts if it is stabler.
 5. The members that join at the highest density are the exemplars.
@@ -505,7 +505,7 @@ def select_clusters(tree: DataFrame, nodes: DataFrame, n: int, least: int, exact
     return merges.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("c")).join(chosen.withColumnRenamed("id", "c"), "c").select("id", "label")
 
 
-def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "vectors", min_share: float = 0.005, min_size: int = 5, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, finish_at: int = 50_000, exact_at: int = 500_000, outlying: float = 2.4) -> DataFrame:
+def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "vectors", min_size: int = 5, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, finish_at: int = 50_000, exact_at: int = 500_000, outlying: float = 2.4) -> DataFrame:
     """``id, cluster, reach``: the records that belong to a cluster.
 
     ``reach`` is the distance at which a record joins its cluster; the smaller, the more
@@ -515,6 +515,7 @@ def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "v
     unless its copies make a group by themselves. Records without a usable vector (null, zero, of another length, not finite)
     and those that fit no cluster have no row. Deliveries of one key count once (the
     greatest vector holds); equal vectors under other keys are records of their own.
+    A cluster has at least ``min_size`` records, whatever share of the table that is.
     Empty input gives no rows. Cluster numbers are arbitrary, the grouping is not.
     """
     vectors = materialize(unit_vectors(df, key, vector), "vectors")
@@ -524,21 +525,20 @@ def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "v
         return empty
     width, n = lengths["k"], lengths["count"]
     vectors = vectors.where(F.size("vec") == width)
-    least = max(min_size, math.ceil(n * min_share))
     firsts = materialize(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "vec", "copies"), "firsts")
     distinct = firsts.count()
     if distinct < 2:
-        return vectors.select("id", F.lit(0).cast("bigint").alias("cluster"), F.lit(_NEAR).alias("reach")) if n >= least else empty
+        return vectors.select("id", F.lit(0).cast("bigint").alias("cluster"), F.lit(_NEAR).alias("reach")) if n >= min_size else empty
     graph = neighbour_graph(firsts.select("id", "vec"), distinct, width, neighbours, min(core, n - 1), rounds, block)
     if distinct < n:
         graph = materialize(counted_cores(graph, firsts, min(core, n - 1)), "cores")
     tree = spanning_forest(mutual_reachability(graph), finish_at)
-    labels = materialize(select_clusters(tree, firsts.select("id", "copies"), n, least, exact_at), "labels")
+    labels = materialize(select_clusters(tree, firsts.select("id", "copies"), n, min_size, exact_at), "labels")
     apart = tree.select(F.explode(F.array("u", "v")).alias("id"), "w").groupBy("id").agg(F.min("w").alias("reach"))
     members = materialize(labels.join(apart, "id").join(firsts.select("id", "copies"), "id").select("id", F.col("label").alias("cluster"), "reach", "copies"), "members")
     near = graph.select("id", F.explode("nbrs").alias("to")).join(members.select(F.col("id").alias("to"), "cluster", F.col("reach").alias("r")), "to")
     scale = near.groupBy("id", "cluster").agg(F.median("r").alias("scale"))  # at most ``neighbours`` values each
-    members = members.join(scale, ["id", "cluster"], "left").where(F.col("scale").isNull() | (F.col("copies") >= least) | (F.col("reach") <= F.col("scale") * outlying)).drop("scale")
+    members = members.join(scale, ["id", "cluster"], "left").where(F.col("scale").isNull() | (F.col("copies") >= min_size) | (F.col("reach") <= F.col("scale") * outlying)).drop("scale")
     if distinct == n:
         return members.select("id", "cluster", "reach")
     copied = vectors.join(firsts.where("copies > 1").select("vec", F.col("id").alias("first")), "vec").select("id", "first")
@@ -567,9 +567,9 @@ def describe_clusters(members: DataFrame, sessions: DataFrame, catalog: DataFram
     every = counts.groupBy("item").agg(F.sum("count").alias("everywhere"))
     plays = counts.groupBy("cluster").agg(F.sum("count").alias("plays"))
     all_plays = counts.agg(F.sum("count")).first()[0] or 1
-    scored = counts.where(F.col("count") >= support).join(every, "item").join(F.broadcast(plays), "cluster")
+    scored = counts.where(F.col("count") >= support).join(every, "item").join(plays, "cluster")
     scored = scored.select("cluster", "item", "count", F.round(F.col("count") / F.col("plays"), 4).alias("share"), F.round(F.col("count") / F.col("plays") / (F.col("everywhere") / F.lit(all_plays)), 3).alias("lift"))
-    # at most 1 / min_share clusters with as many items each as the catalog has: ranked in salted steps
+    # a cluster may have as many items as the catalog: ranked in salted steps
     first = Window.partitionBy("cluster", "salt").orderBy(F.desc("lift"), F.desc("count"), "item")
     scored = scored.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= top)
     if catalog is not None:
@@ -580,7 +580,7 @@ def describe_clusters(members: DataFrame, sessions: DataFrame, catalog: DataFram
     label = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.col("item").cast("string"))
     best = scored.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("l"), (-F.col("count")).alias("c"), label.alias("label"), "lift", "share", "count"))), 1, top).alias("x"))
     best = best.select("cluster", F.transform("x", lambda r: F.struct(r["label"].alias("label"), r["lift"].alias("lift"), r["share"].alias("share"), r["count"].alias("count"))).alias("top_items"))
-    numbered = sizes.withColumn("cluster_no", (F.row_number().over(Window.orderBy(F.desc("n_sessions"), "cluster")) - 1).cast("int"))  # at most 1 / min_share rows
+    numbered = sizes.withColumn("cluster_no", (F.row_number().over(Window.orderBy(F.desc("n_sessions"), "cluster")) - 1).cast("int"))  # a row per cluster
     return numbered.join(typical, "cluster", "left").join(best, "cluster", "left").select("cluster_no", "n_sessions", F.round(F.col("n_sessions") / F.lit(max(1, total)), 4).alias("share"), "exemplars", "top_items")
 
 

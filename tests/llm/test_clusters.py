@@ -132,6 +132,14 @@ def test_a_group_that_is_mostly_copies_stays_whole(spark):
     assert not {i for i, _ in rows[-5:]} & set().union(*found)
 
 
+def test_many_small_groups_are_found_in_a_large_table(spark):
+    rows, truth = _groups(seed=6, sizes=(8,) * 150, noise=0, dims=200, spread=0.01)
+    rows += [(5000 + i, v) for i, v in enumerate((np.eye(200)[199] + 0.02 * np.random.default_rng(7).normal(size=(1500, 200))).tolist())]
+    found = set(_found(C.similarity_clusters(_table(spark, rows))))
+    wanted = {frozenset(i for i, g in truth.items() if g == k) for k in range(150)}
+    assert len(found & wanted) >= 145
+
+
 def test_description_and_probes(spark):
     members = spark.createDataFrame([(1, 4, 0.1), (2, 4, 0.2), (3, 4, 0.05), (4, 9, 0.3)], "id bigint, cluster bigint, reach double")
     sessions = spark.createDataFrame([(1, [5, 5, 6, None, 0, 1]), (1, [5, 5, 6]), (2, [5, 5, 5]), (3, None), (4, [6, 6, 6, 6, 6, 6])], "session_id bigint, items array<bigint>")
