@@ -3,10 +3,10 @@
 A play is an interval of length zero, a session one of some length, so splitting
 plays into sessions and joining sessions bridged by late plays are one operation.
 
-No window ever sees all rows of an owner. Rows are first merged inside slices of
-the calendar, ``(owner, floor(start / slice_seconds))``; what is carried across
-slices is one row per owner and slice, whose number the calendar bounds however
-many rows the owner has.
+Rows are first merged inside slices of the calendar, ``(owner, floor(start /
+slice_seconds))``. What is left lies more than the gap apart in its slice, so an owner
+has at most one interval for every ``gap`` seconds of the calendar, however many rows
+there were, and those are merged owner by owner.
 """
 
 from __future__ import annotations
@@ -17,17 +17,17 @@ from pyspark.sql import functions as F
 DAY = 86_400
 
 
-def _heads(df: DataFrame, gap: int) -> DataFrame:
-    """Intervals merged inside each (owner, slice)."""
-    w = Window.partitionBy("owner", "slice").orderBy("start", "stop")
+def heads(df: DataFrame, gap: int, keys: list[str]) -> DataFrame:
+    """``keys, start, stop, n``: intervals of ``keys, start, stop, n`` merged inside each group of ``keys``."""
+    w = Window.partitionBy(*keys).orderBy("start", "stop")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col("start") - before > gap), F.col("start"))
     marked = df.withColumn("head", opens)
     island = F.last("head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("head", island).groupBy("owner", "slice", "head").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"))
+    return marked.withColumn("head", island).groupBy(*keys, "head").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n")).drop("head")
 
 
-def merge_intervals(df: DataFrame, owner: str, start: str, stop: str, n: str | None, gap: int, slice_seconds: int = 7 * DAY) -> DataFrame:
+def merge_intervals(df: DataFrame, owner: str, start: str, stop: str, n: str | None, gap: int, slice_seconds: int = DAY) -> DataFrame:
     """``owner, start, stop, n``: unions of intervals no more than ``gap`` apart.
 
     ``n`` is the sum of the column named (or the number of rows). Rows with a null
@@ -49,13 +49,4 @@ def slice_of(c: Column, slice_seconds: int) -> Column:
 
 def merge_sliced(rows: DataFrame, gap: int) -> DataFrame:
     """:func:`merge_intervals` of rows ``owner, slice, start, stop, n``."""
-    local = _heads(rows, gap)
-    slices = local.groupBy("owner", "slice").agg(F.max("stop").alias("slice_stop"))
-    w = Window.partitionBy("owner").orderBy("slice")
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    reached = slices.withColumn("reached", F.max("slice_stop").over(earlier)).drop("slice_stop")
-    # a merged interval opens a session unless earlier slices reach it
-    known = local.join(reached, ["owner", "slice"]).withColumn("opens", F.when(F.col("reached").isNull() | (F.col("start") - F.col("reached") > gap), F.col("start")))
-    last = known.groupBy("owner", "slice").agg(F.max("opens").alias("last_open")).withColumn("carried", F.last("last_open", ignorenulls=True).over(earlier)).drop("last_open")
-    keyed = known.join(last, ["owner", "slice"]).withColumn("session", F.coalesce("opens", "carried"))
-    return keyed.groupBy("owner", "session").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n")).drop("session")
+    return heads(heads(rows, gap, ["owner", "slice"]), gap, ["owner"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop) a temporary folder of this
-    machine is made once and written into the session.
+    Where a local session names none (tests, a laptop) a temporary folder of this
+    machine is made once and written into the session. On a cluster that would be a
+    folder of every machine's own, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="listenloom-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -24,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/listenloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/listenloom/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -39,11 +48,35 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing will read any more; other data frames are left alone."""
+    for t in tables:
+        if (path := getattr(t, "_written_to", None)) is not None:
+            remove(t.sparkSession, path)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written to the shared folder inside; results have to be consumed before."""
+    _scopes.append(made := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def clear_intermediates(spark: SparkSession) -> None:
-    """Delete what :func:`materialize` has written; results that were not yet computed can't be any more."""
+    """Delete all that was ever written to the shared folder; results that were not yet computed can't be any more."""
     remove(spark, f"{shared_dir(spark)}/listenloom")
 
 
@@ -55,7 +88,7 @@ def hadoop_fs(spark: SparkSession, path: str):
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system if it is there."""
+    """Delete a file or folder of the shared file system if it is there."""
     fs, p = hadoop_fs(spark, path)
     if fs.exists(p):
         fs.delete(p, True)

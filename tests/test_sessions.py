@@ -5,7 +5,7 @@ import pytest
 from listenloom.operators.intervals import merge_intervals
 from listenloom.operators.ordered import exact_quantile, global_rank, grouped_quantiles, histories, lagged_pairs, sessionized
 from listenloom.operators.session_table import SessionTable
-from listenloom.runtime import fresh_path
+from listenloom.runtime import fresh_path, hadoop_fs, shared_dir
 from pyspark.sql import functions as F
 
 EVENTS = "play_id bigint, user_id string, ts bigint, owner string, start string, n string"
@@ -75,8 +75,42 @@ def test_empty_batches_and_bridges(spark):
     before = table._manifest()
     table.apply(_events(spark, [(4, "u", 2800)]))
     assert _table(table.sessions()) == [("u", 1000, 4600, 3), ("v", 1, 1, 1)]
-    kept = {p for p in before["parts"].values() if p in table._manifest()["parts"].values()}
-    assert len(kept) >= len(before["parts"]) - 1
+    after = table._manifest()["parts"]
+    assert sum(after.get(k) == p for k, p in before["parts"].items()) >= len(before["parts"]) - 1
+
+
+def test_a_batch_rewrites_only_the_parts_it_reaches(spark):
+    year, rows = 365 * 86_400, []
+    for i in range(600):
+        rows.append((i, f"u{i % 40}", (i * 52_561) % year))
+    table = SessionTable(spark, fresh_path(spark, "t"), buckets=4)
+    table.apply(_events(spark, rows))
+    before = table._manifest()["parts"]
+    assert len(before) > 12
+    late = [(1000, "u1", 100 * 86_400), (1001, "u1", 100 * 86_400 + 60), (1002, "u2", 300 * 86_400)]
+    table.apply(_events(spark, late))
+    after = table._manifest()["parts"]
+    assert sum(after[k] != p for k, p in before.items()) <= 2
+    assert _table(table.sessions()) == _brute(rows + late)
+    # a session that runs on over the end of an era is met from the era after it
+    edge = 91 * 86_400
+    more = [(2000, "u3", edge - 900), (2001, "u3", edge + 500)]
+    table.apply(_events(spark, more))
+    table.apply(_events(spark, [(2002, "u3", edge + 2000), (2001, "u3", edge + 500)]))
+    assert _table(table.sessions()) == _brute(rows + late + more + [(2002, "u3", edge + 2000)])
+
+
+def test_old_parts_are_deleted_and_the_ledger_is_merged(spark):
+    table, rows = SessionTable(spark, fresh_path(spark, "t"), buckets=1, keep=1), []
+    for k in range(18):
+        rows.append((k, "u", 1000 * k))
+        table.apply(_events(spark, rows[-1:] + rows[:1]))
+    m = table._manifest()
+    assert [x["level"] for x in m["ledger"]] == [1, 0, 0] and list(table._versions()) == [18]
+    fs, p = hadoop_fs(spark, f"{table.path}/parts")
+    assert fs.listStatus(p).__len__() <= 18 and _table(table.sessions()) == _brute(rows)
+    assert all(fs.exists(hadoop_fs(spark, x["path"])[1]) for x in [*m["parts"].values(), *m["ledger"]])
+    assert fs.listStatus(hadoop_fs(spark, f"{table.path}/ledger")[1]).__len__() == 3
 
 
 def test_an_unfinished_batch_is_invisible_and_can_be_repeated(spark, monkeypatch):
@@ -97,6 +131,20 @@ def test_an_unfinished_batch_is_invisible_and_can_be_repeated(spark, monkeypatch
         SessionTable(spark, "x", gap=10, slice_seconds=10)
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+
+
 def test_sequence_numbers(spark):
     r = random.Random(8)
     rows = [(r.choice("abc"), r.randrange(3_000_000), i, r.randrange(5)) for i in range(300)]
