@@ -87,8 +87,11 @@ class SessionTable:
         if not old:
             return
         live = set().union(*(names(self._load(known[v])) for v in sorted(known)[-self.keep :]))
+        root = lambda path: path.partition("/era=")[0]
+        roots = {root(path) for path in live}
         for v in old:
-            for path in names(self._load(known[v])) - live:
+            gone = names(self._load(known[v])) - live
+            for path in {path if root(path) in roots else root(path) for path in gone}:
                 remove(self.spark, path)
             remove(self.spark, known[v].toString())
 
@@ -153,9 +156,14 @@ class SessionTable:
                 del parts[k]
             for r in new.groupBy("era", "bucket").agg(F.max("stop").alias("reach")).collect():  # a row per part
                 parts[f"{r.era}:{r.bucket}"] = {"path": f"{root}/era={r.era}/bucket={r.bucket}", "reach": r.reach}
-        manifest = {"version": old["version"] + 1, "parts": parts, "ledger": self._compacted([*old["ledger"], {"path": folder, "level": 0}]), "buckets": buckets}
+        ledger, merged_away = self._compacted([*old["ledger"], {"path": folder, "level": 0}])
+        manifest = {"version": old["version"] + 1, "parts": parts, "ledger": ledger, "buckets": buckets}
         self._commit(manifest)
         discard(local)
+        named = {x["path"] for x in old["ledger"]}
+        for path in merged_away:
+            if path not in named:  # no version will ever name it
+                remove(spark, path)
         self._expire()
         return manifest["version"]
 
@@ -201,18 +209,19 @@ class SessionTable:
         known = seen.join(F.broadcast(asked) if r.n <= FEW else asked, "event_id", "left_semi").distinct()
         return again.join(known, "event_id", "left_anti").groupBy("owner", "start", "stop").agg(F.sum("n").alias("n"))
 
-    def _compacted(self, ledger: list[dict]) -> list[dict]:
-        """The ledger with every :data:`FANOUT` folders of one level merged into one of the next, so that an id is rewritten few times."""
-        level = 0
+    def _compacted(self, ledger: list[dict]) -> tuple[list[dict], list[str]]:
+        """The ledger with every :data:`FANOUT` folders of one level merged into one of the next, so that an id is rewritten few times; and the folders merged."""
+        level, gone = 0, []
         while any(x["level"] >= level for x in ledger):
             same = [x for x in ledger if x["level"] == level]
             if len(same) >= FANOUT:
                 folder = f"{self.path}/ledger/{uuid.uuid4().hex}"
                 rows = self._read([x["path"] for x in same], _LEDGER)
                 rows.repartitionByRange("slice", "event_id").sortWithinPartitions("slice").write.parquet(folder)
+                gone += [x["path"] for x in same]
                 ledger = [x for x in ledger if x["level"] != level] + [{"path": folder, "level": level + 1}]
             level += 1
-        return ledger
+        return ledger, gone
 
     def drop(self) -> None:
         remove(self.spark, self.path)
