@@ -9,7 +9,8 @@ later start already beats is dropped for good, since the cost of a stretch is at
 least that of its parts.
 
 Plays are laid out by (user, week) and streamed in order, so that no task holds a
-user. Runs that may go on in the next week are joined from one row per week end.
+user. A stretch that may go on in the next week isn't segmented there: its blocks, a
+row for each change of spelling, meet those of the next week and are segmented whole.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from listenloom.runtime import materialize
 
 SLIP = 0.3
 _FAR = 9.0
-_RUN = "user_id string, first_play_id bigint, last_play_id bigint, n_plays bigint, start_ts bigint, end_ts bigint, week int, opens boolean, closes boolean, artist_key string, title_key string, version_key string"
-_RUN_ARROW = pa.schema([("user_id", pa.string()), ("first_play_id", pa.int64()), ("last_play_id", pa.int64()), ("n_plays", pa.int64()), ("start_ts", pa.int64()), ("end_ts", pa.int64()), ("week", pa.int32()), ("opens", pa.bool_()), ("closes", pa.bool_()), ("artist_key", pa.string()), ("title_key", pa.string()), ("version_key", pa.string())])
+#: Counts of letters in which two names differ at most if a third is within two slips of both.
+_APART = 8
+_RUN = "user_id string, first_play_id bigint, last_play_id bigint, n_plays bigint, start_ts bigint, end_ts bigint, open boolean, joined boolean, artist_key string, title_key string, version_key string"
+_RUN_ARROW = pa.schema([("user_id", pa.string()), ("first_play_id", pa.int64()), ("last_play_id", pa.int64()), ("n_plays", pa.int64()), ("start_ts", pa.int64()), ("end_ts", pa.int64()), ("open", pa.bool_()), ("joined", pa.bool_()), ("artist_key", pa.string()), ("title_key", pa.string()), ("version_key", pa.string())])
 _CACHE = 300_000
 
 Name = tuple[str, str, str]
@@ -52,9 +55,18 @@ def unlikeness(a: Name, b: Name) -> float:
     return SLIP * (slips + artist) if artist <= 1 and slips + artist <= 3 or artist == 2 and not slips else _FAR
 
 
+def _frame(version: str) -> tuple:
+    """What no slip changes in a version key: kinds, numbers of parts, and whether there are details."""
+    return tuple((k, d if k == "part" else bool(d)) for k, _, d in (v.partition(":") for v in version.split("|")))
+
+
 def _linkable(a: Name, b: Name) -> bool:
-    """Whether some third spelling could be near both."""
-    return versions_alike(a[2], b[2]) < 9 and osa(a[1], b[1], 2) <= 2 and osa(a[0], b[0], 2) <= 2
+    """Whether some third spelling could be near both: it is within two slips of each in artist and in title, and a slip changes two counts of letters at most."""
+    if a == b:
+        return True
+    if _frame(a[2]) != _frame(b[2]):
+        return False
+    return all((np.abs(np.diff(_letters([a[k], b[k]]), axis=0)).sum() <= _APART) for k in (0, 1))
 
 
 def segment(names: list[Name], weights: list[int], boundary: float = 1.0) -> list[tuple[int, int]]:
@@ -90,6 +102,15 @@ def segment(names: list[Name], weights: list[int], boundary: float = 1.0) -> lis
     return out[::-1]
 
 
+def _represented(names: list[Name], weights: list[int], boundary: float) -> Iterator[tuple[int, int, Name]]:
+    """:func:`segment`, with the spelling among a run's own that represents it best."""
+    for i, j in segment(names, weights, boundary):
+        counts: dict[Name, int] = {}
+        for m in range(i, j):
+            counts[names[m]] = counts.get(names[m], 0) + weights[m]
+        yield i, j, min(counts, key=lambda r: (sum(unlikeness(r, o) * c for o, c in counts.items()), r))
+
+
 class _Names:
     """Keys of raw names, remembered; codes are valid for one batch."""
 
@@ -127,7 +148,7 @@ def _letters(keys: list[str]) -> np.ndarray:
 
 
 def _stretches(gap: int, boundary: float, week_seconds: int):
-    """Runs of a partition sorted by user, week, ts, play_id. Yields those of two plays and more and those at the ends of weeks."""
+    """Runs of two plays and more of a partition sorted by user, week, ts, play_id, and the blocks of stretches that reach the ends of weeks."""
 
     def finish(rows: dict, names: _Names, fresh: bool, last: bool):
         """Runs of ``rows``, how many rows at the end aren't final, and whether those begin a week of a user.
@@ -153,50 +174,44 @@ def _stretches(gap: int, boundary: float, week_seconds: int):
         link = equal.copy()
         if len(maybe):
             la, lt = _letters(list(au)), _letters([k[0] for k in tl])
+            frames: dict[tuple, int] = {}
+            lf = np.fromiter((frames.setdefault(_frame(k[1]), len(frames)) for k in tl), dtype=np.int64, count=len(tl))
             x, y = maybe, maybe + 1
-            fits = (np.abs(la[a[x]] - la[a[y]]).sum(1) <= 4) & (np.abs(lt[t[x]] - lt[t[y]]).sum(1) <= 4)
-            for i in maybe[fits]:
-                p, q = tl[t[i]], tl[t[i + 1]]
-                if _linkable((au[a[i]], *p), (au[a[i + 1]], *q)):
-                    link[i] = True
+            link[maybe] = (lf[t[x]] == lf[t[y]]) & (np.abs(la[a[x]] - la[a[y]]).sum(1) <= _APART) & (np.abs(lt[t[x]] - lt[t[y]]).sum(1) <= _APART)
         cut = np.flatnonzero(~link) + 1
         starts, ends = np.r_[0, cut], np.r_[cut, n]
         upto = len(starts) if last else len(starts) - 1
         keep = 0 if last else n - int(starts[-1])
         new_group = np.r_[fresh, ~same]
-        firsts, lasts, reps = [], [], []
-        hard = {int(s) for s in np.flatnonzero(link & ~equal)}
-        hard_stretch = np.zeros(len(starts), dtype=bool)
-        if hard:
-            hard_stretch[np.searchsorted(starts, np.fromiter(hard, dtype=np.int64), side="right") - 1] = True
-        for k in np.flatnonzero(hard_stretch[:upto]):
-            s, e = int(starts[k]), int(ends[k])
-            block = np.flatnonzero(np.r_[True, ~equal[s : e - 1]]) + s
-            tops = np.r_[block[1:], e]
-            spelled = [(au[a[b]], *tl[t[b]]) for b in block]
-            for i, j in segment(spelled, list(map(int, tops - block)), boundary):
-                counts: dict[Name, int] = {}
-                for m in range(i, j):
-                    counts[spelled[m]] = counts.get(spelled[m], 0) + int(tops[m] - block[m])
-                rep = min(counts, key=lambda r: (sum(unlikeness(r, o) * c for o, c in counts.items()), r))
-                firsts.append(int(block[i]))
-                lasts.append(int(tops[j - 1]) - 1)
-                reps.append(rep)
-        easy = ~hard_stretch[:upto]
-        f, l = starts[:upto][easy], ends[:upto][easy] - 1
-        opening, closing = new_group, np.r_[new_group[1:], last]
-        order_f = np.r_[f, np.array(firsts, dtype=np.int64)].astype(np.int64)
-        order_l = np.r_[l, np.array(lasts, dtype=np.int64)].astype(np.int64)
+        closing = np.r_[new_group[1:], last]
         edge = week.astype(np.int64) * week_seconds
-        opens = opening[order_f] & (ts[order_f] - edge[order_f] <= gap)
-        closes = closing[order_l] & (edge[order_l] + week_seconds - ts[order_l] <= gap)
-        want = (order_l > order_f) | opens | closes
-        pick = np.flatnonzero(want)
+        f, l = starts[:upto], ends[:upto] - 1
+        opens = new_group[f] & (ts[f] - edge[f] <= gap)
+        border = opens | (closing[l] & (edge[l] + week_seconds - ts[l] <= gap))
+        blocks = np.flatnonzero(np.r_[True, ~equal])
+        tops = np.r_[blocks[1:], n]
+        of = np.searchsorted(starts, blocks, side="right") - 1
+        single = np.bincount(of, minlength=len(starts))[:upto] == 1
+        firsts, lasts, reps = [], [], []
+        for k in np.flatnonzero(~border & ~single):
+            lo, hi = np.searchsorted(of, [k, k + 1])
+            spelled = [(au[a[x]], *tl[t[x]]) for x in blocks[lo:hi]]
+            for i, j, rep in _represented(spelled, list(map(int, tops[lo:hi] - blocks[lo:hi])), boundary):
+                if tops[lo + j - 1] - blocks[lo + i] > 1:
+                    firsts.append(int(blocks[lo + i]))
+                    lasts.append(int(tops[lo + j - 1]) - 1)
+                    reps.append(rep)
+        easy = ~border & single & (l > f)
+        at = np.flatnonzero((of < upto) & border[np.minimum(of, max(upto - 1, 0))]) if upto else np.empty(0, dtype=np.int64)
+        joined = (blocks[at] > starts[of[at]]) | opens[of[at]] if len(at) else np.empty(0, dtype=bool)
+        fi = np.r_[f[easy], np.array(firsts, dtype=np.int64), blocks[at]].astype(np.int64)
+        li = np.r_[l[easy], np.array(lasts, dtype=np.int64), tops[at] - 1].astype(np.int64)
         batch = None
-        if len(pick):
-            fi, li, m = order_f[pick], order_l[pick], len(f)
-            named = [(au[a[i]], *tl[t[i]]) if q < m else reps[q - m] for q, i in zip(pick, fi)]
-            batch = pa.RecordBatch.from_arrays([rows["user_id"].take(pa.array(fi)), pa.array(ids[fi]), pa.array(ids[li]), pa.array(li - fi + 1), pa.array(ts[fi]), pa.array(ts[li]), pa.array(week[fi]), pa.array(opens[pick]), pa.array(closes[pick]), pa.array([r[0] for r in named], pa.string()), pa.array([r[1] for r in named], pa.string()), pa.array([r[2] for r in named], pa.string())], schema=_RUN_ARROW)
+        if len(fi):
+            done, m = len(fi) - len(at), int(easy.sum())
+            named = [reps[q - m] if m <= q < done else (au[a[i]], *tl[t[i]]) for q, i in enumerate(fi)]
+            open_ = np.arange(len(fi)) >= done
+            batch = pa.RecordBatch.from_arrays([rows["user_id"].take(pa.array(fi)), pa.array(ids[fi]), pa.array(ids[li]), pa.array(li - fi + 1), pa.array(ts[fi]), pa.array(ts[li]), pa.array(open_), pa.array(np.r_[np.zeros(done, dtype=bool), joined]), *[pa.array([r[k] for r in named], pa.string()) for k in range(3)]], schema=_RUN_ARROW)
         return batch, keep, bool(new_group[starts[-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,25 +243,39 @@ def _columns(table: pa.Table) -> dict:
     return {k: one(k) if k in ("user_id", "artist", "track") else np.asarray(one(k)) for k in ("user_id", "week", "ts", "play_id", "artist", "track")}
 
 
-def _stitch(gap: int):
-    """Join a run that closes a week with the one that opens the next. Sorted by user and start."""
+def _stitch(gap: int, boundary: float):
+    """Runs of stretches whose blocks come in the user's order; a block that isn't ``joined`` begins a stretch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[list] = []  # blocks of one stretch: user, first, last, n, start, end, name
+        out: list[tuple] = []
+
+        def close() -> None:
+            for i, j, rep in _represented([b[6] for b in held], [b[3] for b in held], boundary):
+                n = sum(b[3] for b in held[i:j])
+                if n > 1:
+                    out.append((held[i][0], held[i][1], held[j - 1][2], n, held[i][4], held[j - 1][5], False, False, *rep))
+            held.clear()
+
         for pdf in frames:
-            out = []
             for r in pdf.itertuples(index=False):
-                key = (r.artist_key, r.title_key, r.version_key)
-                if held is not None and held["user_id"] == r.user_id and held["closes"] and r.opens and held["week"] + 1 == r.week and r.start_ts - held["end_ts"] <= gap and unlikeness(held["key"], key) < _FAR:
-                    held |= {"last_play_id": r.last_play_id, "n_plays": held["n_plays"] + r.n_plays, "end_ts": r.end_ts, "week": r.week, "closes": r.closes}
-                    continue
-                if held is not None:
-                    out.append(held)
-                held = r._asdict() | {"key": key}
+                name = (r.artist_key, r.title_key, r.version_key)
+                if held:
+                    before = held[-1]
+                    if before[0] == r.user_id and r.joined and r.start_ts - before[5] <= gap and _linkable(before[6], name):
+                        if before[6] == name:
+                            before[2], before[3], before[5] = r.last_play_id, before[3] + r.n_plays, r.end_ts
+                            continue
+                    else:
+                        close()
+                held.append([r.user_id, r.first_play_id, r.last_play_id, r.n_plays, r.start_ts, r.end_ts, name])
             if out:
-                yield pd.DataFrame(out)[list(pdf.columns)]
-        if held is not None:
-            yield pd.DataFrame([held])[_RUN_ARROW.names]
+                yield pd.DataFrame(out, columns=_RUN_ARROW.names)
+                out.clear()
+        if held:
+            close()
+        if out:
+            yield pd.DataFrame(out, columns=_RUN_ARROW.names)
 
     return run
 
@@ -266,6 +295,6 @@ def repeated_runs(plays: DataFrame, gap: int = 1800, boundary: float = 1.0, week
     rows = usable_plays(plays).select(F.col("user_id").cast("string").alias("user_id"), slice_of(F.col("ts"), week_seconds).alias("week"), F.col("ts").cast("bigint").alias("ts"), F.col("play_id").cast("bigint").alias("play_id"), "artist", "track")
     laid = rows.repartition("user_id", "week").sortWithinPartitions("user_id", "week", "ts", "play_id")
     runs = materialize(laid.mapInArrow(_stretches(gap, boundary, week_seconds), _RUN), "runs")
-    inner = runs.where("not opens and not closes")
-    edges = runs.where("opens or closes").repartition("user_id").sortWithinPartitions("user_id", "start_ts", "first_play_id").mapInPandas(_stitch(gap), _RUN)
-    return inner.unionByName(edges).where("n_plays >= 2").select("user_id", "first_play_id", "last_play_id", "n_plays", "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("duration_s"), "artist_key", "title_key", "version_key")
+    inner = runs.where("not open")
+    edges = runs.where("open").repartition("user_id").sortWithinPartitions("user_id", "start_ts", "first_play_id").mapInPandas(_stitch(gap, boundary), _RUN)
+    return inner.unionByName(edges).select("user_id", "first_play_id", "last_play_id", "n_plays", "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("duration_s"), "artist_key", "title_key", "version_key")

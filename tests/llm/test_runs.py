@@ -40,6 +40,51 @@ def test_runs_over_week_ends_do_not_depend_on_the_layout(spark):
     assert len(whole) > 20
 
 
+def _whole(rows, gap=1800):
+    """Brute force: each user's plays, cut where a pause or unlike neighbours force it, every division tried."""
+    out = []
+    for user in {r[1] for r in rows}:
+        plays = sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0]))
+        names = [(parse_artist(r[3]), *parse_track(r[4])[:2]) for r in plays]
+        cuts = [0, *[i + 1 for i in range(len(plays) - 1) if plays[i + 1][2] - plays[i][2] > gap or not R._linkable(names[i], names[i + 1])], len(plays)]
+        for s, e in zip(cuts, cuts[1:]):
+            out += [(user, plays[s + i][0], plays[s + j - 1][0], j - i) for i, j in _cheapest(names[s:e], 1.0) if j - i > 1]
+    return sorted(out)
+
+
+def _cheapest(names, boundary):
+    """Runs of the cheapest division, then the fewest, then the longest last run."""
+    done = {0: (0.0, 0, ())}
+    for j in range(1, len(names) + 1):
+        options = []
+        for i in range(j):
+            near = [sum(R.unlikeness(r, x) for x in names[i:j]) for r in set(names) if all(R.unlikeness(r, x) < 9 for x in names[i:j])]
+            if near:
+                options.append((round(done[i][0] + min(near) + boundary, 9), done[i][1] + 1, i))
+        cost, n, i = min(options)
+        done[j] = (cost, n, (*done[i][2], (i, j)))
+    return done[len(names)][2]
+
+
+def test_a_stretch_over_a_week_end_is_segmented_whole(spark):
+    names = ["Lanterna", "Lantern", "Antern"]
+    for at in (5000, 3950, 3850, 3750):  # weeks of 4000 s: inside one, and with the border after each play
+        rows = [(i, "u", at + 100 * i, "Artist", t) for i, t in enumerate(names)]
+        assert _runs(spark, rows, week_seconds=4000) == [("u", 0, 2, 3)]
+
+
+def test_near_spellings_over_week_ends_match_brute_force(spark):
+    r = random.Random(11)
+    rows, ts = [], 600_000
+    for i in range(260):
+        ts += r.choice([50, 300, 300, 900, 1700, 2500])
+        rows.append((i, r.choice("uuv"), ts, r.choice(["Artist", "Artist", "Artits"]), r.choice(["Lanterna", "Lantern", "Antern", "Latern", "Lanternas", "Kettle"])))
+    want = _whole(rows)
+    assert len(want) > 20
+    for week in (2000, 4000, 10**9):
+        assert _runs(spark, rows, week_seconds=week) == want
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "u", 5, "A", "x")], [(1, None, None, None, None)]])
 def test_nothing_repeated(spark, rows):
     assert _runs(spark, rows) == []
