@@ -7,14 +7,18 @@ combination of attributes over the listings that no earlier pass resolved:
 2. ``artist_variant`` the artist shortened, run together, with one slip, or standing in
    the other field, its title and version as written;
 3. ``title_slip``    as before, on the title with one letter left out;
-4. ``title_slips``   as before, on one word of the title with one letter left out;
-5. ``cut_title``     a title cut off at its end, on how it begins or one word of it.
+4. ``title_slips``   as before, on the title's beginning or its end with one letter left out;
+5. ``cut_title``     a title cut off at its end, on how it begins with one letter left out.
 
 Artists are resolved once, among distinct names, so no pass pairs up a whole
-artist's listings with a whole artist's items. A rule's confidence is its precision
-on pairs labelled by durations, which rules 1 to 5 don't join on: agreeing within
-``tolerance`` is right, otherwise wrong; smoothed per source towards the rule's
-overall precision, and that towards a prior.
+artist's listings with a whole artist's items; nor does a pass pair titles that share
+no more than a common word.
+
+A rule's confidence is its precision on the matches it gives. They are labelled by the
+year, which no rule looks at: within one year of each other is right. Years agree by
+chance and are off by mistake, so the share that agrees is read between the share
+expected of random pairs and that of the surest ones (``exact``, durations agreeing).
+It is smoothed per source towards the rule's share, and that towards the surest.
 """
 
 from __future__ import annotations
@@ -80,10 +84,38 @@ def _less_one(c: Column) -> Column:
 
 
 @F.pandas_udf(IntegerType())
-def _artist_slips(a: pd.Series, b: pd.Series) -> pd.Series:
+def _artist_osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y, 2) for x, y in zip(a, b)])
 
 
+def _artist_slips(a: str, b: str) -> Column:
+    """Slips up to 2, else 3. Two edits with swaps are four without at most, which is told before Python."""
+    return F.when(F.levenshtein(a, b, 4) < 0, 3).otherwise(_artist_osa(a, b))
+
+
+def _ladder(n: Column) -> Column:
+    """How many letters of a title of ``n`` tell it apart from both ends: the same for lengths that hardly differ."""
+    out = F.lit(2)
+    for k in (3, 4, 6, 8, 12, 16, 24):
+        out = F.when(n >= 2 * k, k).otherwise(out)
+    return out
+
+
+def _ends(c: Column, reach: int) -> Column:
+    """Beginning and end of a title with one letter left out, at the lengths fit for titles up to ``reach`` letters longer or shorter.
+
+    Of two slips in a title one half has one at most, so near titles share a form.
+    """
+    n = F.length(c)
+    cuts = F.array_distinct(F.array(*[_ladder(n + d) for d in range(-reach, reach + 1)]))
+    one = lambda side, part: F.transform(_less_one(part), lambda x: F.concat(F.lit(side), x))
+    return F.array_distinct(F.flatten(F.transform(cuts, lambda k: F.concat(one("<", F.substring(c, F.lit(1), k)), one(">", F.right(c, k))))))
+
+
+#: Letters at the beginning of a cut title that are looked up: as many of these as it has.
+_BEGINNINGS = (6, 10, 16, 24)
+
+
 #: Added to the slips of a title with two in one word: such a match needs durations that agree.
 _DOUBTFUL = 10
 
@@ -133,7 +165,8 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
     hold both names, can't be matched. Null durations and years neither support nor
     contradict a match; weaker rules than ``exact`` reject contradicting durations. Of
     several candidates the one with fewest slips holds, then the nearest in duration,
-    then in year, then the lowest ``item_index``. Empty tables give no match.
+    then the lowest ``item_index``. Empty tables give no match. Years only label matches;
+    without any the confidence of every rule is that of the prior's smoothing.
     """
     left = materialize(_once(listings, "ext_id", ["ext_id", "source", "artist", "track", "duration_ms", "release_year"]), "listings")
     right = materialize(_once(catalog, "item_index", ["item_index", "artist", "track", "duration_ms", "release_ts"]), "catalog")
@@ -150,13 +183,14 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         known = pairs.select(F.col("id").alias("ext_id"), F.col("i_id").alias("item_index"), F.col("slips").cast("int").alias("slips")).join(facts_l, "ext_id").join(facts_r, "item_index")
         off = F.abs(F.col("d") - F.col("e")) / F.greatest(F.col("e"), F.lit(1.0))
         known = known.withColumn("off", off).withColumn("agrees", F.col("off") <= tolerance)
-        best = known.groupBy("ext_id", "source").agg(F.min_by(F.struct("item_index", "agrees", "slips"), F.struct((~F.coalesce("agrees", F.lit(True))).alias("c"), "slips", F.coalesce("off", F.lit(1.0)).alias("o"), F.coalesce(F.abs(F.col("y") - F.col("z")), F.lit(1)).alias("years"), "item_index")).alias("m"))
-        passes.append(materialize(best.select("ext_id", "source", "m.item_index", "m.agrees", F.lit(rule).alias("rule"), (F.coalesce("m.agrees", F.col("m.slips") < _DOUBTFUL) | F.lit(rule == "exact")).alias("holds")), f"match-{rule}"))
+        best = known.groupBy("ext_id", "source").agg(F.min_by(F.struct("item_index", "agrees", "slips", (F.abs(F.col("y") - F.col("z")) <= 1).alias("year")), F.struct((~F.coalesce("agrees", F.lit(True))).alias("c"), "slips", F.coalesce("off", F.lit(1.0)).alias("o"), "item_index")).alias("m"))
+        held = best.where(F.coalesce("m.agrees", F.col("m.slips") < _DOUBTFUL) | F.lit(rule == "exact"))
+        passes.append(materialize(held.select("ext_id", "source", "m.item_index", "m.agrees", "m.year", F.lit(rule).alias("rule")), f"match-{rule}"))
 
     def open_readings() -> DataFrame:
         rest = a
         for done in passes:
-            rest = rest.join(done.where("holds").select(F.col("ext_id").alias("id")), "id", "left_anti")
+            rest = rest.join(done.select(F.col("ext_id").alias("id")), "id", "left_anti")
         return rest
 
     plain = a.where("reading in (0, 2)")
@@ -190,14 +224,14 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
     def unresolved() -> DataFrame:
         out = named
         for done in passes[1:]:
-            out = out.join(done.where("holds").select(F.col("ext_id").alias("id")), "id", "left_anti")
+            out = out.join(done.select(F.col("ext_id").alias("id")), "id", "left_anti")
         return out
 
     items = b.select(*item)
     settle("artist_variant", named.join(items, [named["t_key"] == F.col("i_artist_key"), named["title"] == F.col("i_title"), named["version"] == F.col("i_version")]).select("id", "i_id", F.col("a_slips").alias("slips")))
 
     def judged(pairs: DataFrame, least: int, most: int) -> DataFrame:
-        scored = pairs.select("id", "i_id", "title", "i_title", "version", "i_version", "a_slips").distinct().withColumn("t", _title_slips("title", "i_title")).withColumn("v", _version_slips("version", "i_version"))
+        scored = pairs.select("id", "i_id", "title", "i_title", "version", "i_version", "a_slips").distinct().where(F.levenshtein("title", "i_title") <= 2 * F.greatest(F.lit(2), 1 + F.floor(F.size(F.split("title", " ")) / 2))).withColumn("t", _title_slips("title", "i_title")).withColumn("v", _version_slips("version", "i_version"))
         return scored.where(F.col("t").between(least, most) & (F.col("v") <= 1)).select("id", "i_id", (F.col("t") + F.col("v") + F.col("a_slips")).alias("slips"))
 
     def on_forms(l: DataFrame, r: DataFrame, form_l: Column, form_r: Column, extra: list[str]) -> DataFrame:
@@ -206,17 +240,17 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
 
     settle("title_slip", judged(on_forms(unresolved(), items, _less_one(F.col("title")), _less_one(F.col("i_title")), []), 0, 1))
 
-    def words(c: str) -> Column:
-        long = F.filter(F.split(c, " "), lambda w: F.length(w) > 3)
-        return F.array_distinct(F.flatten(F.transform(long, _less_one)))
-
     size = lambda df, c: df.withColumn(c.replace("title", "words"), F.size(F.split(c, " ")))
-    settle("title_slips", judged(on_forms(size(unresolved(), "title"), size(items, "i_title"), words("title"), words("i_title"), ["words"]), 0, _DOUBTFUL + 4))
+    settle("title_slips", judged(on_forms(size(unresolved(), "title"), size(items, "i_title"), _ends(F.col("title"), 0), _ends(F.col("i_title"), 3), ["words"]), 0, _DOUBTFUL + 4))
 
     # a long title may be cut off without a sign of it; unless that is inside a word, it needs durations that agree
-    cut = unresolved().where((F.col("cut") & (F.length("title") >= 6)) | (F.length("title") >= 15)).withColumn("form", F.explode(F.array_distinct(F.concat(F.array(F.substring("title", 1, 6)), words("title")))))
-    begun = cut.join(items.withColumn("i_form", F.explode(F.array_distinct(F.concat(F.array(F.substring("i_title", 1, 6)), words("i_title"))))), [cut["t_key"] == F.col("i_artist_key"), F.col("form") == F.col("i_form")])
-    begun = begun.where((F.col("kinds") == F.col("i_kinds")) | (F.col("kinds") == "")).select("id", "i_id", "title", "i_title", "kinds", "i_kinds", "cut", "a_slips").distinct().withColumn("t", _begins("title", "i_title")).where("t <= 1")
+    known = F.lit(_BEGINNINGS[0])
+    for k in _BEGINNINGS[1:]:
+        known = F.when(F.length("title") >= k, k).otherwise(known)
+    cut = unresolved().where((F.col("cut") & (F.length("title") >= 6)) | (F.length("title") >= 15)).withColumn("form", F.explode(_less_one(F.substring(F.col("title"), F.lit(1), known))))
+    starts = F.array_distinct(F.flatten(F.array(*[_less_one(F.substring("i_title", 1, k)) for k in _BEGINNINGS])))
+    begun = cut.join(items.withColumn("i_form", F.explode(starts)), [cut["t_key"] == F.col("i_artist_key"), F.col("form") == F.col("i_form")])
+    begun = begun.where((F.col("kinds") == F.col("i_kinds")) | (F.col("kinds") == "")).select("id", "i_id", "title", "i_title", "kinds", "i_kinds", "cut", "a_slips").distinct().where(F.levenshtein(F.col("title"), F.substring(F.col("i_title"), F.lit(1), F.length("title")), 4) >= 0).withColumn("t", _begins("title", "i_title")).where("t <= 1")
     # the cut may have taken the version with it: one that isn't needed for the match costs
     settle("cut_title", begun.select("id", "i_id", (F.col("a_slips") + F.col("t") + F.when(F.col("kinds") == F.col("i_kinds"), 0).otherwise(3) + F.when(F.col("cut"), 0).when(F.substring(F.col("i_title"), F.length("title") + 1, F.lit(1)).isin(" ", ""), _DOUBTFUL).otherwise(5)).alias("slips")))
 
@@ -224,12 +258,27 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
     for p in passes[1:]:
         every = every.unionByName(p)
     every = materialize(every, "matches")
-    labelled = every.where("agrees is not null").groupBy("rule", "source").agg(F.sum(F.col("agrees").cast("double")).alias("right"), F.count("*").alias("n"))
-    rules = labelled.groupBy("rule").agg(((F.sum("right") + prior[0]) / (F.sum("n") + sum(prior))).alias("overall"))
-    return (
-        every.where("holds")
-        .join(F.broadcast(rules), "rule", "left")  # a row per rule
-        .join(labelled, ["rule", "source"], "left")
-        .withColumn("overall", F.coalesce("overall", F.lit(prior[0] / sum(prior))))
-        .select("ext_id", "item_index", "source", "rule", ((F.coalesce("right", F.lit(0.0)) + strength * F.col("overall")) / (F.coalesce("n", F.lit(0)) + strength)).alias("confidence"))
-    )
+    return _with_confidence(every, _year_chance(facts_l, facts_r), prior, strength)
+
+
+def _year_chance(listings: DataFrame, items: DataFrame) -> float:
+    """How often the years of a random listing and a random item are within one of each other."""
+    l = listings.where("y is not null").groupBy("y").agg(F.count("*").alias("n"))
+    r = items.where("z is not null").groupBy("z").agg(F.count("*").alias("m"))
+    near = l.select(F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)).alias("z"), "n").join(r, "z").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0]
+    all_l, all_r = l.agg(F.sum("n")).first()[0], r.agg(F.sum("m")).first()[0]
+    return near / (all_l * all_r) if near and all_l and all_r else 0.0
+
+
+def _with_confidence(matches: DataFrame, chance: float, prior: tuple[float, float], strength: float) -> DataFrame:
+    """Matches with the precision of their rule, read from how often the years agree."""
+    sure = matches.where("rule = 'exact' and agrees").agg(F.count_if("year").alias("right"), F.count("year").alias("n")).first()
+    best = max((sure.right + prior[0]) / (sure.n + sum(prior)), chance + 0.05)
+    labelled = matches.groupBy("rule", "source").agg(F.count_if("year").cast("double").alias("right"), F.count("year").alias("n"))
+    rules = labelled.groupBy("rule").agg(((F.sum("right") + strength * best) / (F.sum("n") + strength)).alias("overall"))
+    labelled = labelled.withColumnRenamed("source", "of").withColumnRenamed("rule", "by")
+    out = matches.join(F.broadcast(rules), "rule")  # a row per rule
+    out = out.join(labelled, (F.col("rule") == F.col("by")) & F.col("source").eqNullSafe(F.col("of")), "left")
+    share = (F.coalesce("right", F.lit(0.0)) + strength * F.col("overall")) / (F.coalesce("n", F.lit(0)) + strength)
+    confidence = F.least(F.greatest((share - chance) / F.lit(best - chance), F.lit(0.0)), F.lit(1.0))
+    return out.select("ext_id", "item_index", "source", "rule", confidence.alias("confidence"))

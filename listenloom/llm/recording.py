@@ -26,7 +26,7 @@ _QUOTES = re.compile("[’‘`´ʼ′\"“”]")
 _TRACK_NO = re.compile(r"^\s*\d{1,3}\s*[.)]\s+")
 _TAIL = re.compile(r"^(.*?)\s*[(\[{]([^()\[\]{}]*)[)\]}]?[\s.,;:-]*$", re.S)
 _DASH_TAIL = re.compile(r"^(.*)\s-+(?:\s+([^()\[\]{}]*?))?[\s.,;:]*$", re.S)
-_GUEST_TAIL = re.compile(r"\s+[(\[]?(?:(?:feat|ft|featuring|faet|feeat|feaat|featt|ffeat)\.?|(?:fet|fat|eat|feta|fea)\.)\s+.*$", re.S)
+_GUEST_WORD = re.compile(r"\s+[(\[]?([a-z]{2,12})(\.?)(?=\s)")
 _NUMBER_TAIL = re.compile(r"^(.*\S)[\s,]+(?:(?:pt|part|vol|volume)\.?\s*(\w+)|(ii|iii|iv|v|vi|vii|viii|ix|x))[\s.]*$", re.S)
 _WORD = re.compile(r"[a-z0-9]+")
 _PLAIN = re.compile(r"[A-Za-z' ]+")
@@ -97,6 +97,32 @@ def known_word(w: str) -> str | None:
     return None
 
 
+def _is_credit(w: str, dotted: bool) -> bool:
+    """Whether ``w`` announces a guest, as listed or by a slip that hardly makes another word.
+
+    Such a slip brings in no letter; without a full stop it also keeps the first and the last one and loses none.
+    """
+    for k in GUEST:
+        if w == k and k != "with":
+            return True
+        if len(k) > 3 and k != "with" and set(w) <= set(k) and osa(w, k, 1) <= 1 and (dotted or (w[0], w[-1], set(w)) == (k[0], k[-1], set(k))):
+            return True
+    return False
+
+
+def _without_guests(s: str) -> str:
+    """``s`` up to the first word that announces a guest."""
+    for m in _GUEST_WORD.finditer(s):
+        if _is_credit(m[1], bool(m[2])):
+            return s[: m.start()]
+    return s
+
+
+def _is_article(w: str) -> bool:
+    """``the``, as written or with two neighbours swapped."""
+    return w == "the" or sorted(w) == sorted("the") and osa(w, "the", 1) == 1
+
+
 def _number(w: str) -> int | None:
     return int(w) if w.isdigit() and len(w) < 3 else NUMBERS.get(w)
 
@@ -164,7 +190,7 @@ def parse_track(track: str) -> tuple[str, str, bool]:
                 if found[0] != "drop":
                     versions.append(":".join(found))
         while True:
-            shorter = _GUEST_TAIL.sub("", s) if " f" in s or " e" in s else s
+            shorter = _without_guests(s)
             m = _NUMBER_TAIL.match(shorter)
             if m and (n := _number(m[2] or m[3])):
                 s = m[1]
@@ -190,19 +216,19 @@ def parse_track(track: str) -> tuple[str, str, bool]:
                 versions.append(":".join(found))
         title = s.replace("'", "")
     words = _WORD.findall(title) or re.findall(r"\w+", title)
-    return " ".join("the" if w == "th" else w for w in words), "|".join(sorted(set(versions))), cut
+    return " ".join(words), "|".join(sorted(set(versions))), cut
 
 
 def parse_artist(artist: str) -> str:
     """Key of an artist's name: guests dropped, ``X, The`` turned round, ``&`` written out."""
     s = folded(artist)
-    if " f" in s or " e" in s:
-        s = _GUEST_TAIL.sub("", s) or s
-    if s.endswith((", the", ", teh", ", hte")):
-        s = "the " + s[:-5]
+    s = _without_guests(s) or s
+    head, comma, tail = s.rpartition(", ")
+    if comma and _is_article(tail):
+        s = f"the {head}"
     s = s.replace("&", " and ").replace("'", "")
     words = _WORD.findall(s) or re.findall(r"\w+", s)
-    return " ".join("the" if w == "th" else w for w in words)
+    return " ".join(words)
 
 
 def versions_alike(a: str, b: str) -> int:

@@ -17,7 +17,7 @@ CATALOG = [
 
 
 def _match(spark, listings, catalog=CATALOG):
-    left = spark.createDataFrame([(i, s, a, t, d, 2001, "x", "clash", 3) for i, s, a, t, d in listings], LISTING)
+    left = spark.createDataFrame([(i, s, a, t, d, (*year, 2001)[0], "x", "clash", 3) for i, s, a, t, d, *year in listings], LISTING)
     right = spark.createDataFrame([(i, a, t, "g", "t", d, 1_000_000_000, "clash") for i, a, t, d in catalog], ITEM)
     return match_recordings(left, right)
 
@@ -51,13 +51,17 @@ def test_every_rule(spark):
     assert got == {i: (w, rule) for i, (*_, w, rule) in enumerate(CASES) if w is not None}
 
 
-def test_confidence_is_the_smoothed_precision_of_labelled_pairs(spark):
-    rows = [(i, "a", "Fehopi", "No River for Nopi, Pt. 2", 240_000) for i in range(30)] + [(100 + i, "b", "Fehopi", "No River for Nopi, Pt. 2", 400_000) for i in range(10)] + [(200, "c", "Fehopi", "No River for Nopi, Pt. 2", None)]
+def test_confidence_is_read_from_years_that_no_rule_looks_at(spark):
+    name = ("Fehopi", "No River for Nopi, Pt. 2", 240_000)
+    rows = [(i, "a", *name, 2001) for i in range(30)] + [(100 + i, "b", *name, 1990) for i in range(10)] + [(200, "c", *name, None)]
+    rows += [(300 + i, "a", "Somebody Else", "Unknown", None, 1950 + i) for i in range(35)]
     c = {r.source: r.confidence for r in _match(spark, rows).collect()}
-    overall = 31 / 42
-    assert c["a"] == pytest.approx((30 + 20 * overall) / 50)
-    assert c["b"] == pytest.approx((0 + 20 * overall) / 30)
-    assert c["c"] == pytest.approx(overall)
+    chance, best = 30 / 75, 31 / 42
+    overall = (30 + 20 * best) / 60
+    read = lambda share: min(1.0, max(0.0, (share - chance) / (best - chance)))
+    assert c["a"] == pytest.approx(read((30 + 20 * overall) / 50))
+    assert c["b"] == pytest.approx(read(20 * overall / 30))
+    assert c["c"] == pytest.approx(read(overall)) and c["b"] < c["c"] <= c["a"]
 
 
 @pytest.mark.parametrize(("listings", "catalog"), [([], CATALOG), ([(1, "a", "Fehopi", "x", 1)], []), ([], [])])
@@ -70,5 +74,13 @@ def test_best_of_several_candidates_and_ties(spark):
     assert [r.item_index for r in _match(spark, [(9, "a", "Ana", "Harbour", 201_000)], twins).collect()] == [2]
 
 
+def test_titles_of_a_large_artist_meet_only_near_ones(spark):
+    words = ["harbour", "lantern", "kettle", "meadow", "window", "ribbon", "copper", "thicket"]
+    catalog = [(i, "Ana", f"Love {words[i % 8]} {words[i // 8 % 8]} {words[i // 64]}", None) for i in range(512)]
+    listings = [(i, "a", "Ana", f"Lvoe {words[i % 8][:-1]} {words[i // 8 % 8]} {words[i // 64]}", None) for i in range(0, 512, 5)]
+    got = {r.ext_id: (r.item_index, r.rule) for r in _match(spark, listings, catalog).collect()}
+    assert got == {i: (i, "title_slips") for i in range(0, 512, 5)}
+
+
 def test_core():
     assert core_of("the x and the ys") == "x" and core_of("dosani ziho trio") == "dosani ziho" and core_of("and") == "and"
