@@ -30,19 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenloom.runtime import materialize
+from listenloom.runtime import discard, materialize
 
 _GRAPH = pa.schema([("id", pa.int64()), ("core", pa.float64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
 _FOUND = pa.schema([("id", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
 _CELLED = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("cells", pa.list_(pa.int32()))])
 _TRUTH = pa.schema([("q", pa.int32()), ("id", pa.int64()), ("cell", pa.int32()), ("d", pa.float64())])
 _TREE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.float64())])
-_STEP = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("own", pa.int64()), ("since", pa.float64()), ("stability", pa.float64()), ("members", pa.list_(pa.int64()))])
+_STEP = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("own", pa.int64()), ("since", pa.float64()), ("stability", pa.float64()), ("inner", pa.float64()), ("members", pa.list_(pa.int64()))])
 _LABEL = pa.schema([("id", pa.int64()), ("label", pa.int64())])
 #: Nearest distance told apart, so that copies don't make a density infinite.
 _NEAR = 1e-3
 #: The distance of opposite vectors; trees of a forest count as joined there.
 _FAR = 2.0
+#: Bytes of pivots sent to every executor at most; where that is too few for the table, cells grow and are compared part by part.
+_PIVOT_BYTES = 256 << 20
+#: Clusters whose labels one task looks up; more are looked up by joins.
+_FEW_CLUSTERS = 1_000_000
 
 
 # 1. neighbour graph ---------------------------------------------------------------
@@ -204,13 +208,14 @@ def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10
     above ``block`` is compared part by part, so that none of it is passed over.
     """
     spark = vectors.sparkSession
-    count = max(1, round(n / (block * 0.6)))
+    count = max(1, min(round(n / (block * 0.6)), _PIVOT_BYTES // (4 * width)))
     picked = np.array([r[0] for r in vectors.orderBy(F.xxhash64(F.col("id"), F.lit(0)), "id").limit(count).select("vec").collect()], dtype=np.float32)
     pivots = spark.sparkContext.broadcast(picked)
     schema = "id bigint, vec array<float>, cells array<int>"
     celled = materialize(vectors.mapInArrow(_assign(pivots, 1), schema).select("id", "vec", F.col("cells")[0].alias("cell")), "cells")
     probes = min(len(picked), max(rounds, probes_needed(celled, picked, neighbours, recall)))
-    asking = materialize(celled.select("id", "vec").mapInArrow(_assign(pivots, probes), schema), "asking").select("id", "vec", F.explode("cells").alias("cell"))
+    placed = materialize(celled.select("id", "vec").mapInArrow(_assign(pivots, probes), schema), "asking")
+    asking = placed.select("id", "vec", F.explode("cells").alias("cell"))
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
     sizes = F.broadcast(sizes.join(asking.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(16 * block)).alias("turns")), "cell"))  # a row per pivot
     part, turn = F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("turns"))
@@ -219,7 +224,9 @@ def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10
     rows = living.withColumn("role", F.lit(0)).unionByName(asking.withColumn("role", F.lit(1))).select("id", "vec", "role", F.xxhash64("cell", "part", "turn").alias("block"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * probes / 250_000))
     found = rows.repartition(tasks, "block").sortWithinPartitions("block", "role").mapInArrow(_neighbours(neighbours, width), "id bigint, nbrs array<bigint>, dists array<double>")
-    return materialize(found.where(F.size("nbrs") > 0).repartition("id").sortWithinPartitions("id").mapInArrow(_nearest(neighbours, core), "id bigint, core double, nbrs array<bigint>, dists array<double>"), "graph")
+    graph = materialize(found.where(F.size("nbrs") > 0).repartition("id").sortWithinPartitions("id").mapInArrow(_nearest(neighbours, core), "id bigint, core double, nbrs array<bigint>, dists array<double>"), "graph")
+    discard(celled, placed)
+    return graph
 
 
 def counted_cores(graph: DataFrame, firsts: DataFrame, core: int) -> DataFrame:
@@ -241,12 +248,14 @@ def mutual_reachability(graph: DataFrame) -> DataFrame:
 # 2. spanning tree -----------------------------------------------------------------
 def _roots(hang: DataFrame, label: str) -> DataFrame:
     """``c, p``: the root of each component of ``c, p`` pointers without cycles but of a root to itself."""
-    jumped = hang
+    jumped = last = hang
     while True:
         for _ in range(3):
             up = jumped.select(F.col("c").alias("p"), F.col("p").alias("pp"))
             jumped = jumped.join(up, "p").select("c", F.col("pp").alias("p"))
-        jumped = materialize(jumped, label)
+        before, jumped = last, materialize(jumped, label)
+        last = jumped
+        discard(before)
         up = jumped.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         if jumped.join(up, "p").where("p <> pp").isEmpty():
             return jumped
@@ -280,28 +289,34 @@ def spanning_forest(edges: DataFrame, finish_at: int = 50_000) -> DataFrame:
     """``u, v, w`` of a minimum spanning forest of ``u, v, w``; ties are broken by u, then v."""
     open_ = materialize(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", "u", "v"), "edges")
     trees: list[DataFrame] = []
+    spent: list[DataFrame] = []
     while True:
         ends = open_.select(F.explode(F.array("a", "b")).alias("c")).distinct().count()
-        if ends <= finish_at:
+        if not ends or ends <= finish_at and open_.count() <= 40 * finish_at:
             break
         both = open_.select(F.col("a").alias("c"), F.col("b").alias("p"), "w", "u", "v").unionByName(open_.select(F.col("b").alias("c"), F.col("a").alias("p"), "w", "u", "v"))
         least = materialize(both.groupBy("c").agg(F.min(F.struct("w", "u", "v", "p")).alias("m")).select("c", "m.*"), "least")
+        spent.append(least)
         trees.append(least.select("u", "v", "w").distinct())
         back = least.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         hang = least.select("c", "p").join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
         top = _roots(materialize(hang, "hang"), "roots")
         moved = open_.join(top.select(F.col("c").alias("a"), F.col("p").alias("ra")), "a").join(top.select(F.col("c").alias("b"), F.col("p").alias("rb")), "b").where("ra <> rb")
         pairs = moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.struct("w", "u", "v").alias("e")).groupBy("a", "b").agg(F.min("e").alias("e"))
-        open_ = materialize(pairs.select("a", "b", "e.*"), "edges")
+        next_ = materialize(pairs.select("a", "b", "e.*"), "edges")
+        discard(open_, top)
+        open_ = next_
     trees.append(open_.repartition(1).sortWithinPartitions("w", "u", "v").mapInArrow(_kruskal, "u bigint, v bigint, w double"))
     out = trees[0]
     for t in trees[1:]:
         out = out.unionByName(t)
-    return materialize(out, "tree")
+    tree = materialize(out, "tree")
+    discard(open_, *spent)
+    return tree
 
 
 # 3. and 4. hierarchy and selection ------------------------------------------------
-def _follow(least: int, last: bool):
+def _follow(least: int, last: bool, n: int):
     """Merges of each block, followed one by one in order of weight.
 
     Rows of a block are states of its components (``kind`` 0: ``a`` the component, ``b``
@@ -309,15 +324,17 @@ def _follow(least: int, last: bool):
     ``members`` while it has no cluster) and tree edges (``kind`` 1, numbered ``e``); a
     component without a state is one record. Gives the state of each block (0), the
     cluster ``b`` that node ``a`` first belongs to (1), and clusters that ended, ``a``,
-    with the one they became part of, ``b`` (2). A cluster's stability grows by the
-    distinct vectors in it times the fall of density while it exists. The ``last`` call
-    ends what is left.
+    with the one they became part of, ``b`` (2), ``since`` 1 if it holds against its
+    parts. A cluster's stability grows by the distinct vectors in it times the fall of
+    density while it exists; it holds if it is stabler than the best of its parts
+    together (``inner``), and one of all ``n`` records with parts never does. The
+    ``last`` call ends what is left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         parent: dict[int, int] = {}
-        state: dict[int, list] = {}  # of a root: size, distinct, cluster, since, stability, members
+        state: dict[int, list] = {}  # of a root: size, distinct, cluster, since, stability, inner, members
 
         def root(x: int) -> int:
             r = x
@@ -328,36 +345,39 @@ def _follow(least: int, last: bool):
             return r
 
         def joins(c: int, members: list[int]) -> None:
-            rows.extend((1, m, c, 0, 0, 0.0, 0.0, None) for m in members)
+            rows.extend((1, m, c, 0, 0, 0.0, 0.0, None, None) for m in members)
 
-        def ends(s: list, density: float, into: int | None) -> None:
-            rows.append((2, s[2], into, s[0], s[1], 0.0, s[4] + s[1] * (s[3] - density), None))
+        def ends(s: list, density: float, into: int | None) -> float:
+            """The best stability found in the cluster that ends."""
+            own, inner = s[4] + s[1] * (s[3] - density), s[5]
+            holds = inner is None or not (inner > own or s[0] >= n)
+            rows.append((2, s[2], into, s[0], s[1], float(holds), own, inner, None))
+            return own if holds else inner
 
         def merge(e: int, w: float, a: int, b: int) -> None:
             x, y = root(a), root(b)
             if x == y:
                 return
             density = 1 / max(w, _NEAR)
-            both = [state.pop(x, None) or [1, 1, None, 0.0, 0.0, [x]], state.pop(y, None) or [1, 1, None, 0.0, 0.0, [y]]]
+            both = [state.pop(x, None) or [1, 1, None, 0.0, 0.0, None, [x]], state.pop(y, None) or [1, 1, None, 0.0, 0.0, None, [y]]]
             for k, s in enumerate(both):
                 if s[2] is None and s[0] >= least:  # copies of one vector: no density of their own
                     s[2], s[3] = 4 * e + k, density
-                    joins(s[2], s[5])
+                    joins(s[2], s[6])
             one, two = both
-            made = [one[0] + two[0], one[1] + two[1], None, density, 0.0, []]
+            made = [one[0] + two[0], one[1] + two[1], None, density, 0.0, None, []]
             if one[2] is not None and two[2] is not None:
                 made[2] = 4 * e + 2
-                ends(one, density, made[2])
-                ends(two, density, made[2])
+                made[5] = ends(one, density, made[2]) + ends(two, density, made[2])
             elif one[2] is not None or two[2] is not None:
                 old, new = (one, two) if one[2] is not None else (two, one)
-                made[2], made[4] = old[2], old[4] + old[1] * (old[3] - density)
-                joins(made[2], new[5])
+                made[2], made[4], made[5] = old[2], old[4] + old[1] * (old[3] - density), old[5]
+                joins(made[2], new[6])
             elif made[0] >= least:
                 made[2] = 4 * e + 2
-                joins(made[2], one[5] + two[5])
+                joins(made[2], one[6] + two[6])
             else:
-                made[5] = one[5] + two[5]
+                made[6] = one[6] + two[6]
             parent[y] = x
             state[x] = made
 
@@ -377,13 +397,13 @@ def _follow(least: int, last: bool):
 
         held = None
         for batch in batches:
-            cols = [batch.column(f).to_pylist() for f in ("block", "kind", "w", "e", "a", "b", "size", "own", "since", "stability", "members")]
-            for block, kind, w, e, a, b, size, own, since, stability, members in zip(*cols):
+            cols = [batch.column(f).to_pylist() for f in ("block", "kind", "w", "e", "a", "b", "size", "own", "since", "stability", "inner", "members")]
+            for block, kind, w, e, a, b, size, own, since, stability, inner, members in zip(*cols):
                 if held is not None and block != held:
                     close(held)
                 held = block
                 if kind == 0:
-                    state[a] = [size, own, b, since, stability, members]
+                    state[a] = [size, own, b, since, stability, inner, members]
                 else:
                     merge(e, w, a, b)
                 if len(rows) >= 50_000:
@@ -396,42 +416,41 @@ def _follow(least: int, last: bool):
     return run
 
 
-def _selected(n: int):
-    """``id, label``: each cluster that is selected or inside a selected one, and that one; from rows of kind 2.
-
-    A cluster holds against its parts if it is stabler than the best of them; one of all ``n`` records never does.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ups, sizes, best = [], [], [], []
-        for b in batches:
-            for have, c in ((names, "a"), (ups, "b"), (sizes, "size"), (best, "stability")):
-                have += b.column(c).to_pylist()
-        at = {c: k for k, c in enumerate(names)}
-        up = [-1 if u is None else at[u] for u in ups]
-        inner, waits = [0.0] * len(names), [0] * len(names)
-        for u in up:
-            if u >= 0:
-                waits[u] += 1
-        parts = list(waits)
-        order = [k for k, x in enumerate(waits) if not x]
-        own = [True] * len(names)
-        for k in order:  # grows: parts come before what they make up
-            if parts[k] and (inner[k] > best[k] or sizes[k] >= n):
-                best[k], own[k] = inner[k], False
-            if (u := up[k]) >= 0:
-                inner[u] += best[k]
-                waits[u] -= 1
-                if not waits[u]:
-                    order.append(u)
-        label = [-1] * len(names)
-        for k in reversed(order):
-            label[k] = label[up[k]] if up[k] >= 0 and label[up[k]] >= 0 else k if own[k] else -1
-        rows = [(names[k], x) for k, x in enumerate(label) if x >= 0]
-        for s in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[s : s + 50_000])], schema=_LABEL)
-
-    return run
+def _topmost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, label`` of clusters ``c, p, own``: the outermost cluster around each that holds, for those that have one."""
+    up: dict[int, int | None] = {}
+    own: set[int] = set()
+    for b in batches:
+        for c, p, holds in zip(*(b.column(x).to_pylist() for x in ("c", "p", "own"))):
+            up[c] = p
+            if holds:
+                own.add(c)
+    label: dict[int, int] = {}
+    for c in up:
+        path = []
+        while c is not None and c not in label:
+            path.append(c)
+            c = up[c]
+        found = label[c] if c is not None else -1
+        for x in reversed(path):
+            found = label[x] = found if found >= 0 else x if x in own else -1
+    rows = [(c, x) for c, x in label.items() if x >= 0]
+    for s in range(0, len(rows), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[s : s + 50_000])], schema=_LABEL)
+
+
+def _held_by(ended: DataFrame, few: int) -> DataFrame:
+    """``id, label`` of clusters ``c, p, own`` as in :func:`_topmost`; above ``few`` by joins in which every step doubles the way looked up."""
+    ended = materialize(ended, "clusters")
+    if ended.count() <= few:
+        return ended.repartition(1).mapInArrow(_topmost, "id bigint, label bigint")
+    seen = ended.select("c", "p", F.when(F.col("own"), F.col("c")).alias("label"))
+    while True:
+        above = seen.select(F.col("c").alias("p"), F.col("p").alias("pp"), F.col("label").alias("higher"))
+        before, seen = seen, materialize(seen.join(above, "p", "left").select("c", F.col("pp").alias("p"), F.coalesce("higher", "label").alias("label")), "labels")
+        discard(before)
+        if seen.where("p is not null").isEmpty():
+            return seen.where("label is not null").select(F.col("c").alias("id"), "label")
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -452,30 +471,30 @@ def _contract(edges: DataFrame) -> DataFrame:
             return total
 
 
-_STEP_COLUMNS = "kind int, a bigint, b bigint, size bigint, own bigint, since double, stability double, members array<bigint>"
+_STEP_COLUMNS = "kind int, a bigint, b bigint, size bigint, own bigint, since double, stability double, inner double, members array<bigint>"
 
 
-def select_clusters(tree: DataFrame, nodes: DataFrame, n: int, least: int, exact_at: int = 500_000) -> DataFrame:
+def select_clusters(tree: DataFrame, nodes: DataFrame, n: int, least: int, exact_at: int = 500_000, few: int = _FEW_CLUSTERS) -> DataFrame:
     """``id, label`` of the nodes ``id, copies`` that belong to a selected cluster of the forest ``u, v, w``.
 
     Up to ``exact_at`` edges one task follows the merges. Above it, the lightest edges go
     first: each component they make is followed by itself, with at most about
     ``exact_at`` edges, and goes on as one node that carries its size, cluster and
-    stability. Order and result are those of one task. Clusters are selected on one
-    task, which holds a few numbers for each; there are at most ``2 n / least``.
+    stability. Order and result are those of one task. Whether a cluster holds is known
+    where it ends; the outermost one that does is looked up by :func:`_held_by`.
     """
     edges = materialize(tree.select(F.monotonically_increasing_id().alias("e"), F.col("u").alias("a"), F.col("v").alias("b"), "u", "v", "w"), "edges")
     left = edges.count()
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("size", "bigint"), ("own", "bigint"), ("since", "double"), ("stability", "double"), ("members", "array<bigint>"))]
-    states = nodes.where("copies > 1").select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("copies").alias("size"), F.lit(1).cast("bigint").alias("own"), F.lit(0.0).alias("since"), F.lit(0.0).alias("stability"), F.array("id").alias("members"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("size", "bigint"), ("own", "bigint"), ("since", "double"), ("stability", "double"), ("inner", "double"), ("members", "array<bigint>"))]
+    states = nodes.where("copies > 1").select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("copies").alias("size"), F.lit(1).cast("bigint").alias("own"), F.lit(0.0).alias("since"), F.lit(0.0).alias("stability"), F.lit(None).cast("double").alias("inner"), F.array("id").alias("members"))
 
     def step(low: DataFrame, held: DataFrame, last: bool) -> DataFrame:
         """``low`` and ``held`` have a ``block``."""
         lines = low.select("block", F.lit(1).alias("kind"), "w", "e", "a", "b", "u", "v", *none)
         blank = [F.lit(None).cast(t).alias(c) for c, t in (("w", "double"), ("e", "bigint"), ("u", "bigint"), ("v", "bigint"))]
-        lines = lines.unionByName(held.select("block", "kind", "a", "b", "size", "own", "since", "stability", "members", *blank))
+        lines = lines.unionByName(held.select("block", "kind", "a", "b", "size", "own", "since", "stability", "inner", "members", *blank))
         lines = lines.repartition(1) if last else lines.repartition("block")
-        return materialize(lines.sortWithinPartitions("block", "kind", "w", "u", "v").mapInArrow(_follow(least, last), _STEP_COLUMNS), "merges")
+        return materialize(lines.sortWithinPartitions("block", "kind", "w", "u", "v").mapInArrow(_follow(least, last, n), _STEP_COLUMNS), "merges")
 
     done: list[DataFrame] = []
     while left > exact_at:
@@ -494,31 +513,35 @@ def select_clusters(tree: DataFrame, nodes: DataFrame, n: int, least: int, exact
         high = edges.where(F.col("w") > weight)
         for end in ("a", "b"):
             high = high.join(top.select(F.col("c").alias(end), F.col("p").alias("q")), end, "left").withColumn(end, F.coalesce("q", end)).drop("q")
-        edges = materialize(high, "edges")
+        before, edges = edges, materialize(high, "edges")
+        discard(before, top)
         left = edges.count()
     block = F.lit(0).cast("bigint").alias("block")
     done.append(step(edges.select("*", block), states.select("*", block), True))
     merges = done[0]
     for d in done[1:]:
         merges = merges.unionByName(d)
-    chosen = merges.where("kind = 2").select("a", "b", "size", "stability").repartition(1).mapInArrow(_selected(n), "id bigint, label bigint")
+    chosen = _held_by(merges.where("kind = 2").select(F.col("a").alias("c"), F.col("b").alias("p"), (F.col("since") > 0).alias("own")), few)
     return merges.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("c")).join(chosen.withColumnRenamed("id", "c"), "c").select("id", "label")
 
 
-def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "vectors", min_size: int = 5, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, finish_at: int = 50_000, exact_at: int = 500_000, outlying: float = 2.4) -> DataFrame:
+def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "vectors", min_size: int = 5, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, finish_at: int = 50_000, exact_at: int = 500_000, fence: float = 3.0, strength: float = 100.0) -> DataFrame:
     """``id, cluster, reach``: the records that belong to a cluster.
 
     ``reach`` is the distance at which a record joins its cluster; the smaller, the more
     typical. Copies of a vector are laid out as one and count as records in sizes and
-    core distances, but once in densities. A record whose reach is above ``outlying``
-    times the median of its nearest distinct neighbours in the cluster belongs to none,
-    unless its copies make a group by themselves. Records without a usable vector (null, zero, of another length, not finite)
+    core distances, but once in densities. A record is judged by its reach against the
+    median reach of its nearest distinct neighbours in the cluster: one whose (log) ratio
+    lies beyond the outer fence of the cluster, and above two, belongs to none, unless its
+    copies make a group by themselves. The fence is ``fence`` interquartile ranges above
+    the upper quartile, both mirrored from the lower half; a cluster's is mixed with that
+    of all records at the weight of ``strength`` records. Records without a usable vector (null, zero, of another length, not finite)
     and those that fit no cluster have no row. Deliveries of one key count once (the
     greatest vector holds); equal vectors under other keys are records of their own.
     A cluster has at least ``min_size`` records, whatever share of the table that is.
     Empty input gives no rows. Cluster numbers are arbitrary, the grouping is not.
     """
-    vectors = materialize(unit_vectors(df, key, vector), "vectors")
+    vectors = vectors_ = materialize(unit_vectors(df, key, vector), "vectors")
     lengths = vectors.groupBy(F.size("vec").alias("k")).count().orderBy(F.desc("count"), "k").first()
     empty = df.sparkSession.createDataFrame([], "id bigint, cluster bigint, reach double")
     if lengths is None or lengths["count"] < 2:
@@ -531,20 +554,33 @@ def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "v
         return vectors.select("id", F.lit(0).cast("bigint").alias("cluster"), F.lit(_NEAR).alias("reach")) if n >= min_size else empty
     graph = neighbour_graph(firsts.select("id", "vec"), distinct, width, neighbours, min(core, n - 1), rounds, block)
     if distinct < n:
-        graph = materialize(counted_cores(graph, firsts, min(core, n - 1)), "cores")
+        whole, graph = graph, materialize(counted_cores(graph, firsts, min(core, n - 1)), "cores")
+        discard(whole)
     tree = spanning_forest(mutual_reachability(graph), finish_at)
     labels = materialize(select_clusters(tree, firsts.select("id", "copies"), n, min_size, exact_at), "labels")
     apart = tree.select(F.explode(F.array("u", "v")).alias("id"), "w").groupBy("id").agg(F.min("w").alias("reach"))
     members = materialize(labels.join(apart, "id").join(firsts.select("id", "copies"), "id").select("id", F.col("label").alias("cluster"), "reach", "copies"), "members")
     near = graph.select("id", F.explode("nbrs").alias("to")).join(members.select(F.col("id").alias("to"), "cluster", F.col("reach").alias("r")), "to")
     scale = near.groupBy("id", "cluster").agg(F.median("r").alias("scale"))  # at most ``neighbours`` values each
-    members = members.join(scale, ["id", "cluster"], "left").where(F.col("scale").isNull() | (F.col("copies") >= min_size) | (F.col("reach") <= F.col("scale") * outlying)).drop("scale")
+    rated = materialize(members.join(scale, ["id", "cluster"], "left").withColumn("far", F.ln(F.col("reach") / F.col("scale"))), "rated")
+    # quartiles of the lower half, which no stray reaches; in small clusters mostly those of all records
+    low = F.percentile_approx("far", [0.25, 0.5], 1000).alias("q")
+    fence_of = lambda q: q[1] + (2 * fence + 1) * (q[1] - q[0])
+    pooled = rated.select(low).first()[0]
+    pooled = fence_of(pooled) if pooled else 0.0
+    fences = rated.groupBy("cluster").agg(low, F.count("far").alias("k"))
+    fences = fences.select("cluster", F.greatest((F.col("k") * F.coalesce(fence_of(F.col("q")), F.lit(0.0)) + strength * pooled) / (F.col("k") + strength), F.lit(math.log(2))).alias("most"))
+    kept = rated.join(fences, "cluster").where(F.col("far").isNull() | (F.col("copies") >= min_size) | (F.col("far") <= F.col("most"))).select("id", "cluster", "reach", "copies")
+    spent = [graph, tree, labels, members, rated]
+    members = materialize(kept, "kept")
     if distinct == n:
+        discard(vectors_, firsts, *spent)
         return members.select("id", "cluster", "reach")
     copied = vectors.join(firsts.where("copies > 1").select("vec", F.col("id").alias("first")), "vec").select("id", "first")
-    members = materialize(members, "members")
     others = copied.join(members.withColumnRenamed("id", "first"), "first").select("id", "cluster", F.lit(_NEAR).alias("reach"))
-    return members.where("copies = 1").select("id", "cluster", "reach").unionByName(others)
+    out = materialize(members.where("copies = 1").select("id", "cluster", "reach").unionByName(others), "members")
+    discard(vectors_, firsts, members, *spent)
+    return out
 
 
 def describe_clusters(members: DataFrame, sessions: DataFrame, catalog: DataFrame | None = None, key: str = "session_id", items: str = "items", top: int = 5, exemplars: int = 5, support: int = 5, salts: int = 32) -> DataFrame:

@@ -115,7 +115,7 @@ def test_nested_dense_groups_are_the_same_on_both_paths(spark):
     got = []
     for exact_at in (1000, 100, 30):
         by = {}
-        for x in C.select_clusters(tree, nodes, at + 301, 5, exact_at).collect():
+        for x in C.select_clusters(tree, nodes, at + 301, 5, exact_at, few=0 if exact_at == 30 else 1000).collect():
             by.setdefault(x.label, set()).add(x.id)
         got.append(sorted(map(sorted, by.values())))
     assert got[0] == got[1] == got[2]
@@ -149,3 +149,17 @@ def test_description_and_probes(spark):
     assert [(t.label, t["count"]) for t in a.top_items] == [("A - x", 5)] and [t.label for t in b.top_items] == ["6"]
     probes = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 4), (2, 2), (2, 1), (None, 3), (1, 77)], "probe_set bigint, session_id bigint")
     assert [tuple(r) for r in C.probed_pairs(members, probes).collect()] == [(1, 2)]
+
+
+def test_the_outermost_cluster_that_holds(spark):
+    r = np.random.default_rng(4)
+    rows = [(0, None, False)] + [(c, int(r.integers(max(0, c - 3), c)), bool(r.random() < 0.3)) for c in range(1, 60)]
+    up, own, want = {c: p for c, p, _ in rows}, {c for c, _, o in rows if o}, {}
+    for c in up:
+        x = c
+        while x is not None:
+            want[c] = x if x in own else want.get(c)
+            x = up[x]
+    df = spark.createDataFrame(rows, "c bigint, p bigint, own boolean")
+    for few in (0, 1000):
+        assert {x.id: x.label for x in C._held_by(df, few).collect()} == {c: x for c, x in want.items() if x is not None}
