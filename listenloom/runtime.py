@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +61,14 @@ def discard(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+def broadcast_small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is, to be joined by a shuffle.
+
+    Counting runs the plan of ``df``, so that should be cheap or materialised.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 _scopes: list[list[str]] = []
 
 
