@@ -1,18 +1,27 @@
 """Documents that are residue of a template or a page that didn't load.
 
 A document is residue if a placeholder was left unfilled anywhere in it, or if its
-whole text is filler, an error message or page, or a notice that scripts are
-required. Placeholders are found by a grammar per kind of delimiter; those in code,
-and those in a sentence that talks about naming patterns, templates and the like,
-don't count. Whole texts are judged sentence by sentence: a sentence belongs to the
-residue if it is made of nothing but the vocabulary of such messages, so that one
-which quotes or discusses a message doesn't, as it needs other words.
+whole text is filler, an error message or page, or a notice that scripts are required.
+
+Placeholders are found by a grammar per kind of delimiter. Those in code don't count, nor
+do those whose surroundings talk about naming patterns, templates and the like: the
+sentence around them, and for lines that hold little else than placeholders the sentence
+that introduces them.
+
+Whole texts are judged by density, sentence by sentence. A sentence is marked by the
+phrase of a message; it is residue if at least ``DENSE`` of its words belong to the
+vocabulary of such messages, and a text is if nothing else stands in it. The vocabulary
+starts from listed words and is corrected by the corpus: words come in that recur in
+residue and are rare in plain texts, or stand in a good part of all residue, and go out
+if plain texts have them and residue never does.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,18 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from listenloom.runtime import discard, materialize
+
 # Names of fields that templates fill in, for delimiters that are also used otherwise.
 FIELDS = set("artist title album track name host city genre label date venue duration user year curator playlist count firstname lastname email price order id url country region price amount total company product category author subject address phone time month day week release trackcount username artistname playlistname tracktitle releaseyear text description headline body content value item items message link image number".split())
 
 _NAME = r"[A-Za-z_$][\w$]*(?:\.\w+)*"
 #: Delimiters that only templates use, with what may stand between them.
 STRICT = [
-    r"\{\{\{?\s*[#/^&>!~]?\s*(?:each |if |unless |with )?[^{}\n]{0,80}?\}?\}\}",
-    r"\{%-?\s*\w[^%\n]{0,80}%\}",
-    r"<%[=\-@]?\s*[^%\n]{1,80}?%>",
-    r"<\?(?:=|php)\s*[^?\n]{1,80}?\?>",
+    r"\{\{\{?\s*[#/^&>!~]?\s*(?:each |if |unless |with )?[^{}]*?\}?\}\}",
+    r"\{%-?\s*\w[^%]*%\}",
+    r"<%[=\-@]?\s*[^%]+?%>",
+    r"<\?(?:=|php)\s*[^?]+?\?>",
     rf"[$#]\{{\s*{_NAME}\s*\}}",
-    rf"\[\[\s*{_NAME}\s*(?:\|[^\[\]\n]{{0,40}})?\]\]",
+    rf"\[\[\s*{_NAME}\s*(?:\|[^\[\]]*)?\]\]",
     rf"@@{_NAME}@@",
     r"\b__[A-Z][A-Z0-9_.]*?__(?!\w)",
     r"\bXX_[A-Z][A-Z0-9_.]*_XX\b",
@@ -40,17 +51,17 @@ STRICT = [
     rf"%\({_NAME}\)[sdif]",
     rf"<<\s*{_NAME}\s*>>",
     r"\[object Object\]",
-    r"\[\s*(?:INSERT|Insert|insert|ENTER|Enter|enter)\s[^\[\]\n]{1,60}\]",
-    r"<\s*(?:insert|INSERT|Insert|enter|your)\s[^<>\n]{1,60}>",
-    r"\[\s*(?:TODO|FIXME|TBD|TBC)\b[^\[\]\n]{0,60}\]",
-    r"\[\s*(?:your|Your|YOUR)\s[^\[\]\n]{1,60}\]",
+    r"\[\s*(?:INSERT|Insert|insert|ENTER|Enter|enter)\s[^\[\]]+\]",
+    r"<\s*(?:insert|INSERT|Insert|enter|your)\s[^<>]+>",
+    r"\[\s*(?:TODO|FIXME|TBD|TBC)\b[^\[\]]*\]",
+    r"\[\s*(?:your|Your|YOUR)\s[^\[\]]+\]",
     r"\[[A-Za-zÀ-ÿ ]{3,40}\]\s+(?:goes here|still missing|tbc|tbd|to follow|pending)\b",
     r"(?<!\{)\{\d{1,2}\}(?!\})",
-    rf"(?<!\{{)\{{\s*{_NAME}\s*\|\s*\w[^{{}}\n]{{0,40}}\}}(?!\}})",
+    rf"(?<!\{{)\{{\s*{_NAME}\s*\|\s*\w[^{{}}]*\}}(?!\}})",
 ]
 #: Delimiters that need a name that looks like a field's.
 LOOSE = [rf"(?<![{{$#])\{{({_NAME})\}}(?!\}})", r"(?<![\w%])%([A-Za-z][A-Za-z_.]+)%(?!\w)"]
-_STRICT, _LOOSE = re.compile("|".join(STRICT)), [re.compile(p) for p in LOOSE]
+_STRICT, _LOOSE = re.compile(rf"(?=[{{<\[@_*$%#X])(?:{'|'.join(STRICT)})"), [re.compile(p) for p in LOOSE]
 _DELIMITERS = re.compile(r"[{<\[@_*$%]|XX_")
 #: Words by which a sentence talks about placeholders instead of leaving one.
 TALK = re.compile(
@@ -60,7 +71,7 @@ TALK = re.compile(
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(code|pre|kbd|samp)\b[^>]*>.*?</\1>|`[^`\n]+`", re.S | re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
-# The vocabulary of error messages, notices about scripts, and what stands around them.
+# Words to start from, of error messages, notices about scripts, filler, and what stands around them.
 ERROR_WORDS = set("""
 error errors err code status http https page pages not found could be been requested you the at this address exist exists does behind link is are no longer here has have removed moved failed
 to load loading looking for were tried open document track tracks playlist playlists profile review resource artist album song list content bio item article unavailable available service
@@ -109,23 +120,56 @@ _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _MESSAGE_WORDS = ERROR_WORDS | SCRIPT_WORDS
 
 
+def _placeholders(text: str) -> list[tuple[int, int]]:
+    """Where the placeholders of a text stand, in order, whatever lies between their delimiters."""
+    found = [m.span() for m in _STRICT.finditer(text)]
+    for pattern in _LOOSE:
+        for m in pattern.finditer(text):
+            name = m[1]
+            if name.lower().replace("_", "").split(".")[0] in FIELDS or "_" in name or "." in name.strip(".") or re.search(r"[a-z][A-Z]", name):
+                found.append(m.span())
+    return sorted(found)
+
+
 def unfilled(text: str) -> bool:
     """Whether a placeholder was left unfilled in ``text``."""
     if not _DELIMITERS.search(text):
         return False
     text = _CODE.sub(" ", html.unescape(text) if "&" in text else text)
-    for sentence in _SENTENCE.split(text):
-        if not _DELIMITERS.search(sentence):
-            continue
-        hit = _STRICT.search(sentence)
-        if not hit:
-            for pattern in _LOOSE:
-                for m in pattern.finditer(sentence):
-                    name = m[1]
-                    if name.lower().replace("_", "").split(".")[0] in FIELDS or "_" in name or "." in name.strip(".") or re.search(r"[a-z][A-Z]", name):
-                        hit = m
-                        break
-        if hit and not TALK.search(sentence[: hit.start()] + " " + sentence[hit.end() :]):
+    hits = _placeholders(text)
+    if not hits:
+        return False
+    # sentences, none of which ends inside a placeholder
+    starts, at = [0], 0
+    for m in _SENTENCE.finditer(text):
+        while at < len(hits) and hits[at][1] <= m.start():
+            at += 1
+        if at == len(hits) or not hits[at][0] < m.start():
+            starts.append(m.end())
+    starts.append(len(text))
+    inside: dict[int, list[tuple[int, int]]] = {}
+    for h in hits:
+        inside.setdefault(min(bisect_right(starts, h[0]), len(starts) - 1) - 1, []).append(h)
+
+    def besides(k: int) -> str:
+        out, at = [], starts[k]
+        for s, e in inside.get(k, ()):
+            out.append(text[at : max(at, s)])
+            at = max(at, e)
+        return " ".join([*out, text[at : starts[k + 1]]])
+
+    for k in inside:
+        context, told = besides(k), k
+        bare = len(_TOKEN.findall(context)) <= 2
+        talks = TALK.search(context)
+        while bare and not talks and told:  # little but placeholders: what introduces them decides
+            told -= 1
+            context = besides(told)
+            if not context.strip() or told in inside and len(_TOKEN.findall(context)) <= 2:
+                continue
+            talks = TALK.search(context) and context.rstrip().endswith(":")
+            bare = False
+        if not talks:
             return True
     return False
 
@@ -144,8 +188,31 @@ def _is_nonsense(words: list[str]) -> bool:
     return len(words) >= 3 and silly >= 2 and silly >= 0.5 * len(words) and len(rest) <= 2 and len(kinds) < max(3, 0.8 * len(words))
 
 
-def sentence_kind(sentence: str) -> str:
-    """``error``, ``script``, ``filler``, ``around`` (fits beside them) or ``other``."""
+#: The share of a marked sentence's words that belong to messages at least.
+DENSE = 0.8
+#: The shares, of marked sentences and of others, at which a text is likely enough to be residue to learn from.
+LIKELY = (0.7, 0.5)
+
+
+class Vocabulary:
+    """Words of messages: the listed ones, those a corpus adds, without those it takes out."""
+
+    def __init__(self, added: frozenset[str] = frozenset(), removed: frozenset[str] = frozenset()):
+        self.message = (_MESSAGE_WORDS | added) - removed
+        self.filler = (FILLER_WORDS | added) - removed
+
+    def has(self, w: str) -> bool:
+        return w in self.message or bool(re.fullmatch(r"[a-f]{1,8}", w)) or "-" in w and all(p in self.message for p in w.split("-"))
+
+
+_LISTED = Vocabulary()
+
+
+def sentence_kind(sentence: str, vocabulary: Vocabulary = _LISTED, dense: float = DENSE, around: float = 1.0) -> str:
+    """``error``, ``script``, ``filler``, ``around`` (fits beside them) or ``other``.
+
+    A sentence without the phrase of a message fits beside them if the share ``around`` of its words does.
+    """
     s = " ".join(sentence.lower().replace("’", "'").split()).strip(" \t-–—|:;,·•*")
     if not s or _MENU.fullmatch(s):
         return "around"
@@ -154,51 +221,114 @@ def sentence_kind(sentence: str) -> str:
     words = _TOKEN.findall(s)
     if _is_nonsense(words) or (":" in s and _is_nonsense(_TOKEN.findall(s.split(":", 1)[1]))):
         return "filler"
-    if words and all(w in FILLER_WORDS for w in words) and _FILLER_CORE.search(s):
+    if words and _FILLER_CORE.search(s) and sum(w in vocabulary.filler for w in words) >= dense * len(words):
         return "filler"
     if _HEADING.fullmatch(s):
         return "around"
     plain = _TOKEN.findall(_CODE_TOKEN.sub(" ", s) if re.search(r"error|exception|warning|fatal|notice|status|access|\{\"", s) else s)
-    known = [w for w in plain if w in _MESSAGE_WORDS or re.fullmatch(r"[a-f]{1,8}", w) or "-" in w and all(p in _MESSAGE_WORDS for p in w.split("-"))]
-    if len(known) == len(plain):
-        if _SCRIPT_CORE.search(s):
-            return "script"
-        return "error" if _ERROR_CORE.search(s) else "around"
+    strange = [w for w in plain if w not in vocabulary.message]
+    if len(strange) > 4 and len(strange) > 2 * (1 - min(dense, around)) * len(plain) + 2:
+        return "other"
+    known = len(plain) - len(strange) + sum(map(vocabulary.has, strange))
+    script, error = _SCRIPT_CORE.search(s), _ERROR_CORE.search(s)
+    if known >= (dense if script or error else around) * len(plain):
+        return "script" if script else "error" if error else "around"
     return "other"
 
 
-def whole_text_kind(text: str) -> str | None:
-    """What the whole text is: ``error``, ``script``, ``filler``, or None for anything else."""
+def _sentences(text: str) -> Iterator[str]:
+    """Sentences of a page without tags and menus."""
     text = html.unescape(text) if "&" in text else text
-    stripped = _TAG.sub("\n", text) if "<" in text else text
-    found: dict[str, int] = {}
-    for line in stripped.split("\n"):
+    for line in (_TAG.sub("\n", text) if "<" in text else text).split("\n"):
         line = line.strip()
-        if not line:
-            continue
         segments = re.split(r"\s+[|>»›·•]\s+", line)
-        if len(segments) > 2 and all(len(x.split()) <= 3 for x in segments):
-            continue  # a menu
-        for sentence in re.split(r"(?<=[.!?…])\s+", line):
-            kind = sentence_kind(sentence)
-            if kind == "other":
-                return None
-            if kind != "around":
-                found[kind] = found.get(kind, 0) + 1
+        if line and not (len(segments) > 2 and all(len(x.split()) <= 3 for x in segments)):
+            yield from re.split(r"(?<=[.!?…])\s+", line)
+
+
+def whole_text_kind(text: str, vocabulary: Vocabulary = _LISTED, dense: float = DENSE, around: float = 1.0) -> str | None:
+    """What the whole text is: ``error``, ``script``, ``filler``, or None for anything else."""
+    found: dict[str, int] = {}
+    for sentence in _sentences(text):
+        kind = sentence_kind(sentence, vocabulary, dense, around)
+        if kind == "other":
+            return None
+        if kind != "around":
+            found[kind] = found.get(kind, 0) + 1
     return max(found, key=lambda k: (found[k], k)) if found else None
 
 
-def residue_kind(text: str | None) -> str | None:
+def residue_words(text: str, vocabulary: Vocabulary = _LISTED) -> set[str]:
+    """Words of a text that is likely to be an error page, a notice or filler; none of other texts."""
+    if not isinstance(text, str) or whole_text_kind(text, vocabulary, *LIKELY) is None:
+        return set()
+    return {w for s in _sentences(text.lower()) for w in _TOKEN.findall(s.replace("’", "'"))}
+
+
+def residue_kind(text: str | None, vocabulary: Vocabulary = _LISTED) -> str | None:
     """``placeholder``, ``error``, ``script``, ``filler``, or None for text that stays."""
     if not isinstance(text, str) or not text.strip():
         return None
-    return "placeholder" if unfilled(text) else whole_text_kind(text)
+    return "placeholder" if unfilled(text) else whole_text_kind(text, vocabulary)
+
+
+def _count(vocabulary: Vocabulary):
+    """Texts likely to be residue that have each word, and, under the empty word, all of them; by partition."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have: Counter = Counter()
+        for pdf in frames:
+            for text in pdf["text"]:
+                if words := residue_words(text, vocabulary):
+                    have.update(words | {""})
+            if len(have) > 500_000:
+                yield pd.DataFrame(have.items(), columns=["word", "n"])
+                have.clear()
+        yield pd.DataFrame(have.items(), columns=["word", "n"]).astype({"word": object, "n": "int64"})
+
+    return run
+
+
+#: Whether a text holds the phrase of a message at all, as Spark reads it.
+_PHRASE = f"(?m){_ERROR_CORE.pattern}|{_SCRIPT_CORE.pattern}|{_FILLER_CORE.pattern}"
+
+
+def learned_vocabulary(documents: DataFrame, text: str = "text", rounds: int = 2, least: int = 3, share: float = 1e-4, odds: float = 4.0, common: float = 0.01, enough: int = 100) -> Vocabulary:
+    """The vocabulary as corrected by a corpus, in ``rounds`` that each start from the last.
+
+    A word comes in if at least ``least`` residue texts, and the part ``share`` of them,
+    have it, at odds of ``odds`` against all texts, or if the part ``common`` of them has
+    it, whatever other texts do. A listed one goes out if other texts have it and none of
+    at least ``enough`` residue texts. So at most (mean words of such a text) / ``share``
+    words come to the driver and the executors, however large the corpus is.
+    """
+    whole = documents.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    low = F.lower("text")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), F.lit(0))))
+    every = materialize(whole.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("everywhere")), "words")
+    likely = materialize(whole.where(low.rlike(_PHRASE)), "likely")
+    total, vocabulary = whole.count(), _LISTED
+    for _ in range(rounds):
+        found = materialize(likely.mapInPandas(_count(vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "residue-words")
+        n = (found.where("word = ''").first() or {"n": 0})["n"]
+        rate = ((F.col("n") + 0.5) / (n + 1)) / ((F.greatest(F.col("everywhere") - F.col("n"), F.lit(0)) + 0.5) / (total - n + 1))
+        enters = (F.col("n") >= max(least, share * n)) & (rate >= odds) | (F.col("n") >= max(least, common * n))
+        added = {r.word for r in found.where("word <> ''").join(every, "word").where(enters).select("word").collect()}
+        removed: set[str] = set()
+        if n >= enough:
+            listed = every.where(F.col("word").isin(sorted(_MESSAGE_WORDS | FILLER_WORDS)) & (F.col("everywhere") >= max(least, share * total)))
+            removed = {r.word for r in listed.join(found, "word", "left_anti").select("word").collect()}
+        vocabulary = Vocabulary(frozenset(added), frozenset(removed))
+        discard(found)
+    discard(every, likely)
+    return vocabulary
 
 
-def _judge(text: str):
+def _judge(text: str, vocabulary):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = vocabulary.value
         for pdf in frames:
-            yield pdf.assign(residue=pd.Series([residue_kind(t) for t in pdf[text]], index=pdf.index, dtype=object))
+            yield pdf.assign(residue=pd.Series([residue_kind(t, words) for t in pdf[text]], index=pdf.index, dtype=object))
 
     return run
 
@@ -206,11 +336,14 @@ def _judge(text: str):
 def mark_residue(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with ``residue``: ``placeholder``, ``error``, ``script``, ``filler`` or null.
 
-    Null, empty and blank texts are no residue. Whole texts are read, however long. Rows,
-    repeated ones included, and other columns are kept; a column ``residue`` is replaced.
+    Whole texts are read, however long: the corpus first gives its vocabulary
+    (:func:`learned_vocabulary`), then every text is judged. Null, empty and blank texts are no residue.
+    Rows, repeated ones included, and other columns are kept; a column ``residue`` is
+    replaced. In a corpus too small to learn from the listed words hold.
     """
     kept = documents.drop("residue")
-    return kept.mapInPandas(_judge(text), StructType([*kept.schema.fields, StructField("residue", StringType())]))
+    words = documents.sparkSession.sparkContext.broadcast(learned_vocabulary(documents, text))
+    return kept.mapInPandas(_judge(text, words), StructType([*kept.schema.fields, StructField("residue", StringType())]))
 
 
 def without_residue(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from listenloom.llm.residue import mark_residue, residue_kind, without_residue
+from listenloom.llm.residue import learned_vocabulary, mark_residue, residue_kind, without_residue
 
 RESIDUE = {
     "placeholder": ["Hello {{ user.name }}, welcome.", "Tonight at <%= host %>.", "&lt;%= artist %&gt; was formed in X.", "By ${artist}, #{city}", "[object Object] spielt", "Doors [INSERT DATE HERE].", "on {releaseYear} and {0}", "*|ALBUM|*", "XX_CITY_XX", "__DATE__ said", "%(venue)s by", "People who file [[label|default]] under ambient.", "Hallo {% if host %}", "[liner note] goes here", "<insert artist> by", "[TODO: album] mix", "{ label | upper }"],
@@ -40,6 +40,41 @@ def test_placeholder_deep_in_a_long_text():
     assert residue_kind(body) is None and residue_kind(body + "By {{artist}}.") == "placeholder"
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Hi {{ user\n.name }}, welcome.",
+        "By {{ artist of the month, whoever that may be. Ask the desk? They know. Otherwise leave it empty and go on with the " + "next " * 40 + "}}.",
+        "The notes mention templates.\nTonight at {{ venue }} with friends of the house.",
+    ],
+)
+def test_placeholders_over_lines_and_beside_talk(text):
+    assert residue_kind(text) == "placeholder"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "A tour of the template syntax, one variable a line:\n{{artist}}\n{{title}}\n- {{album}}\nThat was all.",
+        "Our docs list these placeholders:\n\n* {{ venue }}\n* <%= date %>",
+    ],
+)
+def test_lists_of_placeholders_belong_to_what_introduces_them(text):
+    assert residue_kind(text) is None
+
+
+def test_messages_in_words_that_no_list_has(spark):
+    def page(k):
+        return f"404: the flumox you grelled was not found. Kindly brintle the flumox{' again' * (k % 2)}."
+
+    plain = ["Side one opens with a slow waltz and a cough.", "I heard a flute, then nothing was quite as loud again.", "The second error in the mix was left in on purpose, they say."]
+    rows = [(i, page(i)) for i in range(60)] + [(100 + i, plain[i % 3]) for i in range(300)] + [(900, "404 Not Found")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {"flumox", "grelled", "brintle"} <= learned_vocabulary(df).message
+    assert {r.doc_id for r in mark_residue(df).where("residue = 'error'").collect()} == {*range(60), 900}
+    assert residue_kind(page(0)) is None
+
+
 def test_rows_are_kept(spark):
     rows = [(1, "404 Not Found", "x", 5), (1, "404 Not Found", "x", 5), (2, None, None, 6), (None, "A fine record, this.", "y", 7)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, residue string, sentence int")
