@@ -221,12 +221,6 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
     artists = materialize(near.unionByName(twice.select(F.col("o_key").alias("artist_key"), "t_key", "a_slips")), "artists")
     named = materialize(rest.join(artists, "artist_key").withColumn("a_slips", F.col("a_slips") + F.when(F.col("reading") % 2 == 1, 1).otherwise(0)), "named")
 
-    def unresolved() -> DataFrame:
-        out = named
-        for done in passes[1:]:
-            out = out.join(done.select(F.col("ext_id").alias("id")), "id", "left_anti")
-        return out
-
     items = b.select(*item)
     settle("artist_variant", named.join(items, [named["t_key"] == F.col("i_artist_key"), named["title"] == F.col("i_title"), named["version"] == F.col("i_version")]).select("id", "i_id", F.col("a_slips").alias("slips")))
 
@@ -234,22 +228,33 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         scored = pairs.select("id", "i_id", "title", "i_title", "version", "i_version", "a_slips").distinct().where(F.levenshtein("title", "i_title") <= 2 * F.greatest(F.lit(2), 1 + F.floor(F.size(F.split("title", " ")) / 2))).withColumn("t", _title_slips("title", "i_title")).withColumn("v", _version_slips("version", "i_version"))
         return scored.where(F.col("t").between(least, most) & (F.col("v") <= 1)).select("id", "i_id", (F.col("t") + F.col("v") + F.col("a_slips")).alias("slips"))
 
-    def on_forms(l: DataFrame, r: DataFrame, form_l: Column, form_r: Column, extra: list[str]) -> DataFrame:
-        l, r = l.withColumn("form", F.explode(form_l)), r.withColumn("i_form", F.explode(form_r))
-        return l.join(r, [l["t_key"] == r["i_artist_key"], l["kinds"] == r["i_kinds"], l["form"] == r["i_form"], *[l[c] == r[f"i_{c}"] for c in extra]])
+    def still_open(rows: DataFrame) -> DataFrame:
+        return materialize(rows.join(passes[-1].select(F.col("ext_id").alias("id")), "id", "left_anti"), "open")
+
+    def on_forms(l: DataFrame, r: DataFrame, form_l: Column, form_r: Column, same: list[str]) -> DataFrame:
+        """Pairs of one artist that share a form and the columns ``same``; only what an open listing may meet is spelled out, and only hashes travel."""
+        keys = ["t_key", *same]
+        theirs = ["i_artist_key", *[f"i_{c}" for c in same]]
+        r = r.join(l.select(*[F.col(c).alias(f"i_{c}") if c != "t_key" else F.col(c).alias("i_artist_key") for c in keys]).distinct(), theirs, "left_semi")
+        ours = l.withColumn("form", F.explode(form_l)).withColumn("form", F.xxhash64(*keys, "form"))
+        met = r.select("i_id", *theirs, F.explode(form_r).alias("form")).select("i_id", F.xxhash64(*theirs, "form").alias("form"))
+        return ours.join(met, "form").drop("form").distinct().join(r, "i_id").where(F.col("t_key") == F.col("i_artist_key"))
 
-    settle("title_slip", judged(on_forms(unresolved(), items, _less_one(F.col("title")), _less_one(F.col("i_title")), []), 0, 1))
+    left_over = still_open(named)
+    settle("title_slip", judged(on_forms(left_over, items, _less_one(F.col("title")), _less_one(F.col("i_title")), ["kinds"]), 0, 1))
 
+    left_over = still_open(left_over)
     size = lambda df, c: df.withColumn(c.replace("title", "words"), F.size(F.split(c, " ")))
-    settle("title_slips", judged(on_forms(size(unresolved(), "title"), size(items, "i_title"), _ends(F.col("title"), 0), _ends(F.col("i_title"), 3), ["words"]), 0, _DOUBTFUL + 4))
+    settle("title_slips", judged(on_forms(size(left_over, "title"), size(items, "i_title"), _ends(F.col("title"), 0), _ends(F.col("i_title"), 3), ["kinds", "words"]), 0, _DOUBTFUL + 4))
 
     # a long title may be cut off without a sign of it; unless that is inside a word, it needs durations that agree
+    left_over = still_open(left_over)
     known = F.lit(_BEGINNINGS[0])
     for k in _BEGINNINGS[1:]:
         known = F.when(F.length("title") >= k, k).otherwise(known)
-    cut = unresolved().where((F.col("cut") & (F.length("title") >= 6)) | (F.length("title") >= 15)).withColumn("form", F.explode(_less_one(F.substring(F.col("title"), F.lit(1), known))))
+    cut = left_over.where((F.col("cut") & (F.length("title") >= 6)) | (F.length("title") >= 15))
     starts = F.array_distinct(F.flatten(F.array(*[_less_one(F.substring("i_title", 1, k)) for k in _BEGINNINGS])))
-    begun = cut.join(items.withColumn("i_form", F.explode(starts)), [cut["t_key"] == F.col("i_artist_key"), F.col("form") == F.col("i_form")])
+    begun = on_forms(cut, items, _less_one(F.substring(F.col("title"), F.lit(1), known)), starts, [])
     begun = begun.where((F.col("kinds") == F.col("i_kinds")) | (F.col("kinds") == "")).select("id", "i_id", "title", "i_title", "kinds", "i_kinds", "cut", "a_slips").distinct().where(F.levenshtein(F.col("title"), F.substring(F.col("i_title"), F.lit(1), F.length("title")), 4) >= 0).withColumn("t", _begins("title", "i_title")).where("t <= 1")
     # the cut may have taken the version with it: one that isn't needed for the match costs
     settle("cut_title", begun.select("id", "i_id", (F.col("a_slips") + F.col("t") + F.when(F.col("kinds") == F.col("i_kinds"), 0).otherwise(3) + F.when(F.col("cut"), 0).when(F.substring(F.col("i_title"), F.length("title") + 1, F.lit(1)).isin(" ", ""), _DOUBTFUL).otherwise(5)).alias("slips")))
