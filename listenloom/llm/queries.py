@@ -74,8 +74,8 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p8_packed(spark, sf_dir))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
+def _mixed(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"), **how)
 
 
 def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +88,26 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document where as many tokens are wanted as there are, so that repetition limits bind and shares are tempered."""
+    return _mixed(spark, sf_dir, epochs=1.0)[0]
+
+
+def p9_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached and the exponent where as many tokens are wanted as there are."""
+    return _mixed(spark, sf_dir, epochs=1.0)[1]
+
+
+def p9_flat_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of all sources at nine tenths of the entropy of equal ones, each document used four times at most."""
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), None, flatness=0.9, repeats=4)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id`` of every document that is residue of a template or of a page that didn't load."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return mark_residue(documents).where("residue is not null").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_archetypes": p1_archetypes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_draws": p9_draws, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_archetypes": p1_archetypes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_draws": p9_draws, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p9_tempered_shares": p9_tempered_shares, "p9_flat_shares": p9_flat_shares, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p6_found": P6_SQL}

@@ -41,6 +41,20 @@ def test_budget_beyond_the_repeats_gives_way(spark):
     assert r["a"].drawn_tokens + r["b"].drawn_tokens == pytest.approx(3300, rel=0.02)
 
 
+def test_limits_temper_the_shares_of_whole_epochs(spark):
+    rows = [(i, "a", _text(10)) for i in range(300)] + [(1000 + i, "b", _text(10)) for i in range(30)]
+    targets = _targets(spark, [("a", 0.5, 3), ("b", 0.5, 2)])
+    kept, report = M.mix_sources(_docs(spark, rows), targets, epochs=1.0, block_docs=3, stretch_blocks=4)
+    r = {x.source: x for x in report.collect()}
+    assert 0 < r["b"].exponent < 1 and r["b"].passes == pytest.approx(2, abs=0.1)
+    assert r["a"].drawn_tokens + r["b"].drawn_tokens == pytest.approx(r["a"].tokens + r["b"].tokens, rel=0.02)
+    assert {x.exponent for x in M.mix_sources(_docs(spark, rows), targets)[1].collect()} == {0.0}
+    flat = {x.source: x for x in M.mix_sources(_docs(spark, rows), None, flatness=0.9, repeats=4)[1].collect()}
+    shares = {s: x.planned_share for s, x in flat.items()}
+    assert M.entropy(shares) == pytest.approx(0.9 * math.log(2), abs=1e-6) and 0 < flat["a"].exponent < 1
+    assert flat["b"].passes == pytest.approx(4, abs=0.1) and flat["a"].actual_share == pytest.approx(shares["a"], abs=0.02)
+
+
 @pytest.mark.parametrize(("docs", "targets"), [([], [("a", 0.5, 1)]), ([(1, "a", "x")], []), ([(1, None, "x")], [("a", 1.0, 1)]), ([(1, "a", "x")], [("a", None, None)]), ([(1, "a", "x")], [("a", -1.0, 2)])])
 def test_nothing_to_draw(spark, docs, targets):
     draws, report = M.mix_sources(_docs(spark, docs), _targets(spark, targets))
