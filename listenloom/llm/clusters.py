@@ -217,7 +217,7 @@ def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10
     placed = materialize(celled.select("id", "vec").mapInArrow(_assign(pivots, probes), schema), "asking")
     asking = placed.select("id", "vec", F.explode("cells").alias("cell"))
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
-    sizes = F.broadcast(sizes.join(asking.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(16 * block)).alias("turns")), "cell"))  # a row per pivot
+    sizes = F.broadcast(sizes.join(asking.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(16 * block)).alias("turns")), "cell"))  # a row per pivot, of which there are at most _PIVOT_BYTES / 4 / width
     part, turn = F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("turns"))
     living = celled.join(sizes, "cell").withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)))
     asking = asking.join(sizes, "cell").withColumn("turn", turn).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))

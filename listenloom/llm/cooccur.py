@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listenloom.runtime import materialize
+from listenloom.runtime import broadcast_small, materialize
 
 _STRIPE = pa.schema([("item_a", pa.int64()), ("salt", pa.int32()), ("neighbours", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("item_a", pa.int64()), ("item_b", pa.int64()), ("n_both", pa.int64())])
@@ -124,7 +124,7 @@ def cooccurring_pairs(df: DataFrame, basket: str = "session_id", items: str = "i
     hot = single.where(F.col("n_item") * F.lit(min_lift) > F.lit(n)).select("item")
     usable = (
         baskets.select("basket", F.explode("items").alias("item"))
-        .join(F.broadcast(hot), "item", "left_anti")
+        .join(broadcast_small(hot), "item", "left_anti")
         .join(single.where(F.col("n_item") >= min_count).select("item"), "item", "left_semi")
     )
     short = usable.groupBy("basket").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1).select("items")

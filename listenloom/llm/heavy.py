@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listenloom.functions.text import has_text
+from listenloom.runtime import broadcast_small, materialize
 
 _SUMMARY = "field_name string, part int, n_rows bigint, floor bigint, value array<string>, upper array<bigint>, error array<bigint>"
 
@@ -120,8 +121,8 @@ def heavy_summaries(df: DataFrame, fields: list[str], capacity: int = 4000, fan_
     Memory per task is a batch and ``4 * capacity`` counters, whatever the input.
     """
     picked = df.select(*[F.col(f"`{f}`").cast("string").alias(f) for f in fields])
-    width = max(1, picked.rdd.getNumPartitions())
-    out = picked.withColumn("__part", F.spark_partition_id()).mapInArrow(_summarise(fields, capacity), _SUMMARY)
+    out = materialize(picked.withColumn("__part", F.spark_partition_id()).mapInArrow(_summarise(fields, capacity), _SUMMARY), "summaries")
+    width = (out.agg(F.max("part")).first()[0] or 0) + 1
     while width > 1:
         width = -(-width // fan_in)
         out = out.groupBy("field_name", F.pmod("part", F.lit(width)).cast("int").alias("__g")).applyInPandas(_merge(capacity), _SUMMARY)
@@ -141,13 +142,14 @@ def frequent_values(df: DataFrame, fields: list[str], share: float, capacity: in
     """
     if capacity * share <= 1:
         raise ValueError("capacity must be above 1 / share")
-    merged = heavy_summaries(df, fields, capacity)
+    merged = materialize(heavy_summaries(df, fields, capacity), "merged")
     survivors = (
         merged.select("field_name", F.col("n_rows").alias("total_rows"), F.explode(F.arrays_zip("value", "upper", "error")).alias("c"))
         .select("field_name", F.col("c.value").alias("field_value"), (F.col("c.upper") - F.col("c.error")).alias("lower_bound"), F.col("c.upper").alias("upper_bound"), "total_rows")
         .where(F.col("upper_bound") >= F.ceil(F.col("total_rows") * F.lit(share) - 1e-9))
     )
+    survivors = broadcast_small(survivors)
     pairs = ", ".join(f"'{f}', cast(`{f}` as string)" for f in fields)
     long = df.selectExpr(f"stack({len(fields)}, {pairs}) as (field_name, field_value)").where(has_text(F.col("field_value")))
-    counted = long.join(F.broadcast(survivors.select("field_name", "field_value")), ["field_name", "field_value"], "left_semi").groupBy("field_name", "field_value").agg(F.count("*").alias("n_rows"))
-    return counted.join(F.broadcast(survivors), ["field_name", "field_value"]).where(F.col("n_rows") >= F.ceil(F.col("total_rows") * F.lit(share) - 1e-9)).select("field_name", "field_value", "n_rows", "lower_bound", "upper_bound", "total_rows")
+    counted = long.join(survivors.select("field_name", "field_value"), ["field_name", "field_value"], "left_semi").groupBy("field_name", "field_value").agg(F.count("*").alias("n_rows"))
+    return counted.join(survivors, ["field_name", "field_value"]).where(F.col("n_rows") >= F.ceil(F.col("total_rows") * F.lit(share) - 1e-9)).select("field_name", "field_value", "n_rows", "lower_bound", "upper_bound", "total_rows")
