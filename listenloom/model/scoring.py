@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from listenloom.model.encoder import FIRST, PAD, Encoder, Shape, left_padded
+from listenloom.operators.ordered import histories
 
 
 def gathered(past: DataFrame) -> DataFrame:
@@ -25,7 +27,14 @@ def gathered(past: DataFrame) -> DataFrame:
     return by.select("instance_id", F.transform("h", lambda x: x["item_id"]).alias("items"), F.transform("h", lambda x: x["ts"]).alias("times"))
 
 
+#: Bytes of a model sent to every executor at most.
+MOST_SENT = 1 << 30
+
+
 def _broadcast(df: DataFrame, shape: Shape, weights: dict[str, np.ndarray]):
+    size = sum(w.nbytes for w in weights.values())
+    if size > MOST_SENT:
+        raise ValueError(f"a model of {size >> 20} MB is too large to send; score its catalogue part by part")
     return df.sparkSession.sparkContext.broadcast((shape, weights))
 
 
@@ -49,6 +58,18 @@ def dense_ranks(instances: DataFrame, past: DataFrame, shape: Shape, weights: di
     return instances.join(asked.mapInPandas(run, "instance_id string, rank bigint"), "instance_id")
 
 
+@dataclass
+class Dense:
+    """The sequence model as a scorer of ``listenloom.operators.harness``."""
+
+    shape: Shape
+    weights: dict[str, np.ndarray]
+    name: str = "encoder"
+
+    def ranks(self, instances: DataFrame, seqs: DataFrame, n_items: int) -> DataFrame:
+        return dense_ranks(instances, histories(instances, seqs, self.shape.max_len, ["item_id", "ts"]), self.shape, self.weights)
+
+
 def dense_recommend(past: DataFrame, shape: Shape, weights: dict[str, np.ndarray], k: int = 20, discover: bool = False, batch: int = 64) -> DataFrame:
     """``instance_id, place, item_id, score``: the best ``k``; with ``discover`` none of the history."""
     sent = _broadcast(past, shape, weights)

@@ -27,6 +27,19 @@ DAY = 86_400
 
 
 # instances -----------------------------------------------------------------------------
+def _taken(seqs: DataFrame, cutoff: int, max_per_user: int, seed: int) -> DataFrame:
+    eligible = seqs.where((F.col("ts") >= cutoff) & (F.col("pos") > 0))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), "user_id", F.lit(":"), F.col("pos").cast("string")))
+    w = Window.partitionBy("user_id").orderBy("__d", "pos")  # Spark keeps only the first rows of each group while it shuffles
+    return eligible.withColumn("__d", digest).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= max_per_user)
+
+
+def oov_report(seqs: DataFrame, cutoff: int, max_per_user: int = 50, seed: int = 0) -> DataFrame:
+    """One row: ``n_taken, n_oov, oov_frac``: targets that :func:`eval_instances` takes, and those of them it leaves out as unknown."""
+    unknown = F.col("item_id") <= OOV
+    return _taken(seqs, cutoff, max_per_user, seed).agg(F.count("*").alias("n_taken"), F.count_if(unknown).alias("n_oov"), F.coalesce(F.round(F.avg(unknown.cast("int")), 9), F.lit(0.0)).alias("oov_frac"))
+
+
 def eval_instances(seqs: DataFrame, cutoff: int, holdout: DataFrame, train_items: DataFrame, max_per_user: int = 50, seed: int = 0) -> DataFrame:
     """``instance_id, user_id, pos, ts, target, is_repeat, is_cold_user, is_cold_item``.
 
@@ -34,10 +47,7 @@ def eval_instances(seqs: DataFrame, cutoff: int, holdout: DataFrame, train_items
     more than ``max_per_user`` those are taken that come first by a digest; unknown items
     are left out after that. ``is_repeat``: the item is at an earlier position.
     """
-    eligible = seqs.where((F.col("ts") >= cutoff) & (F.col("pos") > 0))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), "user_id", F.lit(":"), F.col("pos").cast("string")))
-    w = Window.partitionBy("user_id").orderBy("__d", "pos")  # Spark keeps only the first rows of each group while it shuffles
-    taken = eligible.withColumn("__d", digest).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= max_per_user).where(F.col("item_id") > OOV)
+    taken = _taken(seqs, cutoff, max_per_user, seed).where(F.col("item_id") > OOV)
     first = seqs.groupBy("user_id", "item_id").agg(F.min("pos").alias("__first"))
     out = taken.join(first, ["user_id", "item_id"]).select("user_id", "pos", "ts", F.col("item_id").alias("target"), (F.col("__first") < F.col("pos")).alias("is_repeat"))
     cold = holdout.select("user_id", F.lit(True).alias("is_cold_user"))
@@ -53,12 +63,13 @@ def instance_summary(instances: DataFrame) -> DataFrame:
 
 
 # ranks ------------------------------------------------------------------------------------
-def popularity_ranks(instances: DataFrame, counts: DataFrame, n_items: int) -> DataFrame:
-    """``instances`` with ``rank`` by training count; items never trained on count 0."""
+def popularity_ranks(instances: DataFrame, counts: DataFrame, n_items: int, optimistic: bool = False) -> DataFrame:
+    """``instances`` with ``rank`` by training count; items never trained on count 0. ``optimistic`` ranks count higher items only."""
     by = counts.groupBy("cnt").agg(F.count("*").alias("n"))  # at most about sqrt(2 * events) rows
     above = by.withColumn("at_least", F.sum("n").over(Window.orderBy(F.desc("cnt"))))
-    known = counts.join(above.select("cnt", "at_least"), "cnt").select(F.col("item_id").alias("target"), "at_least")
-    return instances.join(known, "target", "left").withColumn("rank", F.coalesce(F.col("at_least"), F.lit(n_items)).cast("bigint") - 1).drop("at_least")
+    known = counts.join(above, "cnt").select(F.col("item_id").alias("target"), (F.col("at_least") - F.col("n") if optimistic else F.col("at_least") - 1).alias("place"))
+    unseen = counts.count() if optimistic else n_items - 1
+    return instances.join(known, "target", "left").withColumn("rank", F.coalesce(F.col("place"), F.lit(unseen)).cast("bigint")).drop("place")
 
 
 def repeat_scores(instances: DataFrame, seqs: DataFrame, counts: DataFrame, halflife_days: float = 7.0, boost: float = 1.5, pop_weight: float = 0.15, max_len: int = MAX_LEN) -> DataFrame:
@@ -84,7 +95,7 @@ def _pop(cnt: Column, counts: DataFrame, pop_weight: float) -> Column:
     return F.lit(pop_weight) * F.log1p(cnt) / F.lit(top)
 
 
-def repeat_ranks(instances: DataFrame, seqs: DataFrame, counts: DataFrame, n_items: int, **how) -> DataFrame:
+def repeat_ranks(instances: DataFrame, seqs: DataFrame, counts: DataFrame, n_items: int, optimistic: bool = False, **how) -> DataFrame:
     """``instances`` with ``rank`` and ``score`` by recency and habit.
 
     Of the items that weren't played only the number with a high enough count matters.
@@ -102,12 +113,13 @@ def repeat_ranks(instances: DataFrame, seqs: DataFrame, counts: DataFrame, n_ite
 
     @F.pandas_udf(LongType())
     def popular(score: pd.Series) -> pd.Series:
-        return pd.Series(at_least[np.searchsorted(pops, score.to_numpy() - 1e-12, side="left")])
+        return pd.Series(at_least[np.searchsorted(pops, score.to_numpy() + (1e-12 if optimistic else -1e-12), side="left")])
 
     against = played.join(asked.select("instance_id", F.col("score").alias("s")), "instance_id")
-    beaten = against.groupBy("instance_id").agg(F.count_if(F.round("pop", 9) >= F.col("s")).alias("by_pop"), F.count_if(F.col("score") >= F.col("s")).alias("by_score"))
+    beats = (lambda c: c > F.col("s")) if optimistic else (lambda c: c >= F.col("s"))
+    beaten = against.groupBy("instance_id").agg(F.count_if(beats(F.round("pop", 9))).alias("by_pop"), F.count_if(beats(F.col("score"))).alias("by_score"))
     out = asked.join(beaten, "instance_id", "left")
-    return out.withColumn("rank", popular("score") - F.coalesce("by_pop", F.lit(0)) + F.coalesce("by_score", F.lit(0)) - 1).drop("own_pop", "own_score", "by_pop", "by_score")
+    return out.withColumn("rank", popular("score") - F.coalesce("by_pop", F.lit(0)) + F.coalesce("by_score", F.lit(0)) - (0 if optimistic else 1)).drop("own_pop", "own_score", "by_pop", "by_score")
 
 
 # item-to-item ----------------------------------------------------------------------------
@@ -140,11 +152,14 @@ def knn_scores(targets: DataFrame, seqs: DataFrame, sim: DataFrame, recent: int
     return weighed.join(sim, weighed["item_id"] == sim["i"]).groupBy("instance_id", F.col("j").alias("item_id")).agg(F.round(F.sum(F.col("w") * F.col("sim")), 9).alias("score"))
 
 
-def knn_ranks(instances: DataFrame, seqs: DataFrame, sim: DataFrame, n_items: int, **how) -> DataFrame:
+def knn_ranks(instances: DataFrame, seqs: DataFrame, sim: DataFrame, n_items: int, optimistic: bool = False, **how) -> DataFrame:
     """``instances`` with ``rank`` and ``score``; items near nothing in the history score 0 and tie."""
     scores = materialize(knn_scores(instances, seqs, sim, **how), "knn-scores")
     own = scores.select("instance_id", F.col("item_id").alias("target"), F.col("score"))
     asked = instances.join(own, ["instance_id", "target"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if optimistic:
+        better = scores.join(asked.select("instance_id", F.col("score").alias("s")), "instance_id").where("score > s").groupBy("instance_id").agg(F.count("*").alias("n"))
+        return asked.join(better, "instance_id", "left").withColumn("rank", F.coalesce(F.col("n"), F.lit(0)).cast("bigint")).drop("n")
     better = scores.join(asked.where("score > 0").select("instance_id", F.col("score").alias("s")), "instance_id").where("score >= s").groupBy("instance_id").agg(F.count("*").alias("n"))
     return asked.join(better, "instance_id", "left").withColumn("rank", F.coalesce(F.col("n"), F.lit(n_items)).cast("bigint") - 1).drop("n")
 

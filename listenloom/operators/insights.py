@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenloom.functions.time import hour_of_day, window_number
-from listenloom.functions.vectors import TINY
+from listenloom.functions.vectors import TINY, cosine_distance, norm
 from listenloom.operators.ordered import grouped_quantiles
 from listenloom.operators.vocab import FIRST
 
 
 def item_vectors(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``item_id, dim, x``: unit vectors in long form; vector ``v`` is item ``v + 2``."""
-    long = embeddings.select((F.col(key) + FIRST).alias("item_id"), F.posexplode(vector).alias("dim", "raw")).withColumn("raw", F.col("raw").cast("double"))
-    norm = long.groupBy("item_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return long.join(norm, "item_id").select("item_id", "dim", (F.col("raw") / F.greatest("norm", F.lit(TINY))).alias("x"))
+    """``item_id, x``: unit vectors as arrays; vector ``v`` is item ``v + 2``. Null vectors have no row."""
+    rows = embeddings.where(F.col(vector).isNotNull()).select((F.col(key) + FIRST).alias("item_id"), F.col(vector).cast("array<double>").alias("raw"))
+    return rows.withColumn("norm", F.greatest(norm(F.col("raw")), F.lit(TINY))).select("item_id", F.transform("raw", lambda v: v / F.col("norm")).alias("x"))
 
 
 def centroids(weights: DataFrame, vectors: DataFrame, group: list[str]) -> DataFrame:
-    """``group, dim, c``: the mean unit vector of each group's items at length one.
+    """``group, c``: the mean unit vector of each group's items at length one, as an array.
 
-    ``weights`` has ``group, item_id, n``. Items without a vector count as zero vectors;
-    a group whose vectors cancel out, or that has none, has no row. Vectors are added per
-    item, so a play costs no vector of its own.
+    ``weights`` has ``group, item_id, n``. Items without a vector count as zero vectors, which
+    doesn't turn the mean; a group whose vectors cancel out, or that has none, has no row.
+    Vectors are added up where they are before they are sent, one array for a group.
     """
-    size = weights.groupBy(*group).agg(F.sum("n").alias("__n"))
-    sums = weights.join(vectors, "item_id").groupBy(*group, "dim").agg(F.sum(F.col("n") * F.col("x")).alias("s"))
-    mean = sums.join(size, group).select(*group, "dim", (F.col("s") / F.col("__n")).alias("m"))
-    norm = mean.groupBy(*group).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("__norm")).where(F.col("__norm") >= TINY)
-    return mean.join(norm, group).select(*group, "dim", (F.col("m") / F.col("__norm")).alias("c"))
+    joined = weights.join(vectors, "item_id").select(*group, "n", array_to_vector("x").alias("x"))
+    mean = joined.groupBy(*group).agg(Summarizer.mean(F.col("x"), F.col("n")).alias("m")).select(*group, vector_to_array("m").alias("m"))
+    return mean.withColumn("__norm", norm(F.col("m"))).where(F.col("__norm") >= TINY).select(*group, F.transform("m", lambda v: v / F.col("__norm")).alias("c"))
 
 
 def _distance(a: Column, b: Column) -> Column:
-    return F.round(F.least(F.greatest(1 - F.sum(a * b), F.lit(0.0)), F.lit(2.0)), 6)
+    return F.when(a.isNotNull() & b.isNotNull(), F.round(cosine_distance(a, b), 6))
 
 
 def drift_timeline(seqs: DataFrame, vectors: DataFrame, window_days: int = 90, min_events: int = 10, top: int = 5, labels: DataFrame | None = None) -> DataFrame:
@@ -53,18 +52,14 @@ def drift_timeline(seqs: DataFrame, vectors: DataFrame, window_days: int = 90, m
     enough = by.where(F.col("n_real") >= min_events).select("user_id", "window")
     where = centroids(weights.join(enough, ["user_id", "window"], "left_semi"), vectors, ["user_id", "window"])
     w = Window.partitionBy("user_id").orderBy("window")  # a row per window of the calendar
-    placed = where.select("user_id", "window").distinct().withColumn("previous", F.lag("window").over(w)).withColumn("first", F.min("window").over(Window.partitionBy("user_id")))
-    links = where.join(placed, ["user_id", "window"])
-
-    def against(column: str, name: str) -> DataFrame:
-        other = where.select("user_id", F.col("window").alias(column), "dim", F.col("c").alias("o"))
-        return links.join(other, ["user_id", column, "dim"]).groupBy("user_id", "window").agg(_distance(F.col("c"), F.col("o")).alias(name))
-
+    first, before = (lambda c: F.first(c).over(w)), (lambda c: F.lag(c).over(w))
+    placed = where.select("user_id", "window", "c", before("window").alias("previous"), first("window").alias("first"), before("c").alias("__p"), first("c").alias("__f"))
+    placed = placed.select("user_id", "window", "previous", "first", _distance(F.col("c"), F.col("__p")).alias("step"), _distance(F.col("c"), F.col("__f")).alias("displacement"))
     ranked = weights.join(placed.select("user_id", "window"), ["user_id", "window"], "left_semi")
     ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("user_id", "window").orderBy(F.desc("n"), "item_id"))).where(F.col("k") <= top)
     named = ranked.join(labels, "item_id", "left") if labels is not None else ranked.withColumn("label", F.lit(None).cast("string"))
     tops = named.groupBy("user_id", "window").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("label", F.col("item_id").cast("string")).alias("label")))).alias("t")).select("user_id", "window", F.transform("t", lambda x: x["label"]).alias("top_items"))
-    out = by.join(placed, ["user_id", "window"], "left").join(against("previous", "step"), ["user_id", "window"], "left").join(against("first", "displacement"), ["user_id", "window"], "left").join(tops, ["user_id", "window"], "left")
+    out = by.join(placed, ["user_id", "window"], "left").join(tops, ["user_id", "window"], "left")
     return out.select(
         "user_id",
         "window",
@@ -109,8 +104,7 @@ def session_vectors(seqs: DataFrame, vectors: DataFrame, min_len: int = 3) -> Da
     real = seqs.where(F.col("item_id") >= FIRST)
     enough = session_behaviour(seqs, min_len).select("session_id")
     weights = real.join(enough, "session_id", "left_semi").groupBy("session_id", "item_id").agg(F.count("*").alias("n"))
-    long = centroids(weights, vectors, ["session_id"])
-    return long.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("v")).select("session_id", F.transform("v", lambda x: x["c"]).alias("vectors"))
+    return centroids(weights, vectors, ["session_id"]).withColumnRenamed("c", "vectors")
 
 
 def session_signals(events: DataFrame) -> DataFrame:
@@ -119,6 +113,17 @@ def session_signals(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.round(F.avg(F.col("ms_played").cast("double")) / 1000, 9).alias("mean_seconds"), rate("skipped").alias("skip_rate"), rate("shuffle").alias("shuffle_rate"))
 
 
+def with_signals(sessions: DataFrame, signals: DataFrame) -> DataFrame:
+    """``sessions`` with the columns of :func:`session_signals`; null for a session that has none."""
+    return sessions.drop("mean_seconds", "skip_rate", "shuffle_rate").join(signals, "session_id", "left")
+
+
+def signal_profile(sessions: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """``cluster`` and the means of its sessions' signals, over those that have them."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
+    return sessions.groupBy(cluster).agg(mean("mean_seconds"), mean("skip_rate"), mean("shuffle_rate"))
+
+
 def cluster_profile(sessions: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Size, share, means, and hours of each cluster of sessions; the peak hour is the lowest of the fullest."""
     total = sessions.count()

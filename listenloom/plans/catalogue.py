@@ -14,7 +14,8 @@ from listenloom.functions.time import GAP_EDGES, gap_bucket
 from listenloom.operators import evaluation as E
 from listenloom.model import encoder, scoring, train
 from listenloom.operators import archetypes, features, insights, serving
-from listenloom.operators.ordered import grouped_quantiles, histories, sessionized
+from listenloom.operators.harness import ItemKnn, Popularity, Repeat, evaluate
+from listenloom.operators.ordered import grouped_quantiles, histories, in_sequence, sessionized
 from listenloom.operators.splits import Split, leakage_report, split_summary, temporal_split
 from listenloom.operators.vocab import build_vocab, coverage, encode, long_enough, positives, train_counts
 from listenloom.runtime import materialize
@@ -35,26 +36,37 @@ def keyed(spark: SparkSession, d: str) -> DataFrame:
     return materialize(with_item_key(positives(events(spark, d)), unicode=False), "keyed")
 
 
-def sequences(spark: SparkSession, d: str, rows: DataFrame | None = None, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Encoded events in sequence, and the vocabulary."""
+def encoded_rows(spark: SparkSession, d: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Encoded events of users that have enough, and the vocabulary."""
     rows = keyed(spark, d) if rows is None else rows
-    vocab = materialize(build_vocab(rows, MIN_COUNT), "vocab") if vocab is None else vocab
-    encoded = materialize(encode(long_enough(rows, MIN_LEN), vocab).drop("item_key", "artist", "track"), "encoded")
+    vocab = materialize(build_vocab(rows, MIN_COUNT), "vocab")
+    return materialize(encode(long_enough(rows, MIN_LEN), vocab).drop("item_key", "artist", "track"), "encoded"), vocab
+
+
+def positioned(spark: SparkSession, d: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Encoded events with their positions and each user's sessions, and the vocabulary."""
+    encoded, vocab = encoded_rows(spark, d, rows)
+    return materialize(in_sequence(encoded), "positioned"), vocab
+
+
+def sequences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Encoded events in sequence with sessions numbered over all users, and the vocabulary."""
+    encoded, vocab = encoded_rows(spark, d)
     return sessionized(encoded), vocab
 
 
 class Experiment:
-    """Everything an evaluation needs, made once."""
+    """Everything an evaluation needs, made once. Training events are a part of the sequences: a user's first ones, so positions hold."""
 
     def __init__(self, spark: SparkSession, d: str):
         rows = keyed(spark, d)
-        self.seqs, self.vocab = sequences(spark, d, rows)
+        self.seqs, self.vocab = positioned(spark, d, rows)
         self.split = temporal_split(rows, TEST, HOLDOUT)
-        self.train, _ = sequences(spark, d, self.split.train, self.vocab)
+        past = self.seqs.where(F.col("ts") < self.split.cutoff).join(self.split.holdout, "user_id", "left_anti")
+        self.train = materialize(long_enough(past, MIN_LEN), "train")
         self.counts = materialize(train_counts(self.train), "counts")
         self.n_items = self.vocab.count()
-        seen = self.train.select("item_id").distinct()
-        self.instances = materialize(E.eval_instances(self.seqs, self.split.cutoff, self.split.holdout, seen, PER_USER), "instances")
+        self.instances = materialize(E.eval_instances(self.seqs, self.split.cutoff, self.split.holdout, self.counts, PER_USER), "instances")
 
     def similar(self) -> DataFrame:
         return materialize(E.nearest_items(E.similarity(E.cooccurrence(self.train))), "similar")
@@ -122,13 +134,19 @@ def session_signals(spark, d):
     return insights.session_signals(sessionized(keyed(spark, d)))
 
 
+def session_features(spark, d):
+    """Behaviour and signals of the sessions long enough for a vector."""
+    seqs = sequences(spark, d)[0]
+    return insights.with_signals(insights.session_behaviour(seqs), insights.session_signals(seqs))
+
+
 def sequence_stats(spark, d):
-    by = sequences(spark, d)[0].groupBy("user_id").agg(F.count("*").alias("n"))
+    by = encoded_rows(spark, d)[0].groupBy("user_id").agg(F.count("*").alias("n"))
     return by.agg(F.count("*").alias("users"), F.sum("n").alias("events"), F.round(F.avg("n"), 9).alias("mean_len"), F.median("n").alias("median_len"))
 
 
 def repeat_rate(spark, d):
-    seqs = sequences(spark, d)[0]
+    seqs = encoded_rows(spark, d)[0]
     first = seqs.groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
     return first.agg(F.round((F.sum("n") - F.count("*")) / F.sum("n"), 9).alias("repeat_rate"))
 
@@ -149,6 +167,11 @@ def instance_summary(spark, d):
     return E.instance_summary(Experiment(spark, d).instances)
 
 
+def instance_oov(spark, d):
+    x = Experiment(spark, d)
+    return E.oov_report(x.seqs, x.split.cutoff, PER_USER)
+
+
 def history_lengths(spark, d):
     x = Experiment(spark, d)
     past = histories(x.instances, x.seqs, E.MAX_LEN, ["item_id", "ts"])
@@ -156,27 +179,40 @@ def history_lengths(spark, d):
 
 
 def train_windows(spark, d):
-    return features.train_windows(sequences(spark, d)[0], 20, 10)
+    return features.train_windows(positioned(spark, d)[0], 20, 10)
 
 
 def supervised_targets(spark, d):
-    seqs, _ = sequences(spark, d)
+    seqs, _ = positioned(spark, d)
     return features.supervised(seqs, features.train_windows(seqs, 20, 20)).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("target") >= 2).alias("n_targets"), F.sum("target").alias("target_sum"))
 
 
 def eval_popularity(spark, d):
     x = Experiment(spark, d)
-    return E.sliced_metrics(E.popularity_ranks(x.instances, x.counts, x.n_items), "popularity")
+    return evaluate([Popularity(x.counts)], x.instances, x.seqs, x.n_items)
 
 
 def eval_repeat(spark, d):
     x = Experiment(spark, d)
-    return E.sliced_metrics(E.repeat_ranks(x.instances, x.seqs, x.counts, x.n_items), "repeat")
+    return evaluate([Repeat(x.counts)], x.instances, x.seqs, x.n_items)
 
 
 def eval_itemknn(spark, d):
     x = Experiment(spark, d)
-    return E.sliced_metrics(E.knn_ranks(x.instances, x.seqs, x.similar(), x.n_items), "itemknn")
+    return evaluate([ItemKnn(x.similar())], x.instances, x.seqs, x.n_items)
+
+
+def eval_all(spark, d):
+    """Every sparse scorer under one protocol."""
+    x = Experiment(spark, d)
+    return evaluate([Popularity(x.counts), Repeat(x.counts), ItemKnn(x.similar())], x.instances, x.seqs, x.n_items)
+
+
+def optimistic_ranks(spark, d):
+    """Ranks that count only items that score higher, of all sparse scorers."""
+    x = Experiment(spark, d)
+    parts = [s.ranks(x.instances, x.seqs, x.n_items).select(F.lit(s.name).alias("model"), "instance_id", "rank") for s in (Popularity(x.counts, True), Repeat(x.counts, True), ItemKnn(x.similar(), True))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def popularity_ranks(spark, d):
@@ -195,15 +231,15 @@ def itemknn_ranks(spark, d):
 
 
 def cooccurrence(spark, d):
-    return E.cooccurrence(sequences(spark, d)[0])
+    return E.cooccurrence(positioned(spark, d)[0])
 
 
 def itemknn_sim(spark, d):
-    return E.similarity(E.cooccurrence(sequences(spark, d)[0]))
+    return E.similarity(E.cooccurrence(positioned(spark, d)[0]))
 
 
 def itemknn_topk(spark, d):
-    return E.nearest_items(E.similarity(E.cooccurrence(sequences(spark, d)[0])), 10)
+    return E.nearest_items(E.similarity(E.cooccurrence(positioned(spark, d)[0])), 10)
 
 
 def _last(seqs: DataFrame) -> DataFrame:
@@ -212,7 +248,7 @@ def _last(seqs: DataFrame) -> DataFrame:
 
 
 def _recommended(spark, d, discover: bool) -> DataFrame:
-    seqs, words = sequences(spark, d)
+    seqs, words = positioned(spark, d)
     asked = _last(seqs)
     scores = E.knn_scores(asked, seqs, E.nearest_items(E.similarity(E.cooccurrence(seqs))))
     past = histories(asked, seqs, E.MAX_LEN, ["item_id"]) if discover else None
@@ -229,7 +265,7 @@ def recommend_discovery(spark, d):
 
 
 def recommend_context(spark, d):
-    seqs, _ = sequences(spark, d)
+    seqs, _ = positioned(spark, d)
     return E.context_report(histories(_last(seqs), seqs, E.MAX_LEN, ["item_id"])).withColumnRenamed("instance_id", "user_id")
 
 
@@ -264,13 +300,13 @@ def _vectors(spark, d):
 
 
 def drift_timeline(spark, d):
-    seqs, words = sequences(spark, d)
+    seqs, words = encoded_rows(spark, d)
     labels = words.select("item_id", F.concat_ws(" - ", "artist", "track").alias("label"))
     return insights.drift_timeline(seqs, _vectors(spark, d), WINDOW_DAYS, MIN_EVENTS, labels=labels).withColumn("top_items", F.array_join("top_items", "|"))
 
 
 def drift_summary(spark, d):
-    return insights.drift_summary(insights.drift_timeline(sequences(spark, d)[0], _vectors(spark, d), WINDOW_DAYS, MIN_EVENTS))
+    return insights.drift_summary(insights.drift_timeline(encoded_rows(spark, d)[0], _vectors(spark, d), WINDOW_DAYS, MIN_EVENTS))
 
 
 def session_vectors(spark, d):
@@ -290,6 +326,13 @@ def cluster_profile(spark, d):
     return out.withColumn("hour_histogram", F.array_join(F.transform("hour_histogram", lambda x: x.cast("string")), ","))
 
 
+def cluster_signals(spark, d):
+    """Mean signals of each stand-in cluster, the session table's own signals joined onto its sessions."""
+    rows = spark.read.parquet(f"{d}/session_table.parquet")
+    signals = rows.groupBy("session_id").agg(F.max("mean_seconds").alias("mean_seconds"), F.max("skip_rate").alias("skip_rate"), F.max("shuffle_rate").alias("shuffle_rate"))
+    return insights.signal_profile(insights.with_signals(_grouped(spark, d), signals))
+
+
 def lift_labels(spark, d):
     plays = _grouped(spark, d).select("cluster", F.explode("items").alias("item")).where("item >= 2").select("cluster", F.col("item").cast("string").alias("label"))
     return insights.lift_labels(plays)
@@ -315,16 +358,16 @@ def embed_items(spark, d):
     return scoring.embedding_report(scoring.embed_texts(item_sentences(spark, d), "sentence"))
 
 
-#: Users whose sequences the encoder is fitted on: a bounded sample, in the order of a digest.
-TRAIN_USERS = 100
+#: The bounded sample the encoder is fitted on: so many users, in the order of a digest, and so many of each one's latest training events.
+TRAIN_USERS, TRAIN_EVENTS = 100, 400
 
 
 def _fitted(x: Experiment) -> tuple[encoder.Shape, dict]:
-    """An encoder fitted on the training events of at most ``TRAIN_USERS`` users."""
+    """An encoder fitted on the latest ``TRAIN_EVENTS`` training events of at most ``TRAIN_USERS`` users."""
     some = x.train.select("user_id").distinct().orderBy(F.md5("user_id")).limit(TRAIN_USERS)
     recent = x.train.join(F.broadcast(some), "user_id", "left_semi")
     last = Window.partitionBy("user_id").orderBy(F.desc("pos"))
-    rows = recent.withColumn("k", F.row_number().over(last)).where("k <= 400").select("user_id", "pos", "item_id", "ts").toPandas()
+    rows = recent.withColumn("k", F.row_number().over(last)).where(F.col("k") <= TRAIN_EVENTS).select("user_id", "pos", "item_id", "ts").toPandas()
     sequences_ = [(g["item_id"].to_numpy(), g["ts"].to_numpy()) for _, g in rows.sort_values("pos").groupby("user_id")]
     shape = encoder.Shape(n_items=x.n_items + 2, dim=32, max_len=50)
     return shape, train.fit(shape, encoder.new_weights(shape), sequences_, train.Config(epochs=3))[0]
@@ -334,8 +377,7 @@ def eval_encoder(spark, d):
     """The sequence model under the protocol of the other scorers."""
     x = Experiment(spark, d)
     shape, weights = _fitted(x)
-    past = histories(x.instances, x.seqs, shape.max_len, ["item_id", "ts"])
-    return E.sliced_metrics(scoring.dense_ranks(x.instances, past, shape, weights), "encoder")
+    return evaluate([scoring.Dense(shape, weights)], x.instances, x.seqs, x.n_items)
 
 
 def attention_summary(spark, d):
@@ -347,7 +389,7 @@ def attention_summary(spark, d):
 def recommend_requests(spark, d):
     """Every user's plays sent as a request of its own."""
     rows = keyed(spark, d)
-    seqs, words = sequences(spark, d, rows)
+    seqs, words = positioned(spark, d, rows)
     sim = E.nearest_items(E.similarity(E.cooccurrence(seqs)))
     asked = rows.select(F.col("user_id").alias("instance_id"), "artist", "track", "ts")
     return serving.recommend_histories(asked, words, sim, 10, unicode=False)[0]
@@ -357,7 +399,7 @@ QUERIES = {f.__name__: f for f in (
     eval_popularity, conform_events, validate_events, positive_events, corpus_summary, canonical_keys, canonical_keys_unicode, vocab, encoded_events, vocab_coverage, sessionize, gap_buckets, session_stats, session_signals,
     sequence_stats, repeat_rate, split_counts, leakage_check, eval_instances, instance_summary, history_lengths, train_windows, supervised_targets, eval_repeat, eval_itemknn, popularity_ranks, repeat_ranks, itemknn_ranks,
     cooccurrence, itemknn_sim, itemknn_topk, recommend_topk, recommend_discovery, recommend_context, item_sentences, tag_lookup, tag_coverage, drift_timeline, drift_summary, session_vectors, cluster_profile, lift_labels, latency_percentiles,
-    kmeans_archetypes, embed_items, eval_encoder, attention_summary, recommend_requests,
+    instance_oov, eval_all, optimistic_ranks, session_features, cluster_signals, kmeans_archetypes, embed_items, eval_encoder, attention_summary, recommend_requests,
 )}
 
 
@@ -490,6 +532,9 @@ ORACLES = {
     "leakage_check": f"WITH {_KEYED}{_SPLIT} SELECT (SELECT max(ts) FROM past) AS max_train_ts, (SELECT min(ts) FROM keyed, cut WHERE ts >= cutoff) AS min_test_ts, (SELECT count(*) FROM past WHERE user_id IN (SELECT user_id FROM held)) AS holdout_events_in_train",
     "eval_instances": f"WITH {_EXPERIMENT} SELECT * FROM instances",
     "instance_summary": f"WITH {_EXPERIMENT} SELECT count(*) AS n, count(DISTINCT user_id) AS users, round(avg(is_repeat::INT), 9) AS repeat_frac, round(avg(is_cold_user::INT), 9) AS cold_user_frac, round(avg(is_cold_item::INT), 9) AS cold_item_frac FROM instances",
+    "instance_oov": f"WITH {_EXPERIMENT}, taken AS (SELECT item_id FROM (SELECT seqs.*, row_number() OVER (PARTITION BY user_id ORDER BY md5('0:' || user_id || ':' || pos), pos) AS k FROM seqs, cut WHERE ts >= cutoff AND pos > 0) WHERE k <= {PER_USER}) SELECT count(*) AS n_taken, count(*) FILTER (item_id <= 1) AS n_oov, coalesce(round(avg((item_id <= 1)::INT), 9), 0.0) AS oov_frac FROM taken",
+    "session_features": f"WITH {_SEQS}{_BEHAVIOUR}, signals AS (SELECT session_id, round(avg(ms_played::DOUBLE) / 1000, 9) AS mean_seconds, round(avg(skipped::INT::DOUBLE), 9) AS skip_rate, round(avg(shuffle::INT::DOUBLE), 9) AS shuffle_rate FROM seqs GROUP BY 1) SELECT session_id::BIGINT AS session_id, user_id, start_ts, n_events, n_unique, round(1 - n_unique / n_real, 9) AS repeat_frac, median_gap, ((start_ts // 3600) % 24)::INT AS hour_utc, mean_seconds, skip_rate, shuffle_rate FROM enough JOIN signals USING (session_id)",
+    "cluster_signals": f"WITH {_GROUPED}, signals AS (SELECT session_id, max(mean_seconds) AS mean_seconds, max(skip_rate) AS skip_rate, max(shuffle_rate) AS shuffle_rate FROM session_table GROUP BY 1) SELECT cluster, round(avg(mean_seconds), 6) AS mean_seconds, round(avg(skip_rate), 6) AS skip_rate, round(avg(shuffle_rate), 6) AS shuffle_rate FROM grouped JOIN signals USING (session_id) GROUP BY cluster",
     "history_lengths": f"WITH {_EXPERIMENT} SELECT instance_id, count(*) AS n, min(s.pos) AS first_pos, min(s.ts) AS first_ts, max(s.ts) AS last_ts, sum(item_id)::BIGINT AS id_sum FROM instances i JOIN seqs s ON s.user_id = i.user_id AND s.pos < i.pos AND s.pos >= i.pos - 200 GROUP BY 1",
     "train_windows": f"WITH {_SEQS}, n AS (SELECT user_id, count(*) AS n FROM seqs GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT user_id, unnest(generate_series(n - 1, 2, -10)) AS window_end FROM n) SELECT user_id, window_end, greatest(window_end - 20, 0) AS window_start, window_end - greatest(window_end - 20, 0) AS n_inputs FROM e",
     "supervised_targets": f"WITH {_SEQS}, n AS (SELECT user_id, count(*) AS n FROM seqs GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT user_id, unnest(generate_series(n - 1, 2, -20)) AS window_end FROM n), p AS (SELECT s.user_id, CASE WHEN t.item_id >= 2 THEN t.item_id ELSE 0 END AS target FROM e JOIN seqs s ON s.user_id = e.user_id AND s.pos >= greatest(window_end - 20, 0) AND s.pos < window_end JOIN seqs t ON t.user_id = s.user_id AND t.pos = s.pos + 1) SELECT user_id, count(*) AS n, count(*) FILTER (target >= 2) AS n_targets, sum(target)::BIGINT AS target_sum FROM p GROUP BY 1",
@@ -515,3 +560,16 @@ ORACLES = {
     "lift_labels": f"WITH {_GROUPED}, p AS (SELECT cluster, item::VARCHAR AS label FROM (SELECT cluster, unnest(items) AS item FROM grouped) WHERE item >= 2), c AS (SELECT cluster, label, count(*) AS count FROM p GROUP BY 1, 2), s AS (SELECT cluster, label, count, sum(count) OVER (PARTITION BY cluster) AS a, sum(count) OVER (PARTITION BY label) AS b, sum(count) OVER () AS t FROM c), r AS (SELECT cluster, label, round(count / a / (b / t), 3) AS lift, round(count / a, 4) AS share, count FROM s WHERE count >= 5) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY lift DESC, count DESC, label) AS place FROM r) WHERE place <= 5",
     "latency_percentiles": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM events GROUP BY event_type",
 }
+ORACLES["eval_all"] = " UNION ALL ".join(f"SELECT * FROM ({ORACLES[q]})" for q in ("eval_popularity", "eval_repeat", "eval_itemknn"))
+_HIGHER = {
+    "popularity": _EXPERIMENT + _POP_RANKS.replace(">= t.cnt) - 1", "> t.cnt)"),
+    "repeat": _EXPERIMENT + _REPEAT_RANKS.replace("count(*) - 1", "count(*) FILTER (s > mine)"),
+    "itemknn": _EXPERIMENT + _KNN_RANKS.replace("count(*) - 1", "count(*) FILTER (coalesce(k.score, 0) > m.s)"),
+}
+ORACLES["optimistic_ranks"] = " UNION ALL ".join(f"SELECT * FROM (WITH {sql} SELECT '{m}' AS model, instance_id, rank FROM ranked)" for m, sql in _HIGHER.items())
+ORACLES["recommend_requests"] = f"""WITH {_SEQS}{_similar('seqs')},
+req AS (SELECT * FROM (SELECT user_id AS instance_id, coalesce(item_id, 1) AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, keyed.artist DESC, keyed.track DESC) AS k FROM keyed LEFT JOIN words USING (item_key)) WHERE k <= {E.MAX_LEN}),
+recent AS (SELECT instance_id, item_id, row_number() OVER (PARTITION BY instance_id ORDER BY k) - 1 AS age FROM req WHERE k <= 30 AND item_id > 1),
+kscores AS (SELECT instance_id, j AS item_id, round(sum(exp(-(ln(2.0) / 8.0) * age) * sim), 9) AS score FROM recent JOIN near ON near.i = recent.item_id GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, item_id) AS place FROM kscores)
+SELECT instance_id, place, item_id, artist, track, score, EXISTS (SELECT 1 FROM req r WHERE r.instance_id = best.instance_id AND r.item_id = best.item_id) AS is_repeat FROM best JOIN words USING (item_id) WHERE place <= 10"""

@@ -59,12 +59,23 @@ def conform(df: DataFrame, source: str | None = None, keep: tuple[str, ...] = ()
     return typed.where(whole)
 
 
-def validate_report(df: DataFrame, seq: str) -> DataFrame:
-    """One row: ``n_rows, n_null, n_not_positive, n_out_of_order``; the last counts rows earlier than the one before in ``seq``."""
-    w = Window.partitionBy("user_id").orderBy(seq)
+def validate_report(df: DataFrame, seq: str, slices: int = 10_000) -> DataFrame:
+    """One row: ``n_rows, n_null, n_not_positive, n_out_of_order``; the last counts rows earlier than the one before in ``seq``.
+
+    Rows are compared inside slices of ``seq``, and the last of a slice with the first of
+    the user's next one, so that no task orders all rows of a user.
+    """
+    low, high = df.agg(F.min(seq), F.max(seq)).first()
+    width = max(1, (high - low) // slices) if low is not None else 1
+    part = F.coalesce(F.floor((F.col(seq) - F.lit(low)) / F.lit(width)), F.lit(-1)) if low is not None else F.lit(-1)
     null = F.greatest(*[F.col(c).isNull().cast("int") for c in REQUIRED])
-    checked = df.select(null.alias("null"), (F.col("ts") <= 0).alias("low"), (F.lag("ts").over(w) > F.col("ts")).alias("back"))
-    return checked.agg(F.count("*").alias("n_rows"), F.sum("null").cast("bigint").alias("n_null"), F.count_if("low").alias("n_not_positive"), F.count_if("back").alias("n_out_of_order"))
+    rows = df.select("user_id", "ts", F.col(seq).alias("seq"), null.alias("null"), part.alias("slice"))
+    inside = rows.withColumn("back", F.lag("ts").over(Window.partitionBy("user_id", "slice").orderBy("seq")) > F.col("ts"))
+    by = inside.groupBy("user_id", "slice").agg(F.count("*").alias("n"), F.sum("null").alias("null"), F.count_if(F.col("ts") <= 0).alias("low"), F.count_if("back").alias("back"), F.min_by(F.struct("ts"), F.coalesce("seq", F.lit(low))).alias("first"), F.max_by(F.struct("ts"), F.coalesce("seq", F.lit(low))).alias("last"))
+    over = F.lag("last").over(Window.partitionBy("user_id").orderBy("slice"))  # at most ``slices`` rows a user
+    met = by.withColumn("over", F.coalesce((over["ts"] > F.col("first.ts")).cast("int"), F.lit(0)))
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return met.agg(some("n").alias("n_rows"), F.sum("null").cast("bigint").alias("n_null"), some("low").alias("n_not_positive"), (some("back") + some("over")).alias("n_out_of_order"))
 
 
 def validate(df: DataFrame, seq: str) -> None:
