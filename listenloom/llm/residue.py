@@ -272,27 +272,38 @@ def residue_kind(text: str | None, vocabulary: Vocabulary = _LISTED) -> str | No
     return "placeholder" if unfilled(text) else whole_text_kind(text, vocabulary)
 
 
-def _count(vocabulary: Vocabulary):
-    """Texts likely to be residue that have each word, and, under the empty word, all of them; by partition."""
+def _hopeless(text: str, vocabulary: Vocabulary) -> bool:
+    """Whether a text begins with a sentence that no vocabulary learned from this corpus would make residue of."""
+    for sentence in _sentences(text):
+        if (kind := sentence_kind(sentence, vocabulary, 0.25, 0.25)) != "around" or sentence.strip():
+            return kind == "other"
+    return True
+
+
+def _count(vocabulary: Vocabulary, keep: bool):
+    """Texts likely to be residue that have each word, and, under the empty word, all of them, by partition; with ``keep`` also the texts another round should read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have: Counter = Counter()
+
+        def counted(texts: list[str]) -> pd.DataFrame:
+            words, n = list(have), list(have.values())
+            have.clear()
+            return pd.DataFrame({"word": pd.Series(words + [None] * len(texts), dtype=object), "n": pd.Series(n + [0] * len(texts), dtype="int64"), "text": pd.Series([None] * len(words) + texts, dtype=object)})
+
         for pdf in frames:
+            texts = []
             for text in pdf["text"]:
+                if keep and _hopeless(text, vocabulary):
+                    continue
+                texts += [text] * keep
                 if words := residue_words(text, vocabulary):
                     have.update(words | {""})
-            if len(have) > 500_000:
-                yield pd.DataFrame(have.items(), columns=["word", "n"])
-                have.clear()
-        yield pd.DataFrame(have.items(), columns=["word", "n"]).astype({"word": object, "n": "int64"})
+            yield counted(texts)
 
     return run
 
 
-#: Whether a text holds the phrase of a message at all, as Spark reads it.
-_PHRASE = f"(?m){_ERROR_CORE.pattern}|{_SCRIPT_CORE.pattern}|{_FILLER_CORE.pattern}"
-
-
 def learned_vocabulary(documents: DataFrame, text: str = "text", rounds: int = 2, least: int = 3, share: float = 1e-4, odds: float = 4.0, common: float = 0.01, enough: int = 100) -> Vocabulary:
     """The vocabulary as corrected by a corpus, in ``rounds`` that each start from the last.
 
@@ -306,10 +317,13 @@ def learned_vocabulary(documents: DataFrame, text: str = "text", rounds: int = 2
     low = F.lower("text")
     words = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), F.lit(0))))
     every = materialize(whole.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("everywhere")), "words")
-    likely = materialize(whole.where(low.rlike(_PHRASE)), "likely")
-    total, vocabulary = whole.count(), _LISTED
-    for _ in range(rounds):
-        found = materialize(likely.mapInPandas(_count(vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "residue-words")
+    total, vocabulary, read, spent = whole.count(), _LISTED, whole, [every]
+    for k in range(rounds):
+        counted = materialize(read.mapInPandas(_count(vocabulary, not k), "word string, n bigint, text string"), "counted")
+        if not k:
+            read = counted.where("text is not null").select("text")
+        spent.append(counted)
+        found = materialize(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "residue-words")
         n = (found.where("word = ''").first() or {"n": 0})["n"]
         rate = ((F.col("n") + 0.5) / (n + 1)) / ((F.greatest(F.col("everywhere") - F.col("n"), F.lit(0)) + 0.5) / (total - n + 1))
         enters = (F.col("n") >= max(least, share * n)) & (rate >= odds) | (F.col("n") >= max(least, common * n))
@@ -320,7 +334,7 @@ def learned_vocabulary(documents: DataFrame, text: str = "text", rounds: int = 2
             removed = {r.word for r in listed.join(found, "word", "left_anti").select("word").collect()}
         vocabulary = Vocabulary(frozenset(added), frozenset(removed))
         discard(found)
-    discard(every, likely)
+    discard(*spent)
     return vocabulary
 
 
