@@ -198,8 +198,10 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
 
     # whose names are whose, among distinct names
     rest = materialize(open_readings(), "open")
-    theirs = b.select("artist_key", "artist_core").distinct()
-    ours = rest.select("artist_key", "artist_core").distinct()
+    # spread out by hand: what is small here is a row for each form in the next step
+    tasks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    theirs = b.select("artist_key", "artist_core").repartition(tasks, "artist_key").distinct()
+    ours = rest.select("artist_key", "artist_core").repartition(tasks, "artist_key").distinct()
 
     def spelled(df: DataFrame, p: str) -> DataFrame:
         form = F.explode(F.array_distinct(F.concat(_less_one(F.col("artist_key")), _less_one(F.col("artist_core")), F.array(F.replace("artist_key", F.lit(" "), F.lit(""))))))
@@ -238,7 +240,8 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         r = r.join(l.select(*[F.col(c).alias(f"i_{c}") if c != "t_key" else F.col(c).alias("i_artist_key") for c in keys]).distinct(), theirs, "left_semi")
         ours = l.withColumn("form", F.explode(form_l)).withColumn("form", F.xxhash64(*keys, "form"))
         met = r.select("i_id", *theirs, F.explode(form_r).alias("form")).select("i_id", F.xxhash64(*theirs, "form").alias("form"))
-        return ours.join(met, "form").drop("form").distinct().join(r, "i_id").where(F.col("t_key") == F.col("i_artist_key"))
+        pairs = ours.join(met, "form").drop("form").distinct()
+        return pairs.join(r, [pairs["i_id"] == r["i_id"], *[pairs[c] == r[d] for c, d in zip(keys, theirs)]]).drop(r["i_id"])
 
     left_over = still_open(named)
     settle("title_slip", judged(on_forms(left_over, items, _less_one(F.col("title")), _less_one(F.col("i_title")), ["kinds"]), 0, 1))
@@ -252,9 +255,10 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
     known = F.lit(_BEGINNINGS[0])
     for k in _BEGINNINGS[1:]:
         known = F.when(F.length("title") >= k, k).otherwise(known)
-    cut = left_over.where((F.col("cut") & (F.length("title") >= 6)) | (F.length("title") >= 15))
-    starts = F.array_distinct(F.flatten(F.array(*[_less_one(F.substring("i_title", 1, k)) for k in _BEGINNINGS])))
-    begun = on_forms(cut, items, _less_one(F.substring(F.col("title"), F.lit(1), known)), starts, [])
+    cut = left_over.where((F.col("cut") & (F.length("title") >= 6)) | (F.length("title") >= 15)).withColumn("reach", known)
+    whole = items.withColumn("i_reach", F.explode(F.array(*map(F.lit, _BEGINNINGS)))).where(F.length("i_title") >= F.col("i_reach") - 1)
+    start = lambda title, reach: _less_one(F.substring(F.col(title), F.lit(1), F.col(reach)))
+    begun = on_forms(cut, whole, start("title", "reach"), start("i_title", "i_reach"), ["reach"])
     begun = begun.where((F.col("kinds") == F.col("i_kinds")) | (F.col("kinds") == "")).select("id", "i_id", "title", "i_title", "kinds", "i_kinds", "cut", "a_slips").distinct().where(F.levenshtein(F.col("title"), F.substring(F.col("i_title"), F.lit(1), F.length("title")), 4) >= 0).withColumn("t", _begins("title", "i_title")).where("t <= 1")
     # the cut may have taken the version with it: one that isn't needed for the match costs
     settle("cut_title", begun.select("id", "i_id", (F.col("a_slips") + F.col("t") + F.when(F.col("kinds") == F.col("i_kinds"), 0).otherwise(3) + F.when(F.col("cut"), 0).when(F.substring(F.col("i_title"), F.length("title") + 1, F.lit(1)).isin(" ", ""), _DOUBTFUL).otherwise(5)).alias("slips")))
