@@ -168,6 +168,9 @@ def normalise_timestamps(df: DataFrame, ts: str = "ts", device_tz: str = "device
     territory = F.upper(F.regexp_extract(F.col(f"`{locale}`").cast("string"), r"^[A-Za-z]{2,3}[-_]([A-Za-z]{2})", 1))
     rows = _compute(rows, __mask=F.concat_ws(",", *marks), __order=F.when(F.col(f"`{locale}`").isNull() | F.lower(F.col(f"`{locale}`")).isin("", "c", "posix"), None).when(territory.isin(*MONTH_FIRST), "mdy").otherwise("dmy"), __source=F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
 
+    # parsed once, for the mixture and for its use
+    rows = materialize(rows.select(*[F.col(f"`{c}`") for c in own], "__v", "__ymd", "__mask", "__order", "__source", "__notation", "__zone", "__bracket"), "parsed")
+
     # the mixture
     counts = rows.where(F.col("__mask") != "").groupBy(F.col("__source").alias("source"), F.col("__order").alias("order"), F.col("__mask").alias("mask")).agg(F.count("*").alias("n"))
     fitted = counts.groupBy("source").applyInPandas(_fit(certainty, rounds), "source string, order string, mask string, reading string, posterior double")
