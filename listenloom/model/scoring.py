@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from listenloom.model.encoder import FIRST, PAD, Encoder, Shape, left_padded
 from listenloom.operators.ordered import histories
+from listenloom.runtime import hadoop_fs
 
 
 def gathered(past: DataFrame) -> DataFrame:
@@ -158,6 +159,15 @@ def embedding_key(items: DataFrame, text: str, dim: int = 384) -> str:
     return hashlib.sha256(re.sub(r"\s", "", f"trigram-1:{dim}:{total.n}:{total.s}").encode()).hexdigest()[:16]
 
 
+def cached_embeddings(items: DataFrame, text: str, folder: str, dim: int = 384) -> DataFrame:
+    """``item_id, vec`` of ``item_id, text``, stored under a digest of what they are made of and read from there the next time."""
+    spark, path = items.sparkSession, f"{folder.rstrip('/')}/{embedding_key(items, text, dim)}"
+    fs, done = hadoop_fs(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        embed_texts(items, text, dim).select("item_id", "vec").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def embedding_report(items: DataFrame) -> DataFrame:
     """One row: ``rows, dim, zero_rows, mean_norm``."""
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

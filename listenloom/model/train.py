@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
+from pathlib import Path
 
 import numpy as np
 
@@ -26,6 +28,18 @@ class Config:
     freeze_encoder: bool = False
     seed: int = 0
 
+    @classmethod
+    def of(cls, values: dict) -> Config:
+        """A configuration from named values; a name it doesn't know is an error, not a default."""
+        if unknown := sorted(set(values) - {f.name for f in fields(cls)}):
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        return cls(**values)
+
+    @classmethod
+    def read(cls, path: str) -> Config:
+        """A configuration from a JSON file."""
+        return cls.of(json.loads(Path(path).read_text()))
+
 
 @dataclass
 class State:
@@ -86,6 +100,35 @@ def _beside(a: Var, b: Var) -> Var:
     return Var(np.concatenate([a.data, b.data], axis=1), (a, b), lambda g: (a.add_grad(g[:, :k]), b.add_grad(g[:, k:])))
 
 
+def held_out(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, list]:
+    """Sequences without their last event, and ``(items, times, target)`` of those whose last item is a real one."""
+    shorter, asked = [], []
+    for items, times in sequences:
+        if len(items) > 3 and items[-1] >= FIRST:
+            asked.append((items[:-1], times[:-1], int(items[-1])))
+            shorter.append((items[:-1], times[:-1]))
+        else:
+            shorter.append((items, times))
+    return shorter, asked
+
+
+def ndcg_validator(shape: Shape, asked: list, k: int = 10, batch: int = 64):
+    """A function from weights to NDCG at ``k`` of the targets in ``asked``, ranked among all items, ties against them."""
+
+    def validate(weights: dict[str, np.ndarray]) -> float:
+        model, gain = Encoder(shape, weights), 0.0
+        table = model.table()
+        for s in range(0, len(asked), batch):
+            part = asked[s : s + batch]
+            scores = model.scores([a[0] for a in part], [a[1] for a in part], table)
+            own = scores[np.arange(len(part)), [a[2] for a in part]]
+            rank = (scores >= own[:, None]).sum(1) - 1
+            gain += float((1 / np.log2(rank[rank < k] + 2)).sum())
+        return gain / max(1, len(asked))
+
+    return validate
+
+
 def fit(shape: Shape, weights: dict[str, np.ndarray], sequences: list[tuple[np.ndarray, np.ndarray]], config: Config | None = None, counts: np.ndarray | None = None, validate=None) -> tuple[dict[str, np.ndarray], State]:
     """Weights after training, the best by ``validate(weights)`` if that is given."""
     config = config or Config()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listenloom.functions.canonical import SEPARATOR
 from listenloom.operators.vocab import FIRST
 
 
@@ -15,6 +16,21 @@ def item_sentence(artist: Column, track: Column, tags: Column, max_tags: int = 5
     return F.when(F.size(clean) > 0, F.concat(plain, F.lit(". Genre: "), F.array_join(clean, ", "))).otherwise(plain)
 
 
+def vocab_strings(vocab: DataFrame, tags: DataFrame | None = None, max_tags: int = 5) -> DataFrame:
+    """``item_id, text``: a sentence for each number; empty for the reserved ones, which must never be scored.
+
+    Names are those of the vocabulary where it has both ``artist`` and ``track``, else the two
+    halves of ``item_key``. ``tags`` is ``item_key, tags``.
+    """
+    halves = F.split("item_key", SEPARATOR, 2)
+    named = {"artist", "track"} <= set(vocab.columns)
+    half = lambda c, i: F.coalesce(F.col(c), halves[i]) if named else halves[i]
+    rows = vocab if tags is None else vocab.join(tags.select("item_key", "tags"), "item_key", "left")
+    own = F.col("tags") if tags is not None else F.lit(None).cast("array<string>")
+    real = rows.select(F.col("item_id").cast("bigint").alias("item_id"), item_sentence(half("artist", 0), half("track", 1), own, max_tags).alias("text"))
+    return real.unionByName(vocab.sparkSession.range(FIRST).select(F.col("id").alias("item_id"), F.lit("").alias("text")))
+
+
 def split_tags(tags: Column) -> Column:
     """Tags of a list written with commas or semicolons: trimmed, lower case, blank ones left out."""
     return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), "[,;]"), lambda t: F.lower(F.trim(t))), lambda t: t != "")

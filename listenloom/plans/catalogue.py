@@ -353,6 +353,11 @@ def kmeans_archetypes(spark, d):
     return insights.cluster_profile(archetypes.assign_kinds(sessions, model))
 
 
+def vocab_strings(spark, d):
+    """What a text model is shown for each number of the vocabulary."""
+    return features.vocab_strings(build_vocab(keyed(spark, d), MIN_COUNT)).select("item_id", "text")
+
+
 def embed_items(spark, d):
     """Vectors of every catalogue item's sentence, reported."""
     return scoring.embedding_report(scoring.embed_texts(item_sentences(spark, d), "sentence"))
@@ -370,7 +375,8 @@ def _fitted(x: Experiment) -> tuple[encoder.Shape, dict]:
     rows = recent.withColumn("k", F.row_number().over(last)).where(F.col("k") <= TRAIN_EVENTS).select("user_id", "pos", "item_id", "ts").toPandas()
     sequences_ = [(g["item_id"].to_numpy(), g["ts"].to_numpy()) for _, g in rows.sort_values("pos").groupby("user_id")]
     shape = encoder.Shape(n_items=x.n_items + 2, dim=32, max_len=50)
-    return shape, train.fit(shape, encoder.new_weights(shape), sequences_, train.Config(epochs=3))[0]
+    shorter, asked = train.held_out(sequences_)
+    return shape, train.fit(shape, encoder.new_weights(shape), shorter, train.Config(epochs=3), validate=train.ndcg_validator(shape, asked))[0]
 
 
 def eval_encoder(spark, d):
@@ -399,7 +405,7 @@ QUERIES = {f.__name__: f for f in (
     eval_popularity, conform_events, validate_events, positive_events, corpus_summary, canonical_keys, canonical_keys_unicode, vocab, encoded_events, vocab_coverage, sessionize, gap_buckets, session_stats, session_signals,
     sequence_stats, repeat_rate, split_counts, leakage_check, eval_instances, instance_summary, history_lengths, train_windows, supervised_targets, eval_repeat, eval_itemknn, popularity_ranks, repeat_ranks, itemknn_ranks,
     cooccurrence, itemknn_sim, itemknn_topk, recommend_topk, recommend_discovery, recommend_context, item_sentences, tag_lookup, tag_coverage, drift_timeline, drift_summary, session_vectors, cluster_profile, lift_labels, latency_percentiles,
-    instance_oov, eval_all, optimistic_ranks, session_features, cluster_signals, kmeans_archetypes, embed_items, eval_encoder, attention_summary, recommend_requests,
+    vocab_strings, instance_oov, eval_all, optimistic_ranks, session_features, cluster_signals, kmeans_archetypes, embed_items, eval_encoder, attention_summary, recommend_requests,
 )}
 
 
@@ -573,3 +579,5 @@ recent AS (SELECT instance_id, item_id, row_number() OVER (PARTITION BY instance
 kscores AS (SELECT instance_id, j AS item_id, round(sum(exp(-(ln(2.0) / 8.0) * age) * sim), 9) AS score FROM recent JOIN near ON near.i = recent.item_id GROUP BY 1, 2),
 best AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, item_id) AS place FROM kscores)
 SELECT instance_id, place, item_id, artist, track, score, EXISTS (SELECT 1 FROM req r WHERE r.instance_id = best.instance_id AND r.item_id = best.item_id) AS is_repeat FROM best JOIN words USING (item_id) WHERE place <= 10"""
+ORACLES["vocab_strings"] = f"WITH {_VOCAB} SELECT item_id, trim(track, ' ') || ' by ' || trim(artist, ' ') AS text FROM words UNION ALL SELECT unnest([0::BIGINT, 1::BIGINT]), ''"
+ORACLES["embed_items"] = f"SELECT count(*) AS rows, 384 AS dim, count(*) FILTER (sentence = '') AS zero_rows, round(avg(CASE WHEN sentence = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS mean_norm FROM ({ORACLES['item_sentences']})"

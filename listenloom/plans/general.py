@@ -1,4 +1,4 @@
-"""Queries p5 and p7: time stamps and sessions."""
+"""Queries p5 and p7, time stamps and sessions, and the same from streams."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from listenloom.operators.session_table import SessionTable
 from listenloom.operators.timestamps import normalise_timestamps
 from listenloom.operators.usable import usable_plays
 from listenloom.runtime import fresh_path
+from listenloom.streaming.windows import keep_sessions
+from listenloom.streaming.windows import stream_windows as calendar_windows
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +57,35 @@ WITH usable AS (
 SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_plays FROM numbered GROUP BY user_id, k
 """
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found}
-ORACLES = {"p7_found": SESSIONS_SQL}
+WINDOW_DAYS = 90
+
+
+def _play_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The play table as a stream of its files."""
+    schema = spark.read.parquet(f"{sf_dir}/plays.parquet").schema
+    return usable_plays(spark.readStream.schema(schema).option("pathGlobFilter", "plays.parquet").parquet(sf_dir))
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`p7_found` from a stream whose micro-batches are applied to a session table."""
+    table = SessionTable(spark, fresh_path(spark, "sessions"))
+    keep_sessions(_play_stream(spark, sf_dir).select("play_id", "user_id", "ts"), table, fresh_path(spark, "progress")).awaitTermination()
+    return table.sessions().select(F.col("owner").alias("user_id"), F.col("start").alias("start_ts"), F.col("stop").alias("end_ts"), F.col("n").alias("n_plays"))
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries of usable plays by user and window of the calendar, from a stream."""
+    out = fresh_path(spark, "windows")
+    counted = calendar_windows(_play_stream(spark, sf_dir), WINDOW_DAYS).select("user_id", "window_start", "n_plays")
+    query = counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", fresh_path(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counted.schema).parquet(out)
+
+
+WINDOWS_SQL = f"""
+SELECT user_id, ts // {WINDOW_DAYS * 86_400} * {WINDOW_DAYS * 86_400} AS window_start, count(*) AS n_plays FROM plays
+WHERE play_id IS NOT NULL AND user_id IS NOT NULL AND ts > 0 AND regexp_matches(artist, '[^\\s\\x{{00a0}}]') AND regexp_matches(track, '[^\\s\\x{{00a0}}]') GROUP BY 1, 2
+"""
+
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "stream_sessions": stream_sessions, "stream_windows": stream_windows}
+ORACLES = {"p7_found": SESSIONS_SQL, "stream_sessions": SESSIONS_SQL, "stream_windows": WINDOWS_SQL}
