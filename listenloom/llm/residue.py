@@ -273,10 +273,9 @@ def residue_kind(text: str | None, vocabulary: Vocabulary = _LISTED) -> str | No
 
 
 def _hopeless(text: str, vocabulary: Vocabulary) -> bool:
-    """Whether a text begins with a sentence that no vocabulary learned from this corpus would make residue of."""
+    """Whether a text begins with a sentence too far from messages for another round to count it."""
     for sentence in _sentences(text):
-        if (kind := sentence_kind(sentence, vocabulary, 0.25, 0.25)) != "around" or sentence.strip():
-            return kind == "other"
+        return sentence_kind(sentence, vocabulary, LIKELY[1], LIKELY[1]) == "other"
     return True
 
 
