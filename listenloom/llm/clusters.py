@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from listenloom.runtime import discard, materialize
 
 _GRAPH = pa.schema([("id", pa.int64()), ("core", pa.float64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
 _FOUND = pa.schema([("id", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
+_UNIT = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32()))])
 _CELLED = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("cells", pa.list_(pa.int32()))])
 _TRUTH = pa.schema([("q", pa.int32()), ("id", pa.int64()), ("cell", pa.int32()), ("d", pa.float64())])
 _TREE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.float64())])
@@ -52,10 +54,27 @@ _FEW_CLUSTERS = 1_000_000
 # 1. neighbour graph ---------------------------------------------------------------
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``id, vec``: one vector of length one per key. Null keys, null, zero, ragged and non-finite vectors are left out."""
-    v = F.col(f"`{vector}`").cast("array<double>")
+    v = F.col(f"`{vector}`")
+    if df.select(v.alias("v")).schema["v"].dataType.elementType.simpleString() not in ("float", "double"):
+        v = v.cast("array<double>")
     one = df.where(F.col(f"`{key}`").isNotNull() & v.isNotNull()).groupBy(F.col(f"`{key}`").cast("bigint").alias("id")).agg(F.max(v).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(float("nan"))) * F.coalesce(x, F.lit(float("nan")))))
-    return one.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")) & ~F.isnan("norm")).select("id", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("vec"))
+    return one.mapInArrow(_unit, "id bigint, vec array<float>")
+
+
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, vec`` of ``id, v``, width by width."""
+    for b in batches:
+        widths = np.asarray(pc.list_value_length(b.column("v")))
+        for w in np.unique(widths[widths > 0]):
+            rows = np.flatnonzero(widths == w)
+            part = b.take(pa.array(rows))
+            x = np.asarray(pc.fill_null(part.column("v").flatten().cast(pa.float64()), float("nan"))).reshape(len(rows), w)
+            with np.errstate(over="ignore"):
+                norm = np.sqrt((x * x).sum(axis=1))
+            good = (norm > 0) & np.isfinite(norm)
+            unit = (x[good] / norm[good, None]).astype(np.float32)
+            if len(unit):
+                yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(good)), pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, w, dtype=np.int32)), pa.array(unit.ravel()))], schema=_UNIT)
 
 
 def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
