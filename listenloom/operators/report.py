@@ -58,11 +58,19 @@ def notes(n_users: int, max_per_user: int) -> list[str]:
     return [f"One user: the cap of {max_per_user} targets a user caps the whole evaluation.", "One user: nobody can be held out, so there is no cold_user slice."]
 
 
-def write_insights(folder: str, drift: DataFrame, profile: DataFrame, labels: DataFrame, attention: DataFrame | None = None) -> None:
-    """Drift as JSON lines written by the executors; the few rows of the rest as JSON and Markdown."""
+def write_insights(folder: str, drift: DataFrame, profile: DataFrame, labels: DataFrame, attention: DataFrame | None = None, drift_path: str | None = None) -> None:
+    """Drift as JSON lines written by the executors; the few rows of the rest as JSON and Markdown.
+
+    ``folder`` is the driver's. ``drift_path`` is where all machines write, and has to be given
+    on a cluster; on one machine it is a part of ``folder``.
+    """
     out = Path(folder)
+    if drift_path is None:
+        if not drift.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("drift_path has to name a folder that all machines share")
+        drift_path = f"file://{out.resolve()}/drift"
     out.mkdir(parents=True, exist_ok=True)
-    drift.write.mode("overwrite").json(f"file://{out.resolve()}/drift")
+    drift.write.mode("overwrite").json(drift_path)
     parts = {"profile": profile, "labels": labels} | ({"attention": attention} if attention is not None else {})
     lines = ["# Insights"]
     for name, df in parts.items():  # a row per cluster, label or block

@@ -13,13 +13,14 @@ from listenloom.schema import conform
 #: Name looked for in a folder.
 DEFAULT_FILE = "userid-timestamp-artid-artname-traid-traname.tsv"
 SOURCE = "lastfm-1k"
-#: Words that one common reader takes for null; only on request, as they are real names too.
+# Words that one common reader takes for null; only on request, as they are real names too.
 NULL_WORDS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "<NA>", "-nan", "-NaN", "1.#IND", "1.#QNAN", "#NA", "-1.#IND", "-1.#QNAN", "#N/A N/A")
 
 
 def first_users(df: DataFrame, n: int) -> DataFrame:
     """Whole histories of the ``n`` users first in order."""
-    return df.join(F.broadcast(df.select("user_id").distinct().orderBy("user_id").limit(n)), "user_id", "left_semi")
+    some = df.select("user_id").distinct().orderBy("user_id").limit(n)
+    return df.join(F.broadcast(some) if n <= 1_000_000 else some, "user_id", "left_semi")
 
 
 def read_play_log(spark: SparkSession, path: str, limit: int | None = None, users: int | None = None, null_words: bool = False) -> DataFrame:

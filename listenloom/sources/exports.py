@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import fnmatch
+import io
 import shutil
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
+from pathlib import Path, PurePath
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listenloom.functions.time import to_unix_seconds
 from listenloom.operators.splits import one_row
 from listenloom.operators.vocab import positives
+from listenloom.runtime import hadoop_fs
 from listenloom.schema import conform
 
 # How export files are named.
@@ -28,47 +32,94 @@ class ExportError(ValueError):
     """The export can't be read, for a reason its owner can be told."""
 
 
-def find(root: Path, patterns: tuple[str, ...]) -> list[Path]:
-    """Files below ``root`` whose names fit, in order."""
-    return [p for pattern in patterns for p in sorted(root.rglob("*")) if p.is_file() and fnmatch.fnmatch(p.name, pattern)]
+def find(spark: SparkSession, root: str, patterns: tuple[str, ...]) -> list[str]:
+    """Files below ``root``, in any file system Spark reads, whose names fit, in order."""
+    fs, p = hadoop_fs(spark, root)
+    files, names = fs.listFiles(p, True), []
+    while files.hasNext():
+        names.append(files.next().getPath().toString())
+    return [f for pattern in patterns for f in sorted(names) if fnmatch.fnmatch(PurePath(f).name, pattern)]
 
 
-def _check_arrays(files: list[Path]) -> None:
+def _check_arrays(spark: SparkSession, files: list[str]) -> None:
+    """Read the first bytes of each file."""
     for f in files:
-        with f.open(encoding="utf-8-sig") as text:
-            first = next((c for c in iter(lambda: text.read(1), "") if not c.isspace()), "")
-        if first != "[":
-            raise ExportError(f"{f.name} is no array of play records")
+        fs, p = hadoop_fs(spark, f)
+        stream = fs.open(p)
+        try:
+            head = bytes(stream.readNBytes(4096)).decode("utf-8-sig", "replace").lstrip()
+        finally:
+            stream.close()
+        if not head.startswith("["):
+            raise ExportError(f"{PurePath(f).name} is no array of play records")
+
+
+def _extended(rows: DataFrame, user: Column) -> DataFrame:
+    return rows.select(user.alias("user_id"), to_unix_seconds(F.col("ts")).alias("ts"), F.col("master_metadata_album_artist_name").alias("artist"), F.col("master_metadata_track_name").alias("track"), "ms_played", "skipped", "shuffle", "offline")
+
+
+def _account(rows: DataFrame, user: Column) -> DataFrame:
+    """A play is told by its end; it began ``msPlayed`` earlier."""
+    begun = to_unix_seconds(F.col("endTime")) - F.floor(F.coalesce("msPlayed", F.lit(0)) / F.lit(1000))
+    return rows.select(user.alias("user_id"), begun.cast("bigint").alias("ts"), F.col("artistName").alias("artist"), F.col("trackName").alias("track"), F.col("msPlayed").alias("ms_played"))
 
 
 def read_export(spark: SparkSession, path: str, user_id: str = "me") -> DataFrame:
     """Canonical events of a folder or a file; the extended history goes before the account's.
 
     Rows without a track (podcasts) are left out before the check on unusable rows.
-    Account files tell when a play ended; it began ``msPlayed`` earlier.
     """
-    root = Path(path)
-    if root.is_file():
-        files, extended = [root], not root.name.startswith("StreamingHistory")
+    fs, p = hadoop_fs(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    if not fs.getFileStatus(p).isDirectory():
+        files, extended = [path], not PurePath(path).name.startswith("StreamingHistory")
     else:
-        files = find(root, EXTENDED)
+        files = find(spark, path, EXTENDED)
         extended = bool(files)
-        files = files or find(root, ACCOUNT)
+        files = files or find(spark, path, ACCOUNT)
     if not files:
         raise FileNotFoundError(f"no history files below {path}")
-    _check_arrays(files)
-    names = [f"file://{f.resolve()}" for f in files]
-    rows = spark.read.schema(_EXTENDED_SCHEMA if extended else _ACCOUNT_SCHEMA).option("multiLine", True).json(names)
+    _check_arrays(spark, files)
+    rows = spark.read.schema(_EXTENDED_SCHEMA if extended else _ACCOUNT_SCHEMA).option("multiLine", True).json(files)
     if rows.isEmpty():
         raise ExportError(f"no records in {len(files)} files")
-    if extended:
-        rows = rows.select(F.lit(user_id).alias("user_id"), to_unix_seconds(F.col("ts")).alias("ts"), F.col("master_metadata_album_artist_name").alias("artist"), F.col("master_metadata_track_name").alias("track"), "ms_played", "skipped", "shuffle", "offline")
-    else:
-        begun = to_unix_seconds(F.col("endTime")) - F.floor(F.coalesce("msPlayed", F.lit(0)) / F.lit(1000))
-        rows = rows.select(F.lit(user_id).alias("user_id"), begun.cast("bigint").alias("ts"), F.col("artistName").alias("artist"), F.col("trackName").alias("track"), F.col("msPlayed").alias("ms_played"))
+    rows = (_extended if extended else _account)(rows, F.lit(user_id))
     return conform(rows.where("track is not null"), "spotify-extended" if extended else "spotify-account")
 
 
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical events of many archives at once, each unpacked where it is read; its name is the user.
+
+    Of an archive that holds both kinds of history the extended one counts. An archive that
+    can't be read, or unpacks to more than ``MAX_BYTES``, has no rows.
+    """
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        members = [m for m in z.infolist() if not m.is_dir()]
+                        if len(members) > MAX_MEMBERS or sum(m.file_size for m in members) > MAX_BYTES:
+                            continue
+                        for kind, patterns in (("extended", EXTENDED), ("account", ACCOUNT)):
+                            fits = [m for m in members if any(fnmatch.fnmatch(PurePath(m.filename.replace("\\", "/")).name, p) for p in patterns)]
+                            rows = rows or [(PurePath(name).stem, kind, z.read(m).decode("utf-8-sig", "replace")) for m in fits]
+                except zipfile.BadZipFile:
+                    continue
+                yield pd.DataFrame(rows, columns=["user_id", "kind", "body"])
+
+    bodies = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "user_id string, kind string, body string")
+    parts = []
+    for kind, schema, shaped in (("extended", _EXTENDED_SCHEMA, _extended), ("account", _ACCOUNT_SCHEMA, _account)):
+        fields = ", ".join(f"{n}: {t}" for n, t in (x.split() for x in schema.split(", ")))
+        rows = bodies.where(F.col("kind") == kind).select("user_id", F.explode(F.from_json("body", f"array<struct<{fields}>>")).alias("r")).select("user_id", "r.*")
+        parts.append(conform(shaped(rows, F.col("user_id")).where("track is not null"), f"spotify-{kind}", guard=None))
+    return parts[0].unionByName(parts[1])
+
+
 def extract_archive(archive: str, target: str) -> list[Path]:
     """JSON members of a ZIP archive, flattened into ``target``; everything else in it is skipped.
 

@@ -165,6 +165,14 @@ def test_exports(spark, tmp_path):
         z.writestr("ReadMe.pdf", "x")
     history = exports.read_upload(spark, str(tmp_path / "up.zip"), str(tmp_path / "w"))
     assert [tuple(r) for r in history.collect()] == [("A", "x", 1710887198)]
+    (tmp_path / "zips").mkdir()
+    for user, members in (("ana", {"x/endsong_0.json": full, "StreamingHistory0.json": account}), ("lumil", {"StreamingHistory0.json": account})):
+        with zipfile.ZipFile(tmp_path / "zips" / f"{user}.zip", "w") as z:
+            for name, body in members.items():
+                z.writestr(name, json.dumps(body))
+    (tmp_path / "zips" / "broken.zip").write_text("x")
+    got = exports.read_archives(spark, str(tmp_path / "zips")).collect()
+    assert sorted((r.user_id, r.ts, r.source) for r in got) == [("ana", 1710887198, "spotify-extended"), ("lumil", 1710887160 - 180, "spotify-account")]
     (tmp_path / "endsong_9.json").write_text('{"no": "array"}')
     for bad in ("endsong_9.json", "nothing.txt"):
         (tmp_path / "nothing.txt").write_text("x")
