@@ -218,7 +218,7 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         pairs = F.flatten(F.transform(_less_one(w[0]), lambda u: F.transform(_less_one(w[1]), lambda v: F.xxhash64(u, v))))
         return df.where(F.size(w) >= 2).select(F.col("artist_key").alias(f"{p}_key"), F.col("artist_core").alias(f"{p}_core"), F.explode(F.array_distinct(pairs)).alias("form"))
 
-    others = two_words(ours.join(near.select("artist_key").distinct(), "artist_key", "left_anti"), "o")
+    others = two_words(ours.join(near.select("artist_key").distinct(), "artist_key", "left_anti").repartition(tasks, "artist_key"), "o")
     twice = others.join(two_words(theirs, "t"), "form").select("o_key", "o_core", "t_key", "t_core").distinct().withColumn("a_slips", F.least(_artist_slips("o_key", "t_key"), _artist_slips("o_core", "t_core") + 1)).where("a_slips <= 3")
     artists = materialize(near.unionByName(twice.select(F.col("o_key").alias("artist_key"), "t_key", "a_slips")), "artists")
     named = materialize(rest.join(artists, "artist_key").withColumn("a_slips", F.col("a_slips") + F.when(F.col("reading") % 2 == 1, 1).otherwise(0)), "named")
