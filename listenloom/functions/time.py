@@ -14,6 +14,12 @@ def to_unix_seconds(c: Column) -> Column:
     return F.floor(F.unix_micros(F.try_to_timestamp(c)) / F.lit(1_000_000)).cast("bigint")
 
 
+def display_stamp(ts: Column) -> Column:
+    """``2011-03-01 07:00:00+00:00``, whatever zone the session is in."""
+    moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=ts.cast("decimal(18,6)"))
+    return F.concat(moment.cast("string"), F.lit("+00:00"))
+
+
 def hour_of_day(ts: Column) -> Column:
     return F.pmod(F.floor(ts / F.lit(3600)), F.lit(24)).cast("int")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listenloom.functions.canonical import SEPARATOR, normalised, sql_normalised, with_item_key
-from listenloom.functions.time import GAP_EDGES, gap_bucket
+from listenloom.functions.time import GAP_EDGES, display_stamp, gap_bucket
 from listenloom.operators import evaluation as E
 from listenloom.model import encoder, scoring, train
 from listenloom.operators import archetypes, features, insights, serving
@@ -95,6 +95,11 @@ def corpus_summary(spark, d):
     return e.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.countDistinct("artist").alias("artists"), F.countDistinct(F.struct("artist", "track")).alias("tracks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.bool_or(F.col("ms_played").isNotNull()).alias("has_ms"))
 
 
+def corpus_span(spark, d):
+    """First and last play of each source, as shown to people."""
+    return events(spark, d).groupBy("source").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select("source", display_stamp(F.col("a")).alias("first_play"), display_stamp(F.col("b")).alias("last_play"))
+
+
 def canonical_keys(spark, d):
     pairs = events(spark, d).select("artist", "track").distinct()
     return with_item_key(pairs, unicode=False).select("artist", "track", "item_key")
@@ -402,7 +407,7 @@ def recommend_requests(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    eval_popularity, conform_events, validate_events, positive_events, corpus_summary, canonical_keys, canonical_keys_unicode, vocab, encoded_events, vocab_coverage, sessionize, gap_buckets, session_stats, session_signals,
+    eval_popularity, conform_events, validate_events, positive_events, corpus_summary, corpus_span, canonical_keys, canonical_keys_unicode, vocab, encoded_events, vocab_coverage, sessionize, gap_buckets, session_stats, session_signals,
     sequence_stats, repeat_rate, split_counts, leakage_check, eval_instances, instance_summary, history_lengths, train_windows, supervised_targets, eval_repeat, eval_itemknn, popularity_ranks, repeat_ranks, itemknn_ranks,
     cooccurrence, itemknn_sim, itemknn_topk, recommend_topk, recommend_discovery, recommend_context, item_sentences, tag_lookup, tag_coverage, drift_timeline, drift_summary, session_vectors, cluster_profile, lift_labels, latency_percentiles,
     vocab_strings, instance_oov, eval_all, optimistic_ranks, session_features, cluster_signals, kmeans_archetypes, embed_items, eval_encoder, attention_summary, recommend_requests,
@@ -581,3 +586,4 @@ best AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY score DE
 SELECT instance_id, place, item_id, artist, track, score, EXISTS (SELECT 1 FROM req r WHERE r.instance_id = best.instance_id AND r.item_id = best.item_id) AS is_repeat FROM best JOIN words USING (item_id) WHERE place <= 10"""
 ORACLES["vocab_strings"] = f"WITH {_VOCAB} SELECT item_id, trim(track, ' ') || ' by ' || trim(artist, ' ') AS text FROM words UNION ALL SELECT unnest([0::BIGINT, 1::BIGINT]), ''"
 ORACLES["embed_items"] = f"SELECT count(*) AS rows, 384 AS dim, count(*) FILTER (sentence = '') AS zero_rows, round(avg(CASE WHEN sentence = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS mean_norm FROM ({ORACLES['item_sentences']})"
+ORACLES["corpus_span"] = f"WITH {_EVENTS} SELECT source, strftime(make_timestamp(min(ts) * 1000000), '%Y-%m-%d %H:%M:%S') || '+00:00' AS first_play, strftime(make_timestamp(max(ts) * 1000000), '%Y-%m-%d %H:%M:%S') || '+00:00' AS last_play FROM ev GROUP BY source"

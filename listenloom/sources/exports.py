@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenloom.functions.time import to_unix_seconds
+from listenloom.functions.time import display_stamp, to_unix_seconds
 from listenloom.operators.splits import one_row
 from listenloom.operators.vocab import positives
 from listenloom.runtime import hadoop_fs
@@ -179,4 +179,5 @@ def upload_stats(events: DataFrame, history: DataFrame) -> DataFrame:
     a = events.agg(F.count("*").alias("events_in_file"))
     b = positives(events).agg(F.count("*").alias("plays_after_filter"))
     c = history.agg(F.count("*").alias("retained"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct(F.struct("artist", "track")).alias("distinct_tracks"), F.countDistinct("artist").alias("distinct_artists"))
+    c = c.withColumns({"first_play": display_stamp(F.col("first_ts")), "last_play": display_stamp(F.col("last_ts"))})
     return one_row([a, b, c]).withColumn("truncated", F.col("plays_after_filter") > F.col("retained"))

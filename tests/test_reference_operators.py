@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listenloom.functions.canonical import normalised, normalised_text, sql_normalised
-from listenloom.functions.time import gap_bucket, to_unix_seconds, window_number
+from listenloom.functions.time import display_stamp, gap_bucket, to_unix_seconds, window_number
 from listenloom.operators import evaluation as E
 from listenloom.operators import features, insights, report
 from listenloom.operators.splits import assert_no_leakage, temporal_split
@@ -50,6 +50,16 @@ def test_times(spark):
     assert spark.range(1).select(window_number(F.lit(-1), F.lit(0), 1).alias("w")).first().w == -1
 
 
+def test_stamps_are_shown_in_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.createDataFrame([(1298962800,), (0,), (None,), (1300000000,)], "t bigint").select(display_stamp(F.col("t")).alias("s")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.s for r in rows] == ["2011-03-01 07:00:00+00:00", "1970-01-01 00:00:00+00:00", None, "2011-03-13 07:06:40+00:00"]
+
+
 def test_conform_and_validate(spark):
     raw = spark.createDataFrame([("u", "5", "A", "x", "bad"), ("u", "x", "A", "x", "1"), ("u", "7", "A", "y", "30000")], "user_id string, ts string, artist string, track string, ms_played string")
     got = conform(raw, "src")
