@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from listenloom.runtime import discard, materialize
 
 _GRAPH = pa.schema([("id", pa.int64()), ("core", pa.float64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
-_FOUND = pa.schema([("id", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
+_FOUND = pa.schema([("id", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float32()))])
 _UNIT = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32()))])
 _CELLED = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32())), ("cells", pa.list_(pa.int32()))])
 _TRUTH = pa.schema([("q", pa.int32()), ("id", pa.int64()), ("cell", pa.int32()), ("d", pa.float64())])
@@ -134,7 +134,7 @@ def _neighbours(k: int, width: int):
         at, near = _least(d, kk)
         real = np.isfinite(near)
         offsets = pa.array(np.r_[0, np.cumsum(real.sum(axis=1))].astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(own[at][real])), pa.ListArray.from_arrays(offsets, pa.array(np.maximum(near[real], 0).astype(np.float64)))], schema=_FOUND)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(own[at][real])), pa.ListArray.from_arrays(offsets, pa.array(np.maximum(near[real], 0).astype(np.float32)))], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, ids, xs, base = None, [], [], None
@@ -171,7 +171,7 @@ def _nearest(k: int, core: int):
         table = table.slice(0, upto).combine_chunks()
         lists = table.column("nbrs").chunk(0)
         owner = np.repeat(ids[:upto], np.diff(np.asarray(lists.offsets)))
-        nbr, dist = np.asarray(lists.flatten()), np.asarray(table.column("dists").chunk(0).flatten())
+        nbr, dist = np.asarray(lists.flatten()), np.asarray(table.column("dists").chunk(0).flatten()).astype(np.float64)
         order = np.lexsort((nbr, owner))
         owner, nbr, dist = owner[order], nbr[order], dist[order]
         once = np.r_[True, (owner[1:] != owner[:-1]) | (nbr[1:] != nbr[:-1])]
@@ -242,7 +242,7 @@ def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10
     asking = asking.join(sizes, "cell").withColumn("turn", turn).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     rows = living.withColumn("role", F.lit(0)).unionByName(asking.withColumn("role", F.lit(1))).select("id", "vec", "role", F.xxhash64("cell", "part", "turn").alias("block"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * probes / 250_000))
-    found = rows.repartition(tasks, "block").sortWithinPartitions("block", "role").mapInArrow(_neighbours(neighbours, width), "id bigint, nbrs array<bigint>, dists array<double>")
+    found = rows.repartition(tasks, "block").sortWithinPartitions("block", "role").mapInArrow(_neighbours(neighbours, width), "id bigint, nbrs array<bigint>, dists array<float>")
     graph = materialize(found.where(F.size("nbrs") > 0).repartition("id").sortWithinPartitions("id").mapInArrow(_nearest(neighbours, core), "id bigint, core double, nbrs array<bigint>, dists array<double>"), "graph")
     discard(celled, placed)
     return graph
