@@ -152,8 +152,9 @@ def normalised(c: Column, rounds: int = ROUNDS) -> Column:
     """The rule as an expression; null gives an empty string."""
     text = F.trim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), " ", " "), r"\s+", " "))
     shorter = F.regexp_replace(text, "(?i)(re)-(master)", "$1\u0001$2")
-    for k in range(rounds):  # brackets all go at once, so only dashes may need another look
-        shorter = _let(shorter, lambda t: _segments(_pieces(t))) if not k else _let(shorter, lambda t: F.when(F.contains(t, F.lit("-")), _segments(_pieces(t))).otherwise(t))
+    # brackets all go at once, so only dashes may need another look
+    over = lambda t, k: F.when((k == 0) | F.contains(t, F.lit("-")), _segments(_pieces(t))).otherwise(t)
+    shorter = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), shorter, over)
     # most names have no sign that makes another piece, and one look tells
     suspect = text.rlike(r"[(\[-]") | (F.btrim(text, F.lit(EDGE_SIGNS)) != text)
     return F.lower(F.when(suspect, F.trim(F.regexp_replace(F.replace(shorter, F.lit("\u0001"), F.lit("-")), r"\s+", " "))).otherwise(text))
