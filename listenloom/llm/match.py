@@ -237,7 +237,7 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         """Pairs of one artist that share a form and the columns ``same``; only what an open listing may meet is spelled out, and only hashes travel."""
         keys = ["t_key", *same]
         theirs = ["i_artist_key", *[f"i_{c}" for c in same]]
-        r = r.join(l.select(*[F.col(c).alias(f"i_{c}") if c != "t_key" else F.col(c).alias("i_artist_key") for c in keys]).distinct(), theirs, "left_semi")
+        r = r.join(l.select(*[F.col(c).alias(f"i_{c}") if c != "t_key" else F.col(c).alias("i_artist_key") for c in keys]).distinct(), theirs, "left_semi").repartition(tasks)
         ours = l.withColumn("form", F.explode(form_l)).withColumn("form", F.xxhash64(*keys, "form"))
         met = r.select("i_id", *theirs, F.explode(form_r).alias("form")).select("i_id", F.xxhash64(*theirs, "form").alias("form"))
         pairs = ours.join(met, "form").drop("form").distinct()
