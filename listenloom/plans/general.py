@@ -61,9 +61,10 @@ WINDOW_DAYS = 90
 
 
 def _play_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The play table as a stream of its files."""
+    """The play table, one file or a folder of them, as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/plays.parquet").schema
-    return usable_plays(spark.readStream.schema(schema).option("pathGlobFilter", "plays.parquet").parquet(sf_dir))
+    # a pattern: Spark takes a plain path for a folder
+    return usable_plays(spark.readStream.schema(schema).parquet(f"{sf_dir}/play[s].parquet"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries of usable plays by user and window of the calendar, from a stream."""
     out = fresh_path(spark, "windows")
     counted = calendar_windows(_play_stream(spark, sf_dir), WINDOW_DAYS).select("user_id", "window_start", "n_plays")
+    spark.createDataFrame([], counted.schema).write.parquet(out)  # what a stream without a file leaves there
     query = counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", fresh_path(spark, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(counted.schema).parquet(out)
