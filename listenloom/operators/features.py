@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listenloom.functions.canonical import SEPARATOR
 from listenloom.operators.vocab import FIRST
+from listenloom.runtime import spelled_out
 
 
 def item_sentence(artist: Column, track: Column, tags: Column, max_tags: int = 5) -> Column:
@@ -72,6 +73,6 @@ def train_windows(seqs: DataFrame, max_len: int = 200, stride: int | None = None
 def supervised(seqs: DataFrame, windows: DataFrame) -> DataFrame:
     """``user_id, window_end, pos, item_id, target``: inputs and targets; only real items are targets (0 otherwise)."""
     nxt = seqs.select("user_id", (F.col("pos") - 1).alias("pos"), F.when(F.col("item_id") >= FIRST, F.col("item_id")).otherwise(0).alias("target"))
-    pairs = seqs.select("user_id", "pos", "item_id").join(nxt, ["user_id", "pos"])
+    pairs = seqs.select("user_id", "pos", "item_id").join(nxt.hint("merge"), ["user_id", "pos"])  # a row per event, whatever its files take
     spans = windows.select("user_id", "window_end", F.explode(F.sequence("window_start", F.col("window_end") - 1)).alias("pos"))
-    return spans.join(pairs, ["user_id", "pos"]).select("user_id", "window_end", "pos", "item_id", "target")
+    return spelled_out(spans).join(pairs, ["user_id", "pos"]).select("user_id", "window_end", "pos", "item_id", "target")

@@ -69,6 +69,15 @@ def broadcast_small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spelled_out(df: DataFrame) -> DataFrame:
+    """``df``, made by ``explode``, to be joined by a shuffle only.
+
+    Spark takes such a table for as small as what it was made from and would broadcast it
+    through the driver, however many rows it has.
+    """
+    return df.hint("merge")
+
+
 _scopes: list[list[str]] = []
 
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from listenloom import runtime
+from listenloom.operators import features
 from listenloom.operators.usable import usable_plays
 
 DATA = "/root/testdata/sf0.001"
@@ -33,3 +34,11 @@ def test_intermediates_can_be_cleared(spark):
     assert fs.exists(p)
     runtime.clear_intermediates(spark)
     assert not fs.exists(p)
+
+
+def test_windows_spelled_out_are_not_broadcast(spark):
+    """Windows of 100 users make 0.8 million rows, which Spark takes for a few kB."""
+    seqs = spark.range(100 * 2000).selectExpr("cast(id % 100 as string) as user_id", "id div 100 as pos", "id % 7 as item_id")
+    rows = features.supervised(seqs, features.train_windows(seqs, 80, 20))
+    assert len(rows.toPandas()) > 700_000
+    assert "BroadcastHashJoin" not in _plan(rows)
