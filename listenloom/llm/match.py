@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from listenloom.llm.recording import folded, osa, parse_artist, parse_track, titles_alike, versions_alike
-from listenloom.runtime import materialize
+from listenloom.runtime import materialize, spelled_out
 
 RULES = ["exact", "artist_variant", "title_slip", "title_slips", "cut_title"]
 _READING = "id bigint, reading int, artist_key string, artist_core string, title string, version string, kinds string, cut boolean"
@@ -207,7 +207,7 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         form = F.explode(F.array_distinct(F.concat(_less_one(F.col("artist_key")), _less_one(F.col("artist_core")), F.array(F.replace("artist_key", F.lit(" "), F.lit(""))))))
         return df.select(F.col("artist_key").alias(f"{p}_key"), F.col("artist_core").alias(f"{p}_core"), form.alias("form"))
 
-    near = spelled(ours, "o").join(spelled(theirs, "t"), "form").select("o_key", "o_core", "t_key", "t_core").distinct()
+    near = spelled(ours, "o").join(spelled_out(spelled(theirs, "t")), "form").select("o_key", "o_core", "t_key", "t_core").distinct()
     run_together = F.when(F.replace("o_key", F.lit(" "), F.lit("")) == F.replace("t_key", F.lit(" "), F.lit("")), 1)
     slips = F.least(_artist_slips("o_key", "t_key"), 1 + _artist_slips("o_core", "t_core"), run_together)
     near = materialize(near.withColumn("a_slips", slips).where("a_slips <= 2").select(F.col("o_key").alias("artist_key"), "t_key", "a_slips"), "near")
@@ -219,7 +219,7 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         return df.where(F.size(w) >= 2).select(F.col("artist_key").alias(f"{p}_key"), F.col("artist_core").alias(f"{p}_core"), F.explode(F.array_distinct(pairs)).alias("form"))
 
     others = two_words(ours.join(near.select("artist_key").distinct(), "artist_key", "left_anti").repartition(tasks, "artist_key"), "o")
-    twice = others.join(two_words(theirs, "t"), "form").select("o_key", "o_core", "t_key", "t_core").distinct().withColumn("a_slips", F.least(_artist_slips("o_key", "t_key"), _artist_slips("o_core", "t_core") + 1)).where("a_slips <= 3")
+    twice = others.join(spelled_out(two_words(theirs, "t")), "form").select("o_key", "o_core", "t_key", "t_core").distinct().withColumn("a_slips", F.least(_artist_slips("o_key", "t_key"), _artist_slips("o_core", "t_core") + 1)).where("a_slips <= 3")
     artists = materialize(near.unionByName(twice.select(F.col("o_key").alias("artist_key"), "t_key", "a_slips")), "artists")
     named = materialize(rest.join(artists, "artist_key").withColumn("a_slips", F.col("a_slips") + F.when(F.col("reading") % 2 == 1, 1).otherwise(0)), "named")
 
@@ -240,7 +240,7 @@ def match_recordings(listings: DataFrame, catalog: DataFrame, tolerance: float =
         r = r.join(l.select(*[F.col(c).alias(f"i_{c}") if c != "t_key" else F.col(c).alias("i_artist_key") for c in keys]).distinct(), theirs, "left_semi").repartition(tasks)
         ours = l.withColumn("form", F.explode(form_l)).withColumn("form", F.xxhash64(*keys, "form"))
         met = r.select("i_id", *theirs, F.explode(form_r).alias("form")).select("i_id", F.xxhash64(*theirs, "form").alias("form"))
-        pairs = ours.join(met, "form").drop("form").distinct()
+        pairs = ours.join(spelled_out(met), "form").drop("form").distinct()
         return pairs.join(r, [pairs["i_id"] == r["i_id"], *[pairs[c] == r[d] for c, d in zip(keys, theirs)]]).drop(r["i_id"])
 
     left_over = still_open(named)
