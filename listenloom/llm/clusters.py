@@ -217,7 +217,7 @@ def probes_needed(celled: DataFrame, pivots: np.ndarray, neighbours: int, recall
     return int(at[max(0, math.ceil(recall * len(at)) - 1)]) + 1
 
 
-def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, recall: float = 0.95) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10, core: int = 4, rounds: int = 4, block: int = 4096, recall: float = 0.95, at_once: int = 1_000_000, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``id, core, nbrs, dists`` of ``id, vec``: nearest neighbours and core distance of every vector.
 
     Pivots, about one for ``block / 2`` vectors, are drawn by a hash of the id and lay
@@ -225,26 +225,37 @@ def neighbour_graph(vectors: DataFrame, n: int, width: int, neighbours: int = 10
     compared with all that live in its nearest cells: at least ``rounds``, and as many
     as hold the share ``recall`` of the true neighbours (:func:`probes_needed`). A cell
     above ``block`` is compared part by part, so that none of it is passed over.
+
+    Vectors ask in up to 8 waves, about ``at_once`` times a wave, whose shuffle files are
+    gone before the next: pivots are numbered along their widest direction, so that the
+    cells of a wave ask in few others. ``spent`` are deleted once ``vectors`` have been read.
     """
     spark = vectors.sparkSession
     count = max(1, min(round(n / (block * 0.6)), _PIVOT_BYTES // (4 * width)))
     picked = np.array([r[0] for r in vectors.orderBy(F.xxhash64(F.col("id"), F.lit(0)), "id").limit(count).select("vec").collect()], dtype=np.float32)
+    if len(picked) > 1:
+        picked = picked[np.argsort(picked @ np.linalg.eigh(np.atleast_2d(np.cov(picked.T)))[1][:, -1], kind="stable")]
     pivots = spark.sparkContext.broadcast(picked)
     schema = "id bigint, vec array<float>, cells array<int>"
     celled = materialize(vectors.mapInArrow(_assign(pivots, 1), schema).select("id", "vec", F.col("cells")[0].alias("cell")), "cells")
     probes = min(len(picked), max(rounds, probes_needed(celled, picked, neighbours, recall)))
     placed = materialize(celled.select("id", "vec").mapInArrow(_assign(pivots, probes), schema), "asking")
-    asking = placed.select("id", "vec", F.explode("cells").alias("cell"))
-    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
-    sizes = F.broadcast(sizes.join(asking.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(16 * block)).alias("turns")), "cell"))  # a row per pivot, of which there are at most _PIVOT_BYTES / 4 / width
-    part, turn = F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("turns"))
-    living = celled.join(sizes, "cell").withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)))
-    asking = asking.join(sizes, "cell").withColumn("turn", turn).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    rows = living.withColumn("role", F.lit(0)).unionByName(asking.withColumn("role", F.lit(1))).select("id", "vec", "role", F.xxhash64("cell", "part", "turn").alias("block"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * probes / 250_000))
-    found = rows.repartition(tasks, "block").sortWithinPartitions("block", "role").mapInArrow(_neighbours(neighbours, width), "id bigint, nbrs array<bigint>, dists array<float>")
-    graph = materialize(found.where(F.size("nbrs") > 0).repartition("id").sortWithinPartitions("id").mapInArrow(_nearest(neighbours, core), "id bigint, core double, nbrs array<bigint>, dists array<double>"), "graph")
-    discard(celled, placed)
+    parts = materialize(celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")), "parts")
+    discard(celled, *spent)
+    waves = max(1, min(8, len(picked), math.ceil(n * probes / at_once)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * probes / waves / 250_000))
+    graph = None
+    for wave in range(waves):
+        asking = placed.where(F.floor(F.col("cells")[0] * waves / len(picked)) == wave).select("id", "vec", F.explode("cells").alias("cell"))
+        sizes = F.broadcast(parts.join(asking.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(16 * block)).alias("turns")), "cell"))  # a row per pivot, of which there are at most _PIVOT_BYTES / 4 / width
+        part, turn = F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("turns"))
+        living = placed.select("id", "vec", F.col("cells")[0].alias("cell")).join(sizes, "cell").withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)))
+        asking = asking.join(sizes, "cell").withColumn("turn", turn).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        rows = living.withColumn("role", F.lit(0)).unionByName(asking.withColumn("role", F.lit(1))).select("id", "vec", "role", F.xxhash64("cell", "part", "turn").alias("block"))
+        found = rows.repartition(tasks, "block").sortWithinPartitions("block", "role").mapInArrow(_neighbours(neighbours, width), "id bigint, nbrs array<bigint>, dists array<float>")
+        nearest = found.where(F.size("nbrs") > 0).repartition("id").sortWithinPartitions("id").mapInArrow(_nearest(neighbours, core), "id bigint, core double, nbrs array<bigint>, dists array<double>")
+        graph = materialize(nearest, "graph", onto=graph)
+    discard(placed, parts)
     return graph
 
 
@@ -571,7 +582,10 @@ def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "v
     distinct = firsts.count()
     if distinct < 2:
         return vectors.select("id", F.lit(0).cast("bigint").alias("cluster"), F.lit(_NEAR).alias("reach")) if n >= min_size else empty
-    graph = neighbour_graph(firsts.select("id", "vec"), distinct, width, neighbours, min(core, n - 1), rounds, block)
+    copied = materialize(vectors.join(firsts.where("copies > 1").select("vec", F.col("id").alias("first")), "vec").select("id", "first"), "copied") if distinct < n else None
+    whole, firsts = firsts, materialize(firsts.select("id", "copies"), "firsts")
+    discard(vectors_)
+    graph = neighbour_graph(whole.select("id", "vec"), distinct, width, neighbours, min(core, n - 1), rounds, block, spent=(whole,))
     if distinct < n:
         whole, graph = graph, materialize(counted_cores(graph, firsts, min(core, n - 1)), "cores")
         discard(whole)
@@ -593,12 +607,11 @@ def similarity_clusters(df: DataFrame, key: str = "session_id", vector: str = "v
     spent = [graph, tree, labels, members, rated]
     members = materialize(kept, "kept")
     if distinct == n:
-        discard(vectors_, firsts, *spent)
+        discard(firsts, *spent)
         return members.select("id", "cluster", "reach")
-    copied = vectors.join(firsts.where("copies > 1").select("vec", F.col("id").alias("first")), "vec").select("id", "first")
     others = copied.join(members.withColumnRenamed("id", "first"), "first").select("id", "cluster", F.lit(_NEAR).alias("reach"))
     out = materialize(members.where("copies = 1").select("id", "cluster", "reach").unionByName(others), "members")
-    discard(vectors_, firsts, members, *spent)
+    discard(firsts, copied, members, *spent)
     return out
 
 

@@ -37,18 +37,28 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Makes a query delete its shuffle files where it ends; else they stay until the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, onto: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor afterwards costs a re-read of committed
     files, not a re-run of what made them. Use it for what several later steps read.
+    ``onto``: a table of this function, not partitioned, to which the rows are added.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    writer = df.write.mode("errorifexists")
+    path = fresh_path(spark, label) if onto is None else onto._written_to
+    writer = df.write.mode("errorifexists" if onto is None else "append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
